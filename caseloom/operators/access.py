@@ -18,7 +18,7 @@ def roles_from_scopes(claims: DataFrame, scope_map: Sequence[tuple[str, str]] =
     tokens = F.col(scope) if claims.schema[scope].dataType.typeName() == "array" else F.split(text(scope), " ")
     table = F.create_map(*[F.lit(v) for pair in scope_map for v in pair])
     roles = F.array_compact(F.transform(F.array_distinct(tokens), lambda t: F.try_element_at(table, t)))
-    return claims.select(subject, F.explode(F.array_distinct(roles)).alias("role"))
+    return claims.select(subject, F.explode_outer(F.array_distinct(roles)).alias("role")).filter("role is not null")
 
 
 def entitlements(requests: DataFrame, principals: DataFrame, tools: DataFrame, deny: Sequence[str] = (),
@@ -47,7 +47,7 @@ def action_permissions(principals: DataFrame, policy: dict[str, Sequence[str]] |
     """One row per principal and policy action (a short literal list)."""
     table = F.array(*[F.struct(F.lit(a).alias("action"), string_array(list(r)).alias("need"))
                       for a, r in {**fixed.ACTION_ROLES, **(policy or {})}.items()])
-    rows = principals.select("principal", "roles", F.explode(table).alias("p"))
+    rows = principals.select("principal", "roles", F.explode_outer(table).alias("p"))
     return rows.select("principal", "p.action", F.coalesce(F.arrays_overlap("roles", "p.need"), F.lit(False)).alias("allowed"))
 
 

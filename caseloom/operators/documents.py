@@ -30,7 +30,7 @@ def chunk_text(docs: DataFrame, size: int = 1000, text_col: str = "text", id_col
     size = max(1, size)
     total = F.length(text_col)
     starts = F.sequence(F.lit(0), F.greatest(total - 1, F.lit(0)), F.lit(size))
-    rows = docs.filter(total > 0).select(id_col, text_col, F.posexplode(starts).alias("chunk", "start"))
+    rows = docs.filter(total > 0).select(id_col, text_col, F.posexplode_outer(starts).alias("chunk", "start"))
     return rows.select(id_col, "chunk", "start", F.least(F.col("start") + size, F.length(text_col)).alias("stop"),
                        F.substring(F.col(text_col), F.col("start") + 1, F.lit(size)).alias("text"))
 
@@ -62,11 +62,11 @@ def explore(docs: DataFrame, query_col: str = "query", text_col: str = "text", i
     parts = F.filter(F.transform(F.split(F.col(query_col), " and "), lambda p: F.trim(p)), lambda p: p != "")
     parts = F.when(F.size(parts) > 0, parts).otherwise(F.array(F.col(query_col)))
     base = docs.select(id_col, text_col, parts.alias("_parts"))
-    tasks = base.select(id_col, text_col, F.posexplode("_parts").alias("part", "task"))
+    tasks = base.select(id_col, text_col, F.posexplode_outer("_parts").alias("part", "task"))
     tasks = tasks.withColumn("_w", F.filter(F.split(F.lower("task"), r"\s+"), lambda w: w != ""))
     total = F.length(text_col)
     chunks = tasks.filter(total > 0).select(
-        id_col, "part", "_w", text_col, F.posexplode(F.sequence(F.lit(0), total - 1, F.lit(size))).alias("chunk", "start"))
+        id_col, "part", "_w", text_col, F.posexplode_outer(F.sequence(F.lit(0), total - 1, F.lit(size))).alias("chunk", "start"))
     body = F.substring(F.col(text_col), F.col("start") + 1, F.lit(size))
     scored = chunks.select(id_col, "part", "chunk", "_w", body.alias("_t")).withColumn("_low", F.lower("_t")).withColumn(
         "score", F.size(F.filter("_w", lambda w: F.col("_low").contains(w)))).filter(F.col("score") > 0)
@@ -88,7 +88,7 @@ def explore(docs: DataFrame, query_col: str = "query", text_col: str = "text", i
     stages = F.array(F.struct(F.lit(1).alias("seq"), F.lit("decompose").alias("stage"), F.concat(F.lit("subtasks="), F.col("n_parts").cast("string")).alias("detail")),
                      F.struct(F.lit(2), F.lit("explore"), F.lit("searched context")), F.struct(F.lit(3), F.lit("summarize"), F.lit("created summary")),
                      F.struct(F.lit(4), F.lit("finalize"), F.when(F.col("decision") == "answer", "final answer ready").otherwise(PLAN)))
-    return answers, answers.select(id_col, F.explode(stages).alias("t")).select(id_col, "t.seq", "t.stage", "t.detail")
+    return answers, answers.select(id_col, F.explode_outer(stages).alias("t")).select(id_col, "t.seq", "t.stage", "t.detail")
 
 
 def answer_quality(df: DataFrame, query: str = "query", answer: str = "answer", context: str = "context", threshold: float = 4.0,

@@ -68,7 +68,7 @@ def last_result(steps: DataFrame, tools: Sequence[str] | None = None, run: str =
     found = rows.groupBy(run, "tool").agg(F.max_by("result", "pos").alias("result"))
     if not tools:
         return found
-    wanted = steps.select(run).distinct().select(run, F.explode(F.array(*[F.lit(t) for t in tools])).alias("tool"))
+    wanted = steps.select(run).distinct().select(run, F.explode_outer(F.array(*[F.lit(t) for t in tools])).alias("tool"))
     return wanted.join(found, [run, "tool"], "left").withColumn("result", text("result"))
 
 
@@ -161,7 +161,7 @@ def compare_rules(cases: DataFrame, text_col: str, rules_a: Sequence[tuple], rul
         h = eval_vs_human(scored).filter(~F.col("adversarial"))
         return h.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")], F.sum(F.col("priority_match").cast("long")).alias("pm"),
                      F.count(F.lit(1)).alias("n")).select(
-            F.lit(variant).alias("variant"), F.explode(F.array(
+            F.lit(variant).alias("variant"), F.explode_outer(F.array(
                 F.struct(F.lit("micro_recall").alias("metric"), F.round(_ratio(F.col("tp"), F.col("tp") + F.col("fn"), 1.0), 3).alias("v")),
                 F.struct(F.lit("micro_precision").alias("metric"), F.round(_ratio(F.col("tp"), F.col("tp") + F.col("fp"), 1.0), 3).alias("v")),
                 F.struct(F.lit("priority_match").alias("metric"), F.round(_ratio(F.col("pm"), F.col("n"), 0.0), 3).alias("v")))).alias("m"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
@@ -13,13 +13,14 @@ from .graph import undirected
 from .ordering import first_rows
 
 
-def _grams(c: str, sizes: Sequence[int]):
+def _grams(c: str, sizes: Sequence[int]) -> Column:
     """Distinct character grams of the given sizes."""
-    per_size = [
-        F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)),
-                                             lambda i, n=n: F.substring(F.col(c), i, F.lit(n))))
-        .otherwise(F.array().cast("array<string>")) for n in sizes]
-    return F.array_distinct(F.concat(*per_size))
+    def of_size(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(c) - (n - 1))
+        return F.when(F.length(c) >= n, F.transform(starts, lambda i: F.substring(F.col(c), i, F.lit(n)))).otherwise(
+            F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[of_size(n) for n in sizes]))
 
 
 def substring_join(terms: DataFrame, texts: DataFrame, gram: int = 3) -> DataFrame:
@@ -33,9 +34,9 @@ def substring_join(terms: DataFrame, texts: DataFrame, gram: int = 3) -> DataFra
     sizes = sorted(r[0] for r in words.select("_n").distinct().collect())  # at most `gram` numbers
     if not sizes:
         return terms.select("term").join(texts.select("id"), F.lit(False))
-    index = texts.select("id", "text", F.explode(_grams("text", sizes)).alias("g"))
+    index = texts.select("id", "text", F.explode_outer(_grams("text", sizes)).alias("g"))
     freq = index.groupBy("g").agg(F.count(F.lit(1)).alias("_f"))
-    options = words.select("term", F.explode(_grams("term", sizes)).alias("g"), "_n").filter(F.length("g") == F.col("_n"))
+    options = words.select("term", F.explode_outer(_grams("term", sizes)).alias("g"), "_n").filter(F.length("g") == F.col("_n"))
     rarest = options.join(freq, "g", "left").groupBy("term").agg(
         F.min_by("g", F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("g").alias("x"))).alias("g"))
     return index.join(rarest, "g").filter(F.col("text").contains(F.col("term"))).select("term", "id").distinct()
@@ -43,7 +44,7 @@ def substring_join(terms: DataFrame, texts: DataFrame, gram: int = 3) -> DataFra
 
 def concept_matches(terms: DataFrame, concepts: DataFrame) -> DataFrame:
     """(term, concept id) pairs on id, name or any alias, case-insensitive."""
-    strings = concepts.select("id", F.explode(F.concat(F.array("id", "name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("t"))
+    strings = concepts.select("id", F.explode_outer(F.concat(F.array("id", "name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("t"))
     return substring_join(terms.select(F.lower("term").alias("term")), strings.select("id", F.lower("t").alias("text")).distinct())
 
 

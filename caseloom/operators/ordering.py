@@ -57,6 +57,11 @@ def last_before(
     )
 
 
+# Arrays are unnested with the outer form of explode throughout: for the plain
+# form the optimizer infers a "not empty" filter and evaluates the whole array
+# expression a second time below the generator.
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], n: int, rank: str = "rank") -> DataFrame:
     """First ``n`` rows per key. Spark keeps only n rows per key and task before
     the shuffle (window group limit), so a hot key stays cheap."""

@@ -21,8 +21,8 @@ def search_patients(patients: DataFrame, query: str | None = None) -> DataFrame:
 
 def summary_text() -> Column:
     """Demographics, one line per condition and observation, then the note."""
-    listed = [F.transform(unpack(c), lambda x, p=p: F.concat(F.lit(p), x))
-              for c, p in (("conditions", "Condition: "), ("observations", "Observation: "))]
+    labelled = lambda c, label: F.transform(unpack(c), lambda x: F.concat(F.lit(label), x))
+    listed = [labelled("conditions", "Condition: "), labelled("observations", "Observation: ")]
     head = F.concat(F.lit("Patient: "), text("name"), F.lit(", "), text("demographics"))
     return F.array_join(F.concat(F.array(head), *listed, F.array(F.concat(F.lit("Note: "), text("notes")))), "\n")
 
@@ -80,5 +80,5 @@ def followup_messages(followups: DataFrame) -> DataFrame:
     """Four header rows per accepted follow-up, from a literal flow table."""
     flow = F.array(*[F.struct(F.lit(s).alias("source"), F.lit(t).alias("target"), F.lit(b).alias("body_class"))
                      for s, t, b in fixed.FOLLOWUP_FLOW])
-    return followups.select("request_id", "patient_id", F.posexplode(flow).alias("_i", "m")).select(
+    return followups.select("request_id", "patient_id", F.posexplode_outer(flow).alias("_i", "m")).select(
         "request_id", "patient_id", (F.col("_i") + 1).alias("seq"), "m.*", F.lit(9).alias("status"))

@@ -57,7 +57,7 @@ def _positions(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def phi_entities(df: DataFrame, text_col: str, id_col: str = "id") -> DataFrame:
     """One row per entity with its character positions (Arrow batches)."""
     positions = F.pandas_udf(_positions, ENTITY)
-    return df.select(id_col, F.explode(positions(ascii_text(text_col))).alias("e")).select(id_col, "e.*")
+    return df.select(id_col, F.explode_outer(positions(ascii_text(text_col))).alias("e")).filter("e is not null").select(id_col, "e.*")
 
 
 def scan_phi(df: DataFrame, fields: Sequence[str], id_col: str = "id", source_col: str | None = None,
@@ -67,7 +67,7 @@ def scan_phi(df: DataFrame, fields: Sequence[str], id_col: str = "id", source_co
     Fields are unpivoted with an array of structs, so there is no shuffle."""
     src = df.withColumn("_src", F.col(source_col) if source_col else F.lit("default"))
     listed = F.array(*[F.struct(F.lit(f).alias("field"), ascii_text(f).alias("value")) for f in fields])
-    rows = policy_for(src, "_src").select(id_col, "threshold", "blocked", "safe", F.explode(listed).alias("f")).select(
+    rows = policy_for(src, "_src").select(id_col, "threshold", "blocked", "safe", F.explode_outer(listed).alias("f")).select(
         id_col, "threshold", "blocked", "safe", "f.*")
     is_blocked = F.array_contains("blocked", F.col("field"))
     is_safe = F.array_contains("safe", F.col("field"))
@@ -170,7 +170,7 @@ def resolve_refs(df: DataFrame, variables: DataFrame, text_col: str, id_col: str
     plain = df.filter(~F.coalesce(F.col(text_col).rlike(ref), F.lit(False))).select(id_col, text(text_col).alias("text"))
     names = F.regexp_extract_all(F.col(text_col), F.lit(ref), F.lit(1))
     pieces = F.split(F.col(text_col), ref, -1)
-    parts = with_refs.select(id_col, session_col, F.posexplode(F.arrays_zip(pieces.alias("piece"), names.alias("name")))
+    parts = with_refs.select(id_col, session_col, F.posexplode_outer(F.arrays_zip(pieces.alias("piece"), names.alias("name")))
                              .alias("pos", "p")).select(id_col, session_col, "pos", "p.piece", "p.name")
     values = variables.select(session_col, "name", F.col("value").alias("_value"))
     filled_in = parts.join(values, [session_col, "name"], "left")

@@ -54,7 +54,7 @@ def playbook_batch(patients: DataFrame, decisions: DataFrame, rules=None, thresh
             first, state(F.lit(True)), state(F.lit(True)), state(F.lit(True)),
             F.when(F.col("_wants") & F.col("_approve").isNotNull() & ~F.col("_approve"), "rejected").otherwise(state(F.col("_fired"), waiting)),
             state(F.col("_fired"), waiting)]))])
-    return runs, rows.select("run_id", F.explode(steps).alias("s")).select("run_id", "s.*")
+    return runs, rows.select("run_id", F.explode_outer(steps).alias("s")).select("run_id", "s.*")
 
 
 def assess_all(patients: DataFrame, decisions: DataFrame, rules=None, thresholds=None) -> DataFrame:

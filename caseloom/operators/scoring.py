@@ -137,7 +137,7 @@ def plan_body(steps: Column) -> Column:
 def care_plan(df: DataFrame, mode: str = "label", id_col: str = "patient_id", score_col: str = "score_text") -> DataFrame:
     """One row per numbered plan step."""
     planned = with_plan_steps(df, mode, score_col)
-    return planned.select(id_col, F.posexplode("plan_steps").alias("_pos", "step")).select(
+    return planned.select(id_col, F.posexplode_outer("plan_steps").alias("_pos", "step")).select(
         id_col, (F.col("_pos") + 1).alias("step_no"), "step"
     )
 
@@ -199,7 +199,7 @@ def protocols_for(c: Column, rules: Sequence[tuple] = tuple(fixed.PROTOCOL_RULES
 def match_protocols(df: DataFrame, text_col: str, rules: Sequence[tuple] = tuple(fixed.PROTOCOL_RULES),
                     defaults: Sequence[str] = tuple(fixed.PROTOCOL_DEFAULTS), id_col: str = "patient_id") -> DataFrame:
     """One row per (id, matched protocol)."""
-    return df.select(id_col, F.explode(F.array_distinct(protocols_for(F.col(text_col), rules, defaults))).alias("protocol"))
+    return df.select(id_col, F.explode_outer(F.array_distinct(protocols_for(F.col(text_col), rules, defaults))).alias("protocol"))
 
 
 def community_resources(requests: DataFrame, resources: DataFrame, fallback: Sequence[tuple] | None = None) -> DataFrame:
@@ -220,4 +220,4 @@ def community_resources(requests: DataFrame, resources: DataFrame, fallback: Seq
     narrowed = F.filter(spare, lambda r: (r["category"] == F.col("_want")) | (r["category"] == "all"))
     instead = F.when(F.col("_known") | (F.col("_want") == "") | (F.size(narrowed) == 0), spare).otherwise(narrowed)
     shown = F.when(F.col("_p").isNotNull(), F.array(F.struct(*names))).otherwise(instead)
-    return joined.select("req_id", F.explode(shown).alias("r")).select("req_id", "r.*")
+    return joined.select("req_id", F.explode_outer(shown).alias("r")).select("req_id", "r.*")

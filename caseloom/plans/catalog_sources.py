@@ -226,10 +226,12 @@ def _(spark, sf):
     return c.select("patient_id", at("$.subject.reference").alias("subject"), at("$.period.start").alias("start"), at("$.category[0].coding[0].code").alias("code"), at("$.note[0].text").alias("note"))
 
 
-@query("s19_vectors_from_csv", with_views("SELECT id, len(vec) AS dim, round(round(vec[1], 6), 4) AS first, round(round(vec[-1], 6), 4) AS last FROM vectors", "vectors"))
+@query("s19_vectors_from_csv", with_views("SELECT id, len(vec) AS dim, true AS close FROM vectors", "vectors"))
 def _(spark, sf):
-    v = tables.vectors_from_csv(tables.vectors_to_csv(V.vectors(spark, sf)), "csv", 64)
-    return v.select("id", F.size("vec").alias("dim"), F.round(F.element_at("vec", 1), 4).alias("first"), F.round(F.element_at("vec", -1), 4).alias("last"))
+    v = V.vectors(spark, sf)
+    parsed = tables.vectors_from_csv(tables.vectors_to_csv(v), "csv", 64)
+    far = F.exists(F.zip_with("vec", "_v", lambda a, b: F.abs(a - b)), lambda d: d > 0.0000006)
+    return parsed.join(v.select("id", F.col("vec").alias("_v")), "id").select("id", F.size("vec").alias("dim"), (~far).alias("close"))
 
 
 @query("s20_patient_nodes", with_views("""SELECT 'patient-' || patient_id AS node_id, string_agg(line, chr(10) ORDER BY r) AS summary FROM (

@@ -251,7 +251,7 @@ CTE["contradictions"] = f"""contradictions AS (SELECT DISTINCT 'x' || {_KEY} AS
 def terms(spark: SparkSession, sf: str) -> DataFrame:
     """Search terms: part types, brands and the first word of part names."""
     p = table(spark, sf, "part")
-    return p.select(F.explode(F.array(F.col("p_type"), F.col("p_brand"), F.split_part("p_name", F.lit(" "), F.lit(1)), F.col("p_name"))).alias("term")).distinct()
+    return p.select(F.explode_outer(F.array(F.col("p_type"), F.col("p_brand"), F.split_part("p_name", F.lit(" "), F.lit(1)), F.col("p_name"))).alias("term")).distinct()
 
 
 CTE["terms"] = """terms AS (SELECT DISTINCT lower(t) AS term FROM (SELECT p_type AS t FROM part UNION ALL SELECT p_brand FROM part
@@ -336,7 +336,7 @@ def bundles(spark: SparkSession, sf: str) -> DataFrame:
                              F.struct(F.col("d").alias("start")).alias("period")))
     # bundles hold one resource each, as incremental exports do: no grouping of a customer's orders
     wrap = lambda r: F.concat(F.lit('{"resourceType":"Bundle","entry":[{"resource":'), r, F.lit("}]}"))
-    both = F.explode(F.array(patient, note))
+    both = F.explode_outer(F.array(patient, note))
     base = p.select("patient_id", both.alias("_r")).select("patient_id", wrap(F.col("_r")).alias("bundle"))
-    extra = o.select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("patient_id"), F.explode(F.array(cond, enc)).alias("_r")).select("patient_id", wrap(F.col("_r")).alias("bundle"))
+    extra = o.select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("patient_id"), F.explode_outer(F.array(cond, enc)).alias("_r")).select("patient_id", wrap(F.col("_r")).alias("bundle"))
     return base.unionByName(extra)

@@ -24,7 +24,7 @@ RESOURCES = {
 def bundle_entries(df: DataFrame, json_col: str, keep: list[str] | None = None) -> DataFrame:
     """One row per resource: kept columns, position, type and raw resource JSON."""
     parsed = df.select(*(keep or []), F.from_json(json_col, ENTRIES)["entry"].alias("_e"))
-    rows = parsed.select(*(keep or []), F.posexplode("_e").alias("pos", "e"))
+    rows = parsed.select(*(keep or []), F.posexplode_outer("_e").alias("pos", "e")).filter("e is not null")
     raw = F.col("e.resource")
     return rows.select(*(keep or []), "pos", F.get_json_object(raw, "$.resourceType").alias("resource_type"), raw.alias("resource"))
 

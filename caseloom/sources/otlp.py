@@ -17,9 +17,9 @@ PAYLOAD = f"struct<resourceSpans:array<struct<scopeSpans:array<struct<spans:arra
 def spans_from_otlp(df: DataFrame, json_col: str) -> DataFrame:
     """Explode payloads to spans. An attribute takes its string, else its
     integer, else its boolean value; typed, so 0 and "" are kept."""
-    rs = df.select(F.explode(F.from_json(json_col, PAYLOAD)["resourceSpans"]).alias("r"))
-    ss = rs.select(F.explode("r.scopeSpans").alias("s"))
-    s = ss.select(F.explode("s.spans").alias("x")).select("x.*")
+    rs = df.select(F.explode_outer(F.from_json(json_col, PAYLOAD)["resourceSpans"]).alias("r"))
+    ss = rs.select(F.explode_outer("r.scopeSpans").alias("s"))
+    s = ss.select(F.explode_outer("s.spans").alias("x")).filter("x is not null").select("x.*")
     value = lambda a: F.coalesce(a["value"]["stringValue"], a["value"]["intValue"], a["value"]["boolValue"].cast("string"))
     pairs = F.transform(F.coalesce("attributes", F.array().cast(ATTRS)), lambda a: F.struct(a["key"].alias("k"), value(a).alias("v")))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["k"] == p["k"]))

@@ -75,7 +75,7 @@ CASES = ("struct<cases:array<struct<id:string,patientId:string,prompt:string,sea
 
 
 def cases_from_json(df: DataFrame, json_col: str) -> DataFrame:
-    c = df.select(F.explode(F.from_json(json_col, CASES)["cases"]).alias("c")).select("c.*")
+    c = df.select(F.explode_outer(F.from_json(json_col, CASES)["cases"]).alias("c")).filter("c is not null").select("c.*")
     return c.select(
         F.col("id").alias("case_id"), F.col("patientId").alias("patient_id"), "prompt", "search_query", "expect_followup", "priority",
         F.coalesce("adversarial", F.lit(False)).alias("adversarial"), "agent_summary", "expected_trajectory",
@@ -98,12 +98,12 @@ def append_triples(articles: DataFrame, agent: str = "kb.writer") -> tuple[DataF
     generated_at, source_tickets)``; the list ends at its first empty entry."""
     node = F.concat(F.lit("kb_article:"), F.col("article_id"))
     entries = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("val")) for k in ("article_id", "category", "generated_at")])
-    props = articles.select(node.alias("id"), F.explode(entries).alias("e")).select("id", "e.*")
+    props = articles.select(node.alias("id"), F.explode_outer(entries).alias("e")).select("id", "e.*")
     authored = articles.select(F.lit(f"agent:{agent}").alias("src"), F.lit("AUTHORED_KB").alias("pred"), node.alias("dst"))
     pieces = F.split(text("source_tickets"), ",", -1)
     gap = F.array_position(pieces, F.lit("")).cast("int")
     listed = F.when(gap == 0, pieces).otherwise(F.slice(pieces, F.lit(1), F.greatest(gap - 1, F.lit(0))))
-    sourced = articles.select(F.explode(listed).alias("t"), node.alias("dst")).select(
+    sourced = articles.select(F.explode_outer(listed).alias("t"), node.alias("dst")).filter("t is not null").select(
         F.concat(F.lit("pc_ticket:"), F.trim("t")).alias("src"), F.lit("SOURCED_KB").alias("pred"), "dst")
     return props, authored.unionByName(sourced)
 
