@@ -85,9 +85,11 @@ def explore(docs: DataFrame, query_col: str = "query", text_col: str = "text", i
     out = out.withColumn("confidence", confidence).withColumn(
         "decision", F.when(F.col("confidence") < 0.35, "next_step_plan").otherwise("answer"))
     answers = out.select(id_col, "decision", F.when(F.col("decision") == "answer", F.col("_a")).otherwise(PLAN).alias("answer"), "confidence", "n_parts")
-    stages = F.array(F.struct(F.lit(1).alias("seq"), F.lit("decompose").alias("stage"), F.concat(F.lit("subtasks="), F.col("n_parts").cast("string")).alias("detail")),
-                     F.struct(F.lit(2), F.lit("explore"), F.lit("searched context")), F.struct(F.lit(3), F.lit("summarize"), F.lit("created summary")),
-                     F.struct(F.lit(4), F.lit("finalize"), F.when(F.col("decision") == "answer", "final answer ready").otherwise(PLAN)))
+    stage = lambda seq, name, detail: F.struct(F.lit(seq).alias("seq"), F.lit(name).alias("stage"), detail.alias("detail"))
+    stages = F.array(
+        stage(1, "decompose", F.concat(F.lit("subtasks="), F.col("n_parts").cast("string"))), stage(2, "explore", F.lit("searched context")),
+        stage(3, "summarize", F.lit("created summary")),
+        stage(4, "finalize", F.when(F.col("decision") == "answer", "final answer ready").otherwise(PLAN)))
     return answers, answers.select(id_col, F.explode_outer(stages).alias("t")).select(id_col, "t.seq", "t.stage", "t.detail")
 
 
