@@ -161,6 +161,12 @@ PHI_PATTERNS = [
     ("IP_ADDRESS", r"\b(?:\d{1,3}\.){3}\d{1,3}\b"),
     ("ZIP_CODE", r"\b\d{5}(?:-\d{4})?\b"),
 ]
+# a text without the marks of a rule cannot match it: plain words (any one is
+# enough, compared in lower case) or a short expression that every match contains
+PHI_MARK_WORDS = {"EMAIL": ["@"], "MRN": ["mrn", "medical", "patient", "#"],
+                  "HEALTH_PLAN": ["health", "beneficiary", "member", "group"]}
+PHI_MARK_PATTERNS = {"DATE_WITH_DAY": r"\d{4}", "PHONE": r"\d{3}", "SSN": r"\d{3}-\d{2}", "IP_ADDRESS": r"\d\.\d",
+                     "ZIP_CODE": r"\d{5}"}
 PHI_PATTERN_SCORE = 0.5
 PHI_SAFE_FIELDS = ["sdoh_domain", "sdoh_score", "risk_level", "protocol_id", "loinc_code", "snomed_code",
                    "icd10_code", "claim_id", "encounter_type"]

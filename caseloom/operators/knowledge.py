@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.columns import filled, text
+from ..session import stable
 from .graph import undirected
 from .ordering import first_rows
 
@@ -23,23 +24,31 @@ def _grams(c: str, sizes: Sequence[int]) -> Column:
     return F.array_distinct(F.concat(*[of_size(n) for n in sizes]))
 
 
+BROADCAST_TERMS = 200_000  # gram rows; a few megabytes at most
+
+
 def substring_join(terms: DataFrame, texts: DataFrame, gram: int = 3) -> DataFrame:
     """Exact pairs (term, id) where ``term`` occurs in ``text``, without comparing
     everything with everything. ``terms(term)``, ``texts(id, text)``.
 
     Every term must contain all its character grams, so it is enough to look it
-    up by its *rarest* gram: an equi-join on that gram, then ``contains``."""
+    up by its *rarest* gram: an equi-join on that gram, then ``contains``. The
+    gram rows of the terms are counted first: few enough, they are broadcast and
+    the texts are only scanned; otherwise both sides shuffle on the gram."""
     words = terms.select("term").filter(F.length("term") > 0).distinct()
     words = words.withColumn("_n", F.least(F.length("term"), F.lit(gram)))
-    sizes = sorted(r[0] for r in words.select("_n").distinct().collect())  # at most `gram` numbers
+    sizes = [r["_n"] for r in words.groupBy("_n").agg(F.count(F.lit(1))).collect()]  # at most `gram` rows
     if not sizes:
         return terms.select("term").join(texts.select("id"), F.lit(False))
-    index = texts.select("id", "text", F.explode_outer(_grams("text", sizes)).alias("g"))
-    freq = index.groupBy("g").agg(F.count(F.lit(1)).alias("_f"))
-    options = words.select("term", F.explode_outer(_grams("term", sizes)).alias("g"), "_n").filter(F.length("g") == F.col("_n"))
+    options = stable(words.select("term", "_n", F.explode_outer(_grams("term", sorted(sizes))).alias("g")).filter(F.length("g") == F.col("_n")))
+    small = options.count() <= BROADCAST_TERMS
+    ship = F.broadcast if small else (lambda df: df)
+    index = texts.select("id", "text", F.explode_outer(_grams("text", sorted(sizes))).alias("g"))
+    freq = index.select("g").join(ship(options.select("g").distinct()), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("_f"))
     rarest = options.join(freq, "g", "left").groupBy("term").agg(
         F.min_by("g", F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("g").alias("x"))).alias("g"))
-    return index.join(rarest, "g").filter(F.col("text").contains(F.col("term"))).select("term", "id").distinct()
+    pairs = index.join(ship(rarest), "g").filter(F.col("text").contains(F.col("term"))).select("term", "id")
+    return pairs.distinct()
 
 
 def concept_matches(terms: DataFrame, concepts: DataFrame) -> DataFrame:

@@ -41,9 +41,20 @@ def policy_for(df: DataFrame, source_col: str, policy: Column | None = None) ->
             .withColumn("safe", string_array(fixed.PHI_SAFE_FIELDS)))
 
 
+def may_match(c: Column, name: str) -> Column:
+    """Cheap necessary condition of a rule, so that most texts skip the costly
+    expression. True for rules without known marks."""
+    if name in fixed.PHI_MARK_WORDS:
+        return contains_any(F.lower(c), fixed.PHI_MARK_WORDS[name])
+    if name in fixed.PHI_MARK_PATTERNS:
+        return c.rlike(fixed.PHI_MARK_PATTERNS[name])
+    return F.lit(True)
+
+
 def entity_counts(c: Column, rules: Sequence[tuple[str, str]] = tuple(fixed.PHI_PATTERNS)) -> Column:
     """Matches per rule as an array of (type, n); stays inside the JVM."""
-    return F.array(*[F.struct(F.lit(name).alias("type"), F.regexp_count(c, F.lit(rx)).alias("n")) for name, rx in rules])
+    n = lambda name, rx: F.when(may_match(c, name), F.regexp_count(c, F.lit(rx))).otherwise(0)
+    return F.array(*[F.struct(F.lit(name).alias("type"), n(name, rx).alias("n")) for name, rx in rules])
 
 
 def _positions(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -81,18 +92,17 @@ def scan_phi(df: DataFrame, fields: Sequence[str], id_col: str = "id", source_co
     return out.withColumn("provider", F.when(F.col("is_sensitive"), "local").otherwise("cloud"))
 
 
-def redacted(c: Column | str, rules: Sequence[tuple[str, str]] = tuple(fixed.PHI_PATTERNS),
-             placeholders: dict[str, str] | None = None) -> Column:
-    out = ascii_text(c)
-    for name, rx in rules:
-        out = F.regexp_replace(out, rx, (placeholders or {}).get(name, f"<{name}>"))
-    return out
-
-
 def redact_phi(df: DataFrame, text_col: str, id_col: str = "id",
-               rules: Sequence[tuple[str, str]] = tuple(fixed.PHI_PATTERNS)) -> DataFrame:
-    total = F.aggregate(entity_counts(ascii_text(text_col), rules), F.lit(0), lambda a, e: a + e["n"])
-    return df.select(id_col, redacted(text_col, rules).alias("redacted"), total.alias("n_entities"))
+               rules: Sequence[tuple[str, str]] = tuple(fixed.PHI_PATTERNS), placeholders: dict[str, str] | None = None) -> DataFrame:
+    """Replace every match by ``<TYPE>`` (or a given placeholder), rule by rule.
+    Each rule is a projection step of its own, so no step repeats another."""
+    out = df.select(id_col, ascii_text(text_col).alias("_t"))
+    out = out.withColumn("_n", entity_counts(F.col("_t"), rules)).withColumn("redacted", F.col("_t"))
+    for name, rx in rules:
+        to = (placeholders or {}).get(name, f"<{name}>")
+        cut = F.regexp_replace("redacted", rx, to)
+        out = out.withColumn("redacted", F.when(may_match(F.col("redacted"), name), cut).otherwise(F.col("redacted")))
+    return out.select(id_col, "redacted", F.aggregate("_n", F.lit(0), lambda a, e: a + e["n"]).alias("n_entities"))
 
 
 def routing_audit(df: DataFrame, fields: Sequence[str], id_col: str = "id", source_col: str | None = None) -> DataFrame:

@@ -282,12 +282,12 @@ def _(spark, sf):
 
 @query("t01_context_info", "SELECT doc_id, length(text) AS chars, length(text) // 4 AS tokens, length(text) - length(replace(text, chr(10), '')) AS lines FROM documents")
 def _(spark, sf):
-    return documents.context_info(V.table(spark, sf, "documents"))
+    return documents.context_info(V.texts(spark, sf))
 
 
 @query("t02_filter_text", """SELECT doc_id, array_to_string(m[1:20], '|') AS matches, greatest(len(m) - 20, 0) AS n_more FROM (SELECT doc_id, regexp_extract_all(text, '(?im)^[a-z]+tion') AS m FROM documents) WHERE len(m) > 0""")
 def _(spark, sf):
-    f = documents.filter_text(V.table(spark, sf, "documents"), "^[a-z]+tion")
+    f = documents.filter_text(V.texts(spark, sf), "^[a-z]+tion")
     return f.select("doc_id", F.array_join("matches", "|").alias("matches"), "n_more")
 
 
@@ -296,7 +296,7 @@ CHUNKS = """chunks AS (SELECT doc_id, c AS chunk, c * 1000 AS start, least(c * 1
 
 @query("t03_chunk_text", "WITH " + CHUNKS + " SELECT * FROM chunks")
 def _(spark, sf):
-    return documents.chunk_text(V.table(spark, sf, "documents"))
+    return documents.chunk_text(V.texts(spark, sf))
 
 
 _WORDS = ["the", "tion", "and", "heit", "que"]
@@ -306,11 +306,11 @@ _SC = " + ".join(f"CASE WHEN contains(lower(text), '{w}') THEN 1 ELSE 0 END" for
 @query("t04_search_chunks", "WITH " + CHUNKS + f""" SELECT doc_id, chunk, score, substring(text, 1, 500) AS excerpt, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk DESC) AS rank
  FROM (SELECT *, {_SC} AS score FROM chunks) WHERE score > 0 QUALIFY rank <= 5""")
 def _(spark, sf):
-    return documents.search_chunks(V.table(spark, sf, "documents"), " ".join(_WORDS), 5)
+    return documents.search_chunks(V.texts(spark, sf), " ".join(_WORDS), 5)
 
 
 def explored(spark, sf):
-    d = V.table(spark, sf, "documents")
+    d = V.texts(spark, sf)
     q = F.when(F.col("doc_id") % 4 == 0, "tion ment and que heit").when(F.col("doc_id") % 4 == 1, "zzz qqq and xyzzy").otherwise("The and und")
     return documents.explore(d.withColumn("query", q))
 
@@ -341,7 +341,7 @@ def _(spark, sf):
 
 def cited(spark, sf):
     """Documents as answers that cite their own lines; some quotes are altered."""
-    d = V.table(spark, sf, "documents")
+    d = V.texts(spark, sf)
     first, last = F.split_part("text", F.lit("\n"), F.lit(1)), F.split_part("text", F.lit("\n"), F.lit(-1))
     dec = lambda s, rule, quote: F.struct(s.alias("source"), rule.alias("rule"), F.col("lang").alias("rationale"), quote.alias("quote"))
     none = F.lit(None).cast("string")

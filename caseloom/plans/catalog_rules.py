@@ -149,12 +149,12 @@ PHI_SUM = " + ".join(f"n_{name.lower()}" for name, _ in fixed.PHI_PATTERNS)
 @query("p14_field_policy", "SELECT doc_id, CASE WHEN doc_id % 4 IN (0, 2) THEN 0.3::DOUBLE ELSE 0.35::DOUBLE END AS threshold, 19 AS n_blocked, 9 AS n_safe FROM documents")
 def _(spark, sf):
     names = F.array(*[F.lit(x) for x in ("fhir", "sdoh_assessment", "prior_auth", "unheard_of")])
-    d = V.table(spark, sf, "documents").withColumn("src", F.element_at(names, (F.col("doc_id") % 4 + 1).cast("int")))
+    d = V.texts(spark, sf).withColumn("src", F.element_at(names, (F.col("doc_id") % 4 + 1).cast("int")))
     return phi.policy_for(d, "src").select("doc_id", "threshold", F.size("blocked").alias("n_blocked"), F.size("safe").alias("n_safe"))
 
 
 def phi_fields(spark, sf):
-    d = V.table(spark, sf, "documents")
+    d = V.texts(spark, sf)
     return d.select("doc_id", "text", F.col("lang").alias("risk_level"), F.col("source").alias("email"), F.lit("fhir").alias("src"))
 
 
@@ -173,14 +173,14 @@ def _entity_totals_sql() -> str:
 
 @query("p15_phi_entities", _entity_totals_sql())
 def _(spark, sf):
-    e = phi.phi_entities(V.table(spark, sf, "documents"), "text", "doc_id")
+    e = phi.phi_entities(V.texts(spark, sf), "text", "doc_id")
     return e.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("p16_redact_phi", f"""SELECT doc_id, {redact_sql(ASCII.format(c='text'))} AS redacted, CAST({PHI_SUM} AS BIGINT) AS n_entities FROM (
  SELECT doc_id, text, {phi_counts_sql(ASCII.format(c='text'))} FROM documents)""")
 def _(spark, sf):
-    return phi.redact_phi(V.table(spark, sf, "documents"), "text", "doc_id")
+    return phi.redact_phi(V.texts(spark, sf), "text", "doc_id")
 
 
 @query("p17_routing_audit", f"""WITH c AS (SELECT doc_id, {phi_counts_sql(ASCII.format(c='text'))} FROM documents)
@@ -192,7 +192,7 @@ def _(spark, sf):
 
 def payloads(spark, sf):
     """Documents with trigger words put in front of every fifth one."""
-    d = V.table(spark, sf, "documents")
+    d = V.texts(spark, sf)
     head = (F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("Patient Name: Ann Lee, mrn=77, "), F.lit("dob: 1970\n")))
             .when(F.col("doc_id") % 15 == 5, "claim FAIL_DEID ").when(F.col("doc_id") % 5 == 0, "encounter ssn : 123\n").otherwise(""))
     return d.select(F.col("doc_id").alias("id"), F.concat(head, "text").alias("text"))
@@ -238,7 +238,7 @@ def _(spark, sf):
 
 @query("p22_resolve_refs", """SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'see ' || source || ' and <missing:nope>.' ELSE text END AS text FROM documents""")
 def _(spark, sf):
-    d = V.table(spark, sf, "documents")
+    d = V.texts(spark, sf)
     t = F.when(F.col("doc_id") % 3 == 0, "see {{var:where}} and {{var:nope}}.").otherwise(F.col("text"))
     rows = d.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("session_id"), t.alias("text"))
     variables = d.select(F.col("doc_id").alias("session_id"), F.lit("where").alias("name"), F.col("source").alias("value"))

@@ -186,7 +186,7 @@ def _(spark, sf):
   SELECT doc_id, c, substring(text, c * 1000 + 1, 1000) AS t FROM documents, unnest(range(0, (length(text) + 999) // 1000)) u(c)) WHERE contains(lower(t), 'que') OR contains(lower(t), 'the')""", "tickets"))
 def _(spark, sf):
     sqlfuncs.register_table_functions(spark, [(["tion", "heit"], ["A1"]), (["ment", "ung"], ["B1"])], ["Z1"])
-    V.table(spark, sf, "documents").createOrReplaceTempView("u02_documents")
+    V.texts(spark, sf).createOrReplaceTempView("u02_documents")
     return spark.sql("""SELECT 'protocol' AS kind, d.doc_id, m.protocol AS name FROM u02_documents d, LATERAL match_protocols(d.text) m
       UNION ALL SELECT 'chunk', d.doc_id, concat(c.chunk, ':', c.score) FROM u02_documents d, LATERAL search_chunks(d.text, 'que the') c""")
 

@@ -68,7 +68,7 @@ def _(spark, sf):
 
 
 def wiki_files(spark, sf):
-    d = V.table(spark, sf, "documents")
+    d = V.texts(spark, sf)
     text = F.concat(F.lit("# Page "), F.col("source"), F.lit("\n\n"), F.when(F.col("doc_id") % 2 == 0, "_Last updated: ").otherwise("*Last updated: "),
                     F.col("lang"), F.lit("\n"), F.col("text"), F.when(F.col("doc_id") % 5 == 0, "\n## Knowledge Gaps\n").otherwise(""))
     name = F.when(F.col("doc_id") == 3, "README.md").otherwise(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md")))
@@ -83,7 +83,7 @@ def _(spark, sf):
 
 @query("s07_read_notes", """SELECT 'doc' || doc_id AS id, 'Note' AS type, source || ': ' || lang AS source, length(text) AS n_body FROM documents""")
 def _(spark, sf):
-    d = V.table(spark, sf, "documents")
+    d = V.texts(spark, sf)
     text = F.concat(F.lit("---\nid: first\nid: doc"), F.col("doc_id").cast("string"), F.lit("\ntype: Note\nsource: "), F.col("source"), F.lit(": "), F.col("lang"), F.lit("\n---\n"), F.col("text"))
     n = notes.shape_notes(d.select(F.lit("f").alias("file"), text.alias("text")))
     return n.select("id", "type", F.try_element_at("frontmatter", F.lit("source")).alias("source"), F.length("body").alias("n_body"))
@@ -120,7 +120,7 @@ def _(spark, sf):
 
 @query("s10_read_kb_stubs", "SELECT 'd' || doc_id AS id, source AS title, lang AS category, text AS content FROM documents")
 def _(spark, sf):
-    d = V.table(spark, sf, "documents")
+    d = V.texts(spark, sf)
     path = scratch(spark, "stubs")
     d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("title"), F.col("lang").alias("category"), F.col("text").alias("content")).write.json(path)
     return tables.read_kb_stubs(spark, path, lines=True).select("id", "title", "category", "content")

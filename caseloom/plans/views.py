@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 AS_OF = "2024-01-31 00:00:00"
 
 # Risk and protocol rules on syllables that occur in the corpus: the same rule
@@ -38,6 +40,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
+    """A table whose rows are costly to process, spread over the cores."""
+    return spread(table(spark, sf, name))
+
+
 def pc_id(c: str):
     s = F.col(c).cast("string")
     return F.concat(F.lit("PC-"), F.lpad(s, F.greatest(F.lit(5), F.length(s)), F.lit("0")))
@@ -53,7 +60,7 @@ def with_views(body: str, *names: str) -> str:
 
 
 def tickets(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    d = texts(spark, sf).join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
     good = F.col("quality") == 1
     return d.select(
         pc_id("doc_id").alias("ticket_id"), F.upper("source").alias("category"), F.col("lang").alias("hospital"),
@@ -75,12 +82,12 @@ CTE["tickets"] = f"""tickets AS (
 
 
 def patients(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     n_docs = docs.count()  # one number from the file footers
     orders = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.array_join(F.sort_array(F.collect_set("o_orderstatus")), "|").alias("statuses"))
     nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    c = table(spark, sf, "customer").join(nation, "c_nationkey").join(orders, "c_custkey", "left")
+    c = texts(spark, sf, "customer").join(nation, "c_nationkey").join(orders, "c_custkey", "left")
     c = c.withColumn("doc_id", F.col("c_custkey") % n_docs).join(docs.select("doc_id", "text"), "doc_id", "left")
     return c.select(
         F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("patient_id"), F.col("c_name").alias("name"),
@@ -322,7 +329,7 @@ def bundles(spark: SparkSession, sf: str) -> DataFrame:
     """One FHIR bundle per customer: Patient, Conditions and Encounters from a
     bounded number of orders, and the note."""
     p = patients(spark, sf)
-    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"))
+    o = texts(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"))
     ref = lambda key: F.struct(F.concat(F.lit("Patient/p"), F.col(key).cast("string")).alias("reference"))
     patient = F.to_json(F.struct(F.lit("Patient").alias("resourceType"), F.col("patient_id").alias("id"),
                                  F.when(F.col("c_acctbal") >= 0, "1970-01-01").alias("birthDate"), F.lit("unknown").alias("gender"),

@@ -36,6 +36,15 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="caseloom-ckpt-")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a plain file scan at least one task per core. A file with a single
+    row group is read by one task, which leaves the other cores idle in front of
+    costly expressions. A table of cluster size has splits enough and is left
+    alone; filters and column pruning still pass through to the scan."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so later stages survive the
     loss of an executor and iterated plans stay short."""
