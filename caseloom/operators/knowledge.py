@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.columns import filled, text
-from ..session import stable
+from ..session import small, stable
 from .graph import undirected
 from .ordering import first_rows
 
@@ -24,37 +24,33 @@ def _grams(c: str, sizes: Sequence[int]) -> Column:
     return F.array_distinct(F.concat(*[of_size(n) for n in sizes]))
 
 
-BROADCAST_TERMS = 200_000  # gram rows; a few megabytes at most
-
-
 def substring_join(terms: DataFrame, texts: DataFrame, gram: int = 3) -> DataFrame:
     """Exact pairs (term, id) where ``term`` occurs in ``text``, without comparing
     everything with everything. ``terms(term)``, ``texts(id, text)``.
 
     Every term must contain all its character grams, so it is enough to look it
     up by its *rarest* gram: an equi-join on that gram, then ``contains``. The
-    gram rows of the terms are counted first: few enough, they are broadcast and
-    the texts are only scanned; otherwise both sides shuffle on the gram."""
+    texts are unnested to grams twice, once to count and once to match. Term
+    tables whose counted rows are few are broadcast and the texts are only
+    scanned; otherwise both sides shuffle on the gram."""
     words = terms.select("term").filter(F.length("term") > 0).distinct()
     words = words.withColumn("_n", F.least(F.length("term"), F.lit(gram)))
     sizes = [r["_n"] for r in words.groupBy("_n").agg(F.count(F.lit(1))).collect()]  # at most `gram` rows
     if not sizes:
         return terms.select("term").join(texts.select("id"), F.lit(False))
-    options = stable(words.select("term", "_n", F.explode_outer(_grams("term", sorted(sizes))).alias("g")).filter(F.length("g") == F.col("_n")))
-    small = options.count() <= BROADCAST_TERMS
-    ship = F.broadcast if small else (lambda df: df)
+    options = words.select("term", "_n", F.explode_outer(_grams("term", sorted(sizes))).alias("g")).filter(F.length("g") == F.col("_n"))
     index = texts.select("id", "text", F.explode_outer(_grams("text", sorted(sizes))).alias("g"))
-    freq = index.select("g").join(ship(options.select("g").distinct()), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("_f"))
+    freq = index.select("g").join(small(options.select("g").distinct()), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("_f"))
     rarest = options.join(freq, "g", "left").groupBy("term").agg(
         F.min_by("g", F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("g").alias("x"))).alias("g"))
-    pairs = index.join(ship(rarest), "g").filter(F.col("text").contains(F.col("term"))).select("term", "id")
+    pairs = index.join(small(rarest), "g").filter(F.col("text").contains(F.col("term"))).select("term", "id")
     return pairs.distinct()
 
 
 def concept_matches(terms: DataFrame, concepts: DataFrame) -> DataFrame:
     """(term, concept id) pairs on id, name or any alias, case-insensitive."""
     strings = concepts.select("id", F.explode_outer(F.concat(F.array("id", "name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("t"))
-    return substring_join(terms.select(F.lower("term").alias("term")), strings.select("id", F.lower("t").alias("text")).distinct())
+    return substring_join(terms.select(F.lower("term").alias("term")), strings.select("id", F.lower("t").alias("text")))
 
 
 def knowledge_context(terms: DataFrame, concepts: DataFrame, decisions: DataFrame, limit: int = 20) -> DataFrame:
@@ -73,7 +69,7 @@ def contradiction_gate(terms: DataFrame, concepts: DataFrame, contradictions: Da
     lists the first ``limit``."""
     open_ = contradictions.filter(F.col("status") == "UNRESOLVED").select(
         "concept_id", F.col("id").alias("ct_id"), "statement_a", "source_a", "statement_b", "source_b", "owner")
-    rows = concept_matches(terms, concepts).withColumnRenamed("id", "concept_id").join(open_, "concept_id")
+    rows = stable(concept_matches(terms, concepts).withColumnRenamed("id", "concept_id").join(open_, "concept_id"))  # read twice
     counts = rows.groupBy("term").agg(F.count(F.lit(1)).alias("unresolved_count"))
     shown = first_rows(rows, ["term"], ["ct_id"], limit).groupBy("term").agg(
         F.sort_array(F.collect_list(F.struct("ct_id", "statement_a", "source_a", "statement_b", "source_b", "owner"))).alias("detail"))

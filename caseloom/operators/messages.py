@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.columns import filled, hex_id, last_piece
+from ..session import small
 from .ordering import running_index
 
 
@@ -102,10 +103,11 @@ def message_spans(headers: DataFrame, system: str = "interop") -> DataFrame:
 def zscore_anomalies(samples: DataFrame, z: float = 2.5, high: float = 3.5, min_n: int = 5) -> DataFrame:
     """Samples more than ``z`` sample deviations from their metric's mean.
     Statistics come from a map-side combined aggregate joined back (one row per
-    metric), not from a window that would sort a hot metric in one task."""
+    metric), not from a window that would sort a hot metric in one task. Counted
+    short, they are broadcast, so the samples themselves never shuffle."""
     stats = samples.groupBy("metric").agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
-    stats = stats.filter((F.col("n") >= min_n) & (F.col("sd") > 0))
+    stats = small(stats.filter((F.col("n") >= min_n) & (F.col("sd") > 0)))
     score = F.abs((F.col("value") - F.col("mean")) / F.col("sd"))
     return (samples.join(stats, "metric").withColumn("_z", score).filter(F.col("_z") > z)
             .select("metric", "ts", "value", F.round("_z", 2).alias("z_score"),

@@ -71,23 +71,29 @@ def phi_entities(df: DataFrame, text_col: str, id_col: str = "id") -> DataFrame:
     return df.select(id_col, F.explode_outer(positions(ascii_text(text_col))).alias("e")).filter("e is not null").select(id_col, "e.*")
 
 
+def _scanned(field: str, rules: Sequence[tuple[str, str]]) -> Column:
+    """Entities of one field under the row's policy columns."""
+    value = ascii_text(field)
+    none = F.array().cast("array<struct<type:string,n:int>>")
+    found = F.filter(entity_counts(value, rules), lambda e: e["n"] > 0)
+    skip = F.array_contains("safe", F.lit(field)) | (value == "") | (F.col("threshold") > fixed.PHI_PATTERN_SCORE)
+    blocked = F.array(F.struct(F.lit("BLOCKED_FIELD").alias("type"), F.lit(1).alias("n")))
+    return F.when(F.array_contains("blocked", F.lit(field)), blocked).when(skip, none).otherwise(found)
+
+
+def _scan_rows(df: DataFrame, fields: Sequence[str], id_col: str, source_col: str | None, rules: Sequence[tuple[str, str]]) -> DataFrame:
+    """(id, array of (field, entities)): a projection, one row per record."""
+    src = policy_for(df.withColumn("_src", F.col(source_col) if source_col else F.lit("default")), "_src")
+    cells = [F.struct(F.lit(f).alias("field"), _scanned(f, rules).alias("entities")) for f in fields]
+    return src.select(id_col, F.array(*cells).alias("_f"))
+
+
 def scan_phi(df: DataFrame, fields: Sequence[str], id_col: str = "id", source_col: str | None = None,
              rules: Sequence[tuple[str, str]] = tuple(fixed.PHI_PATTERNS)) -> DataFrame:
     """One row per (record, field): blocked fields are sensitive, safe or empty
     ones are not, others are scanned. ``provider`` is where the field may go.
-    Fields are unpivoted with an array of structs, so there is no shuffle."""
-    src = df.withColumn("_src", F.col(source_col) if source_col else F.lit("default"))
-    listed = F.array(*[F.struct(F.lit(f).alias("field"), ascii_text(f).alias("value")) for f in fields])
-    rows = policy_for(src, "_src").select(id_col, "threshold", "blocked", "safe", F.explode_outer(listed).alias("f")).select(
-        id_col, "threshold", "blocked", "safe", "f.*")
-    is_blocked = F.array_contains("blocked", F.col("field"))
-    is_safe = F.array_contains("safe", F.col("field"))
-    found = F.filter(entity_counts(F.col("value"), rules), lambda e: e["n"] > 0)
-    none = F.array().cast("array<struct<type:string,n:int>>")
-    scanned = (F.when(is_blocked, F.array(F.struct(F.lit("BLOCKED_FIELD").alias("type"), F.lit(1).alias("n"))))
-               .when(is_safe | (F.col("value") == "") | (F.col("threshold") > fixed.PHI_PATTERN_SCORE), none)
-               .otherwise(found))
-    out = rows.select(id_col, "field", scanned.alias("entities"))
+    Fields are unpivoted from an array of structs, so there is no shuffle."""
+    out = _scan_rows(df, fields, id_col, source_col, rules).select(id_col, F.explode_outer("_f").alias("f")).select(id_col, "f.*")
     out = out.withColumn("is_sensitive", F.size("entities") > 0)
     return out.withColumn("provider", F.when(F.col("is_sensitive"), "local").otherwise("cloud"))
 
@@ -105,13 +111,14 @@ def redact_phi(df: DataFrame, text_col: str, id_col: str = "id",
     return out.select(id_col, "redacted", F.aggregate("_n", F.lit(0), lambda a, e: a + e["n"]).alias("n_entities"))
 
 
-def routing_audit(df: DataFrame, fields: Sequence[str], id_col: str = "id", source_col: str | None = None) -> DataFrame:
-    """Field to provider per record, with counts (a handful of fields each)."""
-    scan = scan_phi(df, fields, id_col, source_col)
-    local = F.sum((F.col("provider") == "local").cast("long"))
-    return scan.groupBy(id_col).agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "provider")))).alias("field_routings"),
-        local.alias("n_local"), (F.count(F.lit(1)) - local).alias("n_cloud"))
+def routing_audit(df: DataFrame, fields: Sequence[str], id_col: str = "id", source_col: str | None = None,
+                  rules: Sequence[tuple[str, str]] = tuple(fixed.PHI_PATTERNS)) -> DataFrame:
+    """Field to provider per record, with counts; a projection like the scan."""
+    rows = _scan_rows(df, fields, id_col, source_col, rules)
+    to = F.transform("_f", lambda f: F.struct(f["field"], F.when(F.size(f["entities"]) > 0, "local").otherwise("cloud").alias("provider")))
+    rows = rows.select(id_col, to.alias("_to"))
+    n = lambda p: F.size(F.filter("_to", lambda f: f["provider"] == p))
+    return rows.select(id_col, F.map_from_entries("_to").alias("field_routings"), n("local").alias("n_local"), n("cloud").alias("n_cloud"))
 
 
 # --- payloads ---------------------------------------------------------------------

@@ -119,7 +119,8 @@ def cluster_gate(df: DataFrame, sample: int = 10, largest: int = 3) -> DataFrame
     id are scored; the best ready cluster by mean score is marked."""
     sizes = df.filter(F.col("cluster") != -1).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
     big = sizes.orderBy(F.desc("size"), "cluster").limit(largest)
-    scored = (first_rows(df.join(big, "cluster"), ["cluster"], ["ticket_id"], sample)
+    # ``largest`` rows by construction, hence the broadcast
+    scored = (first_rows(df.join(F.broadcast(big), "cluster"), ["cluster"], ["ticket_id"], sample)
               .withColumn("score", completeness()).withColumn("tier", tier_of(F.col("score"))))
     high = F.avg((F.col("tier") == "HIGH").cast("int"))
     some = F.avg(F.col("tier").isin("HIGH", "MEDIUM").cast("int"))

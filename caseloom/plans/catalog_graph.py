@@ -234,7 +234,7 @@ Q = "(SELECT vec FROM vectors ORDER BY id LIMIT 1)"
 
 @query("v01_embed_texts")
 def _(spark, sf):
-    t = V.tickets(spark, sf).withColumn("full_content", F.concat_ws(" ", "summary", "problem"))
+    t = V.tickets(spark, sf, heavy=True).withColumn("full_content", F.concat_ws(" ", "summary", "problem"))
     e = vectors.embed_texts(t)
     return e.select("ticket_id", F.size("vec").alias("dim"), F.round(F.sqrt(vectors.dot(F.col("vec"), F.col("vec"))), 6).alias("norm"))
 

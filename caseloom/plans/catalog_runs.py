@@ -175,7 +175,7 @@ def _(spark, sf):
  greatest(1, length(problem) // 4) AS tokens, CASE WHEN length(problem) < 1000 THEN 'small' WHEN length(problem) < 10000 THEN 'medium' ELSE 'large' END AS size_class FROM tickets""", "tickets"))
 def _(spark, sf):
     sqlfuncs.register_sql_functions(spark, V.SYLLABLE_RULES)
-    V.tickets(spark, sf).createOrReplaceTempView("u01_tickets")
+    V.tickets(spark, sf, heavy=True).createOrReplaceTempView("u01_tickets")
     return spark.sql("""SELECT ticket_id, ticket_score(summary, problem, solution, category, status) AS score, risk_economic(problem) AS economic,
       risk_priority(risk_high_count(problem)) AS priority, token_estimate(problem) AS tokens, payload_size(problem) AS size_class FROM u01_tickets""")
 

@@ -22,7 +22,7 @@ def scratch(spark, name):
 
 def ticket_export(spark, sf):
     """Tickets as the JSON text an export holds; the flag in three spellings."""
-    t = V.tickets(spark, sf)
+    t = V.tickets(spark, sf, heavy=True)
     flag = F.when(~F.col("has_solution"), F.lit("0")).when(F.col("doc_id") % 2 == 0, "1").otherwise("True")
     return t.select(F.to_json(F.struct("ticket_id", F.col("category").alias("Classification"), F.col("hospital").alias("Hospital"),
                                        F.col("summary").alias("Summary"), F.col("problem").alias("Problem"), F.col("solution").alias("Solution"),

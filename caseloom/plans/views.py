@@ -59,8 +59,8 @@ def with_views(body: str, *names: str) -> str:
     return "WITH " + ",\n".join(CTE[n] for n in names) + "\n" + body
 
 
-def tickets(spark: SparkSession, sf: str) -> DataFrame:
-    d = texts(spark, sf).join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+def tickets(spark: SparkSession, sf: str, heavy: bool = False) -> DataFrame:
+    d = (texts if heavy else table)(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
     good = F.col("quality") == 1
     return d.select(
         pc_id("doc_id").alias("ticket_id"), F.upper("source").alias("category"), F.col("lang").alias("hospital"),

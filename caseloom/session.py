@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, name: str = "caseloom", shuffle: int = 8) -> SparkSession:
@@ -52,3 +53,11 @@ def stable(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Materialise a table that is expected to be short and mark it for a
+    broadcast only if its counted rows allow that. Beyond ``rows`` it is returned
+    unmarked and the join shuffles."""
+    kept = stable(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
