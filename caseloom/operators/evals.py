@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.columns import contains_any, text
+from ..session import stable
 from .scoring import parse_assessment, plan_body, score_domains
 
 
@@ -127,6 +128,7 @@ def eval_differentiation(plans: DataFrame) -> tuple[DataFrame, DataFrame]:
     with the square of the patients. ``n_pairs`` is the number of patient pairs."""
     groups = plans.groupBy(F.sha2("body", 256).alias("plan_id"), "profile").agg(
         F.count(F.lit(1)).alias("n"), F.min("patient_id").alias("first_patient"))
+    groups = stable(groups)  # short, and read three times below
     a = groups.select("plan_id", F.col("profile").alias("profile_a"), F.col("n").alias("_na"), F.col("first_patient").alias("patient_a"))
     b = groups.select("plan_id", F.col("profile").alias("profile_b"), F.col("n").alias("_nb"), F.col("first_patient").alias("patient_b"))
     pairs = a.join(b, "plan_id").filter(F.col("profile_a") < F.col("profile_b")).select(

@@ -8,7 +8,6 @@ from ..operators import access, documents, graph, knowledge, vectors
 from ..operators.ordering import first_rows
 from ..sources import tables
 from . import views as V
-from .catalog_sources import scratch  # noqa: F401
 from .registry import query
 from .views import with_views
 
@@ -189,12 +188,10 @@ def _(spark, sf):
     return graph.clinical_pathway(cond, bridge, e, 10, iters=4).withColumn("score", F.round("score", 7))
 
 
-@query("g06_pattern_match", with_views("""SELECT a.src AS n0, a.dst AS n1, b.dst AS n2, c.src AS n3 FROM edges a JOIN edges b ON a.pred = 'PLACED_BY' AND b.pred = 'BASED_IN' AND b.src = a.dst
- JOIN edges c ON c.pred = 'BASED_IN' AND c.dst = b.dst AND c.src[1] = 's'""", "edges"))
+@query("g06_pattern_match", with_views("""SELECT a.src AS n0, a.dst AS n1, b.dst AS n2, c.dst AS n3 FROM edges a JOIN edges b ON a.pred = 'PLACED_BY' AND b.pred = 'BASED_IN' AND b.src = a.dst
+ JOIN edges c ON c.pred = 'IN_REGION' AND c.src = b.dst""", "edges"))
 def _(spark, sf):
-    e = V.edges(spark, sf)
-    m = graph.pattern_match(e, [("PLACED_BY", "out"), ("BASED_IN", "out"), ("BASED_IN", "in")])
-    return m.filter(F.col("n3").startswith("s"))
+    return graph.pattern_match(V.edges(spark, sf), [("PLACED_BY", "out"), ("BASED_IN", "out"), ("IN_REGION", "out")])
 
 
 @query("a21_graph_stats", with_views("""SELECT 'count' AS kind, 'nodes' AS key, count(*) AS n FROM nodes UNION ALL SELECT 'count', 'edges', count(*) FROM edges
