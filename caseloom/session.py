@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,15 +30,38 @@ def local_session(cores: int | str = 8, name: str = "caseloom", shuffle: int = 8
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the one the cluster names in
-    ``spark.checkpoint.dir``. A private one is made only where that is unset,
-    which is the case in local tests."""
+    ``spark.checkpoint.dir``. A private one, removed at exit, is made only where
+    that is unset on a local master; elsewhere a missing setting is an error,
+    because a folder of the driver alone would lose data."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    return tempfile.mkdtemp(prefix="caseloom-ckpt-")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _private_folder()
+
+
+@functools.cache
+def _private_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="caseloom-ckpt-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path of this name below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:16]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back: cuts the lineage, survives the
+    loss of an executor, and later reads prune columns."""
+    path = fresh_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(scan: DataFrame) -> DataFrame:
