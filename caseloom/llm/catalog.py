@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import counts, pieces
+from . import counts, packing, pieces, token_files
 from .inputs import table
 
 QUERIES: dict = {}
@@ -17,6 +17,11 @@ def query(fn):
     return fn
 
 
+@query
+def op3_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query
 def op6_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -25,3 +30,8 @@ def op6_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counts.token_counts(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
