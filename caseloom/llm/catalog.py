@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import counts, packing, pieces, token_files
+from . import counts, language, packing, pieces, quality_model, token_files
 from .inputs import table
 
 QUERIES: dict = {}
@@ -17,6 +17,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_model.quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query
 def op3_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -32,6 +37,11 @@ def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return counts.token_counts(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op8_language(spark: SparkSession, sf: str) -> DataFrame:
+    return language.language_id(table(spark, sf, "documents"))
+
+
 @query
 def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
