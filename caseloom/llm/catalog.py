@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import counts, language, packing, pieces, quality_model, token_files
+from . import counts, language, packing, pieces, pseudonyms, quality_model, quality_rules, token_files
 from .inputs import table
 
 QUERIES: dict = {}
@@ -22,6 +22,11 @@ def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality_model.quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query
+def op2_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
+    return pseudonyms.private_texts(table(spark, sf, "documents"), spark.conf.get("caseloom.pseudonym.key", "change me"))
+
+
 @query
 def op3_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -42,6 +47,11 @@ def op8_language(spark: SparkSession, sf: str) -> DataFrame:
     return language.language_id(table(spark, sf, "documents"))
 
 
+@query
+def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query
 def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -25,6 +25,14 @@ def id_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """The fold of a row: CRC-32 of its id written as text, modulo ``folds``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
