@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import counts, digests, language, packing, pieces, pseudonyms, quality_model, quality_rules, token_files
+from . import counts, digests, language, near_duplicates, packing, pieces, pseudonyms, quality_model, quality_rules, token_files
 from .inputs import table
 
 QUERIES: dict = {}
@@ -37,6 +37,11 @@ def op4_digests(spark: SparkSession, sf: str) -> DataFrame:
     return digests.edits(table(spark, sf, "documents"))
 
 
+@query
+def op5_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf, "documents"))
+
+
 @query
 def op6_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
