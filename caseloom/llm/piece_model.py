@@ -182,9 +182,8 @@ class PieceModel:
             ends = np.cumsum(self.sizes[ids])
             if ends[-1] == len(normal):
                 return source[ends - self.sizes[ids]], source[ends]
-        pieces = self.library.encode(text, out_type="immutable_proto").pieces
-        at = np.cumsum([0, *(len(c.encode()) for c in text)])
-        return at[[p.begin for p in pieces]], at[[p.end for p in pieces]]
+        pieces = self.library.encode(text, return_type="proto").pieces
+        return np.array([p.begin for p in pieces]), np.array([p.end for p in pieces])
 
 
 @functools.lru_cache(maxsize=4)
