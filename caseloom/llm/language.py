@@ -128,9 +128,9 @@ def sample(docs: DataFrame, learn: Column, s: Settings, doc_id: str, text: str,
 
 def train(rows: list[tuple[str, str]], s: Settings) -> Model:
     """Fit by stochastic gradient descent; the last fifth of the rows sets the
-    temperature and the rejection threshold: the least score from which on the share
-    of wrong answers is within ``accepted_error``. No rows give a model that answers
-    ``und``."""
+    temperature and the rejection threshold: the least score from which on wrong
+    answers are no more than ``accepted_error`` allows, chance included (two standard
+    deviations and one row). No rows give a model that answers ``und``."""
     names = sorted({lang for _, lang in rows})
     place = {n: i for i, n in enumerate(names)}
     bags = []
@@ -168,9 +168,10 @@ def train(rows: list[tuple[str, str]], s: Settings) -> Model:
     p = softmax(z / temperature)
     top, wrong = p.max(1), p.argmax(1) != y
     order = np.argsort(-top, kind="stable")
-    error = np.cumsum(wrong[order]) / np.arange(1, len(y) + 1)
-    good = np.flatnonzero(error <= s.accepted_error)
-    threshold = 0.0 if not len(good) or good[-1] == len(y) - 1 else float(top[order[good[-1]]])
+    falling, errors, n = top[order], np.cumsum(wrong[order]), np.arange(1, len(y) + 1)
+    expected = s.accepted_error * n
+    good = np.flatnonzero((errors <= expected + 2 * np.sqrt(expected) + 1) & np.append(falling[1:] < falling[:-1], True))
+    threshold = float(np.nextafter(falling[0], 2)) if not len(good) else 0.0 if good[-1] == len(y) - 1 else float(falling[good[-1]])
     return Model(names, [np.ascontiguousarray(scores[:, i]) for i in range(len(names))], bias.astype(np.float64), temperature, threshold, s.buckets_log2)
 
 
