@@ -12,6 +12,8 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
+from collections.abc import Callable
 
 import numpy as np
 
@@ -26,6 +28,20 @@ def chunk_encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+#: Letters that every Unicode version knows, and ASCII marks without the apostrophe and the underscore:
+#: both pre-tokenizers cut between the two, so their ids may be stored apart.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-^`{-~]*)")
+
+
+class Store(dict):
+    """Ids of chunks; what it has no room for is kept in ``extra`` for one step."""
+
+    extra: dict[str, bytes]
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.extra[chunk]
+
+
 class ChunkEncoder:
     """Ids of texts under a ``tokenizers`` file.
 
@@ -37,19 +53,23 @@ class ChunkEncoder:
     * split on white space that is removed: at every space and line end.
     * anything else: nowhere.
 
-    ``limit`` bounds the stored chunks; beyond it the store starts anew.
+    A new chunk of letters and trailing marks is looked up as word and marks. The
+    stores keep their first ``limit`` entries, among which frequent words are
+    early; some time after they are full they start anew, for texts may change.
     """
 
-    def __init__(self, path: str, limit: int = 500_000) -> None:
+    def __init__(self, path: str, limit: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.type = id_type(self.library.get_vocab_size(with_added_tokens=True))
         self.limit = limit
-        self.kind = self._kind(json.loads(self.library.to_str()))
-        self.heads: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
+        spec = json.loads(self.library.to_str())
+        self.kind = self._kind(spec)
+        self.lowers = "Lowercase" in json.dumps(spec.get("normalizer"))
+        self.stores = {name: Store() for name in ("head", "tail", "word", "mark")}
+        self.steps, self.renewal = 0, 2000
         if self.kind == "spaced":
             self.line_end = self._library(["\n"])[0]
 
@@ -67,29 +87,43 @@ class ChunkEncoder:
         return "whole"
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, store: dict[str, bytes], wanted: set[str], lead: str) -> None:
-        new = [w for w in wanted.difference(store) if w and not w[0].isspace() and not w[-1].isspace()]
-        if len(store) + len(new) > self.limit:
-            store.clear()
-            new = [w for w in wanted if w and not w[0].isspace() and not w[-1].isspace()]
-        store.update(zip(new, self._library([lead + w for w in new]), strict=True))
+        return [np.array(e.ids, self.type).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _known(self, store: str, wanted: set[str], new: Callable[[list[str]], list[bytes]]) -> Store:
+        """The store, able to give the ids of every wanted chunk until it is asked again."""
+        kept = self.stores[store]
+        missing = list(wanted.difference(kept))
+        ids = new(missing)
+        room = max(0, self.limit - len(kept))
+        kept.update(zip(missing[:room], ids[:room], strict=True))
+        kept.extra = dict(zip(missing[room:], ids[room:], strict=True))
+        return kept
+
+    def _chunks(self, chunks: list[str], lead: str) -> list[bytes]:
+        """Ids of chunks that start with a character that isn't white space, ``lead`` put in front."""
+        parts = [PLAIN.fullmatch(c) for c in chunks]
+        plain = [(lead + (m[1].lower() if self.lowers else m[1]), m[2]) if m else None for m in parts]
+        words = self._known("word", {p[0] for p in plain if p}, self._library)
+        marks = self._known("mark", {p[1] for p in plain if p}, self._library)
+        rest = iter(self._library([lead + c for c, p in zip(chunks, plain, strict=True) if not p]))
+        return [words[p[0]] + marks[p[1]] if p else next(rest) for p in plain]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes of ``type``."""
+        if all(len(s) >= self.limit for s in (self.stores["tail"], self.stores["word"])):
+            self.steps += 1
+            if self.steps > self.renewal:
+                self.steps = 0
+                for s in self.stores.values():
+                    s.clear()
         if self.kind == "dropped":
             return self._dropped(texts)
         return self._spaced(texts) if self.kind == "spaced" else self._library(texts)
 
     def _dropped(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        wanted = set().union(*parts)
-        self._learn(self.tails, wanted, "")
-        odd = [w for w in wanted if w not in self.tails and w]
-        known = self.tails | dict(zip(odd, self._library(odd), strict=True)) if odd else self.tails
-        known[""] = b""
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        at = self._known("tail", set().union(*parts), lambda c: self._chunks(c, "")).__getitem__
+        return [b"".join(map(at, p)) for p in parts]
 
     def _spaced(self, texts: list[str]) -> list[bytes]:
         parts = [[line.split(" ") for line in t.split("\n")] if t else [] for t in texts]
@@ -98,9 +132,10 @@ class ChunkEncoder:
             for words in lines:
                 heads.add(words[0])
                 tails.update(words[1:])
-        self._learn(self.heads, heads, "")
-        self._learn(self.tails, tails, " ")
-        head, tail, out = self.heads, self.tails.__getitem__, []
+        safe = lambda found: {w for w in found if w and not w[0].isspace() and not w[-1].isspace()}
+        head = self._known("head", safe(heads), lambda c: self._chunks(c, ""))
+        tail = self._known("tail", safe(tails), lambda c: self._chunks(c, " ")).__getitem__
+        out = []
         for text, lines in zip(texts, parts, strict=True):
             try:
                 out.append(self.line_end.join([head[w[0]] + b"".join(map(tail, w[1:])) for w in lines]))
