@@ -24,6 +24,11 @@ def filled(c: Column | str) -> Column:
     return text(c) != ""
 
 
+def cut(c: Column | str, n: int | None) -> Column:
+    """The first ``n`` characters; all of them without a number."""
+    return col(c) if n is None else F.substring(col(c), 1, n)
+
+
 def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
 

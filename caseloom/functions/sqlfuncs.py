@@ -58,6 +58,5 @@ def register_table_functions(spark: SparkSession, rules: Sequence[tuple] = tuple
     spark.sql(
         "CREATE OR REPLACE TEMPORARY FUNCTION search_chunks(txt STRING, query STRING) "
         "RETURNS TABLE(chunk INT, score INT, excerpt STRING) RETURN "
-        f"SELECT c, size(filter(split(lower(query), ' '), w -> contains(lower(substring(txt, c * {size} + 1, {size})), w))), "
-        f"substring(txt, c * {size} + 1, 500) FROM (SELECT explode(sequence(0, CAST(greatest(length(txt) - 1, 0) / {size} AS INT))) AS c) "
-        f"WHERE size(filter(split(lower(query), ' '), w -> contains(lower(substring(txt, c * {size} + 1, {size})), w))) > 0")
+        "SELECT c, s, t FROM (SELECT c, t, size(filter(split(lower(query), ' '), w -> contains(lower(t), w))) AS s FROM "
+        f"(SELECT c, substring(txt, c * {size} + 1, {size}) AS t FROM (SELECT explode(sequence(0, CAST(greatest(length(txt) - 1, 0) / {size} AS INT))) AS c))) WHERE s > 0")

@@ -51,12 +51,17 @@ def action_permissions(principals: DataFrame, policy: dict[str, Sequence[str]] |
     return rows.select("principal", "p.action", F.coalesce(F.arrays_overlap("roles", "p.need"), F.lit(False)).alias("allowed"))
 
 
-def visible_runs(runs: DataFrame, principals: DataFrame) -> DataFrame:
-    """Flags per (viewer, own run): callers see their own runs; approvers see
-    all. Returned as one row per run with its owner's rights."""
-    can = action_permissions(principals).filter(F.col("action") == "approve").select(
-        F.col("principal").alias("requester"), F.col("allowed").alias("owner_is_approver"))
-    return runs.join(can, "requester", "left").withColumn("owner_is_approver", F.coalesce("owner_is_approver", F.lit(False)))
+def visible_runs(runs: DataFrame, requests: DataFrame, principals: DataFrame) -> DataFrame:
+    """May the viewer see the run, and decide on it? ``requests(viewer, run_id)``,
+    ``runs(run_id, requester, …)``. A caller sees own runs, an approver all; nobody
+    decides on an own run. Pairs that nobody asks about are never formed."""
+    can = action_permissions(principals).groupBy(F.col("principal").alias("viewer")).agg(
+        F.bool_or((F.col("action") == "approve") & F.col("allowed")).alias("_approves"), F.bool_or((F.col("action") == "list") & F.col("allowed")).alias("_lists"))
+    rows = requests.join(runs.select("run_id", "requester"), "run_id", "left").join(can, "viewer", "left")
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    own = F.coalesce(F.col("viewer") == F.col("requester"), F.lit(False))
+    known = F.col("requester").isNotNull()
+    return rows.select("viewer", "run_id", (known & (flag("_approves") | (own & flag("_lists")))).alias("visible"), (known & flag("_approves") & ~own).alias("may_decide"))
 
 
 def approval_required(calls: DataFrame, policy: dict[str, Sequence[str]] | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import filled, string_array, text
+from ..functions.columns import cut, filled, text
 from .ordering import first_rows
 
 
@@ -40,25 +40,27 @@ def word_score(chunk: Column, words: Sequence[str]) -> Column:
     return sum((F.when(low.contains(w), 1).otherwise(0) for w in words), F.lit(0))
 
 
-def search_chunks(docs: DataFrame, query: str, k: int = 5, size: int = 1000, cut: int = 500, text_col: str = "text",
+def search_chunks(docs: DataFrame, query: str, k: int = 5, size: int = 1000, excerpt_cut: int | None = None, text_col: str = "text",
                   id_col: str = "doc_id") -> DataFrame:
     """Chunks by number of contained query words; ties go to the later chunk."""
     chunks = chunk_text(docs, size, text_col, id_col)
     scored = chunks.withColumn("score", word_score(F.col("text"), query.lower().split())).filter(F.col("score") > 0)
-    slim = scored.select(id_col, "chunk", "score", F.substring("text", 1, cut).alias("excerpt"))
-    return first_rows(slim, [id_col], [F.desc("score"), F.desc("chunk")], min(k, 10))
+    slim = scored.select(id_col, "chunk", "score", cut("text", excerpt_cut).alias("excerpt"))
+    return first_rows(slim, [id_col], [F.desc("score"), F.desc("chunk")], k)
 
 
 PLAN = "PLAN: refine query and continue staged exploration"
 NOTHING = "No relevant sections found"
 
 
-def explore(docs: DataFrame, query_col: str = "query", text_col: str = "text", id_col: str = "doc_id", k: int = 3,
-            size: int = 1000, cut: int = 500) -> tuple[DataFrame, DataFrame]:
+def explore(docs: DataFrame, query_col: str = "query", text_col: str = "text", id_col: str = "doc_id", k: int | None = None,
+            size: int = 1000, excerpt_cut: int | None = None, max_lines: int | None = None, max_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Staged answer per (document, query): split the query on " and ", search
-    each part, keep the first eight non-blank lines, cut to 1200 characters,
-    rate the confidence and plan again below 0.35. Returns answers and traces.
-    Only the best ``k`` chunks of each part meet in one group."""
+    each part, join the non-blank lines of the chunks found, rate the confidence
+    and plan again below 0.35. Returns answers and traces. A caller may ask for
+    the best ``k`` chunks of each part, and limit excerpts, lines and the answer;
+    ``n_more_chunks`` and ``n_more_lines`` count what a limit left out. What meets
+    in one group is at most the document once per part."""
     parts = F.filter(F.transform(F.split(F.col(query_col), " and "), lambda p: F.trim(p)), lambda p: p != "")
     parts = F.when(F.size(parts) > 0, parts).otherwise(F.array(F.col(query_col)))
     base = docs.select(id_col, text_col, parts.alias("_parts"))
@@ -70,21 +72,29 @@ def explore(docs: DataFrame, query_col: str = "query", text_col: str = "text", i
     body = F.substring(F.col(text_col), F.col("start") + 1, F.lit(size))
     scored = chunks.select(id_col, "part", "chunk", "_w", body.alias("_t")).withColumn("_low", F.lower("_t")).withColumn(
         "score", F.size(F.filter("_w", lambda w: F.col("_low").contains(w)))).filter(F.col("score") > 0)
-    slim = scored.select(id_col, "part", "chunk", "score", F.substring("_t", 1, cut).alias("excerpt"))
-    best = first_rows(slim, [id_col, "part"], [F.desc("score"), F.desc("chunk")], k)
+    slim = scored.select(id_col, "part", "chunk", "score", cut("_t", excerpt_cut).alias("excerpt"))
+    order = F.struct((-F.col("score")).alias("s"), (-F.col("chunk")).alias("c"))
     shown = F.concat(F.lit("[Chunk "), F.col("chunk").cast("string"), F.lit(", score="), F.col("score").cast("string"), F.lit("]\n"), F.col("excerpt"), F.lit("..."))
-    per_part = best.groupBy(id_col, "part").agg(F.sort_array(F.collect_list(F.struct("rank", shown.alias("t")))).alias("_s"))
+    if k:
+        kept = first_rows(slim, [id_col, "part"], [F.desc("score"), F.desc("chunk")], k).drop("rank")
+        all_of = slim.groupBy(id_col, "part").agg(F.count(F.lit(1)).alias("_n"))
+        slim = kept.join(all_of, [id_col, "part"])
+    else:
+        slim = slim.withColumn("_n", F.lit(None).cast("long"))
+    per_part = slim.groupBy(id_col, "part").agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), shown.alias("t")))).alias("_s"), F.max("_n").alias("_n"))
     found = tasks.select(id_col, "part").join(per_part, [id_col, "part"], "left").withColumn(
         "_t", F.coalesce(F.array_join(F.transform("_s", lambda r: r["t"]), "\n\n"), F.lit(NOTHING)))
-    merged = found.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("part", "_t"))).alias("_f")).select(
-        id_col, F.size("_f").alias("n_parts"), F.array_join(F.transform("_f", lambda r: r["_t"]), "\n\n").alias("_all"))
-    lines = F.slice(F.filter(F.split("_all", "\n"), lambda x: F.trim(x) != ""), 1, 8)
-    out = merged.withColumn("_a", F.substring(F.array_join(lines, "\n"), 1, 1200))
+    more = F.sum(F.coalesce(F.col("_n") - F.size("_s"), F.lit(0))).alias("n_more_chunks")
+    merged = found.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("part", "_t"))).alias("_f"), more).select(
+        id_col, F.size("_f").alias("n_parts"), "n_more_chunks", F.array_join(F.transform("_f", lambda r: r["_t"]), "\n\n").alias("_all"))
+    merged = merged.withColumn("_lines", F.filter(F.split("_all", "\n"), lambda x: F.trim(x) != ""))
+    shown_lines = F.slice("_lines", 1, max_lines) if max_lines else F.col("_lines")
+    out = merged.withColumn("_a", cut(F.array_join(shown_lines, "\n"), max_chars)).withColumn("n_more_lines", F.size("_lines") - F.size(shown_lines))
     confidence = (F.when(F.col("_a") == "", 0.0).when(F.col("_a").contains("No relevant sections"), 0.2)
                   .when(F.length("_a") < 60, 0.4).otherwise(0.75))
     out = out.withColumn("confidence", confidence).withColumn(
         "decision", F.when(F.col("confidence") < 0.35, "next_step_plan").otherwise("answer"))
-    answers = out.select(id_col, "decision", F.when(F.col("decision") == "answer", F.col("_a")).otherwise(PLAN).alias("answer"), "confidence", "n_parts")
+    answers = out.select(id_col, "decision", F.when(F.col("decision") == "answer", F.col("_a")).otherwise(PLAN).alias("answer"), "confidence", "n_parts", "n_more_chunks", "n_more_lines")
     stage = lambda seq, name, detail: F.struct(F.lit(seq).alias("seq"), F.lit(name).alias("stage"), detail.alias("detail"))
     stages = F.array(
         stage(1, "decompose", F.concat(F.lit("subtasks="), F.col("n_parts").cast("string"))), stage(2, "explore", F.lit("searched context")),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.columns import filled, text
-from ..session import small, stable
+from ..session import written
 from .graph import undirected
 from .ordering import first_rows
 
@@ -30,20 +30,20 @@ def substring_join(terms: DataFrame, texts: DataFrame, gram: int = 3) -> DataFra
 
     Every term must contain all its character grams, so it is enough to look it
     up by its *rarest* gram: an equi-join on that gram, then ``contains``. The
-    texts are unnested to grams twice, once to count and once to match. Term
-    tables whose counted rows are few are broadcast and the texts are only
-    scanned; otherwise both sides shuffle on the gram."""
+    texts are unnested to grams twice, once to count and once to match. The grams
+    of the terms are written first, so the optimizer knows their bytes and decides
+    between a broadcast and a shuffle."""
     words = terms.select("term").filter(F.length("term") > 0).distinct()
     words = words.withColumn("_n", F.least(F.length("term"), F.lit(gram)))
     sizes = [r["_n"] for r in words.groupBy("_n").agg(F.count(F.lit(1))).collect()]  # at most `gram` rows
     if not sizes:
         return terms.select("term").join(texts.select("id"), F.lit(False))
-    options = words.select("term", "_n", F.explode_outer(_grams("term", sorted(sizes))).alias("g")).filter(F.length("g") == F.col("_n"))
+    options = written(words.select("term", "_n", F.explode_outer(_grams("term", sorted(sizes))).alias("g")).filter(F.length("g") == F.col("_n")), "term-grams")
     index = texts.select("id", "text", F.explode_outer(_grams("text", sorted(sizes))).alias("g"))
-    freq = index.select("g").join(small(options.select("g").distinct()), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("_f"))
-    rarest = options.join(freq, "g", "left").groupBy("term").agg(
-        F.min_by("g", F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("g").alias("x"))).alias("g"))
-    pairs = index.join(small(rarest), "g").filter(F.col("text").contains(F.col("term"))).select("term", "id")
+    freq = index.select("g").join(options.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("_f"))
+    rarest = written(options.join(freq, "g", "left").groupBy("term").agg(
+        F.min_by("g", F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("g").alias("x"))).alias("g")), "rarest-grams")
+    pairs = index.join(rarest, "g").filter(F.col("text").contains(F.col("term"))).select("term", "id")
     return pairs.distinct()
 
 
@@ -53,25 +53,35 @@ def concept_matches(terms: DataFrame, concepts: DataFrame) -> DataFrame:
     return substring_join(terms.select(F.lower("term").alias("term")), strings.select("id", F.lower("t").alias("text")))
 
 
-def knowledge_context(terms: DataFrame, concepts: DataFrame, decisions: DataFrame, limit: int = 20) -> DataFrame:
+def knowledge_context(terms: DataFrame, concepts: DataFrame, decisions: DataFrame, limit: int | None = None) -> DataFrame:
     """Governing decisions of every concept a term names; a term that names none
-    gives one row with ``found`` false. First ``limit`` rows per term."""
+    gives one row with ``found`` false. With a ``limit`` the first rows per term,
+    and how many more there are; each concept's decisions are cut before the join."""
     hits = concept_matches(terms, concepts).withColumnRenamed("id", "concept_id")
     facts = decisions.select("concept_id", F.col("id").alias("decision_id"), "rule", "source", "rationale", "effective_date")
-    rows = hits.join(facts, "concept_id", "left")
-    top = first_rows(rows, ["term"], ["concept_id", F.asc_nulls_first("decision_id")], limit)
     asked = terms.select(F.lower("term").alias("term")).distinct()
-    return asked.join(top, "term", "left").withColumn("found", F.col("concept_id").isNotNull())
+    if limit is None:
+        rows = hits.join(facts, "concept_id", "left").withColumn("n_more", F.lit(0).cast("long"))
+    else:
+        per = decisions.groupBy("concept_id").agg(F.count(F.lit(1)).alias("_d"))
+        all_of = hits.join(per, "concept_id", "left").groupBy("term").agg(F.sum(F.coalesce("_d", F.lit(1))).alias("_n"))
+        rows = hits.join(first_rows(facts, ["concept_id"], ["decision_id"], limit).drop("rank"), "concept_id", "left")
+        rows = first_rows(rows, ["term"], ["concept_id", F.asc_nulls_first("decision_id")], limit).drop("rank")
+        rows = rows.join(all_of, "term").withColumn("n_more", F.greatest(F.col("_n") - limit, F.lit(0))).drop("_n")
+    return asked.join(rows, "term", "left").withColumn("found", F.col("concept_id").isNotNull())
 
 
 def contradiction_gate(terms: DataFrame, concepts: DataFrame, contradictions: DataFrame, limit: int = 20) -> DataFrame:
-    """Is a term blocked by unresolved contradictions? Counts all of them and
-    lists the first ``limit``."""
+    """Is a term blocked by unresolved contradictions? Counts all of them, lists
+    the first ``limit`` and says how many more there are. Counts and first rows are
+    taken per concept, below the join with the terms that name it."""
     open_ = contradictions.filter(F.col("status") == "UNRESOLVED").select(
         "concept_id", F.col("id").alias("ct_id"), "statement_a", "source_a", "statement_b", "source_b", "owner")
-    rows = stable(concept_matches(terms, concepts).withColumnRenamed("id", "concept_id").join(open_, "concept_id"))  # read twice
-    counts = rows.groupBy("term").agg(F.count(F.lit(1)).alias("unresolved_count"))
-    shown = first_rows(rows, ["term"], ["ct_id"], limit).groupBy("term").agg(
+    matches = written(concept_matches(terms, concepts).withColumnRenamed("id", "concept_id"), "matches")  # read twice
+    per = open_.groupBy("concept_id").agg(F.count(F.lit(1)).alias("_n"))
+    counts = matches.join(per, "concept_id").groupBy("term").agg(F.sum("_n").alias("unresolved_count"))
+    few = first_rows(open_, ["concept_id"], ["ct_id"], limit).drop("rank")
+    shown = first_rows(matches.join(few, "concept_id"), ["term"], ["ct_id"], limit).groupBy("term").agg(
         F.sort_array(F.collect_list(F.struct("ct_id", "statement_a", "source_a", "statement_b", "source_b", "owner"))).alias("detail"))
     asked = terms.select(F.lower("term").alias("term")).distinct()
     out = asked.join(counts, "term", "left").join(shown, "term", "left")
@@ -79,7 +89,7 @@ def contradiction_gate(terms: DataFrame, concepts: DataFrame, contradictions: Da
     message = F.when(n > 0, F.concat(F.lit("BLOCKED: "), n.cast("string"), F.lit(" unresolved guideline contradiction(s) found for '"),
                                      F.col("term"), F.lit("'."))).otherwise(
         F.concat(F.lit("NO_CONTRADICTIONS: Safe to cite protocols for '"), F.col("term"), F.lit("'.")))
-    return out.select("term", (n > 0).alias("blocked"), n.alias("unresolved_count"), "detail", message.alias("message"))
+    return out.select("term", (n > 0).alias("blocked"), n.alias("unresolved_count"), "detail", F.greatest(n - limit, F.lit(0)).alias("n_more"), message.alias("message"))
 
 
 def gate_recommendations(recs: DataFrame, gate: DataFrame) -> DataFrame:
@@ -90,20 +100,31 @@ def gate_recommendations(recs: DataFrame, gate: DataFrame) -> DataFrame:
     return out.select("rec_id", "concept", (~blocked).alias("allowed"), F.when(blocked, F.col("message")).otherwise("").alias("reason"))
 
 
-def related_evidence(terms: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = 25) -> DataFrame:
+def related_evidence(terms: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
     """Nodes named by a term (id with underscores, or name) and their one-hop
-    undirected neighbours, the first ``limit`` per term."""
+    undirected neighbours; with a ``limit`` the first rows per term, and how many
+    more there are. One substring join serves ids and names. The first rows of a
+    term are among the first rows of its nodes, so edge lists are cut before the join."""
     asked = terms.select(F.lower("term").alias("term")).distinct()
-    by_name = substring_join(asked, nodes.select("id", F.lower(text("name")).alias("text")))
-    under = asked.select("term", F.replace("term", F.lit(" "), F.lit("_")).alias("_u"))
-    by_id = substring_join(under.select(F.col("_u").alias("term")), nodes.select("id", F.lower("id").alias("text"))).select(
-        F.col("term").alias("_u"), "id").join(under, "_u").select("term", "id")
-    hits = by_name.unionByName(by_id).distinct()
-    rows = hits.join(undirected(edges), F.col("id") == F.col("src")).select(
-        "term", F.col("id").alias("concept"), F.col("pred").alias("relationship"), F.col("dst").alias("related")).distinct()
-    top = first_rows(rows, ["term"], ["concept", "relationship", "related"], limit)
-    named = top.join(nodes.select(F.col("id").alias("related"), "name"), "related", "left")
-    return named.select("term", "concept", "relationship", "related", F.when(filled("name"), F.col("name")).otherwise(F.col("related")).alias("name"), "rank")
+    probes = asked.select("term", F.explode_outer(F.array(
+        F.struct(F.lit("name").alias("kind"), F.col("term").alias("probe")),
+        F.struct(F.lit("id").alias("kind"), F.replace("term", F.lit(" "), F.lit("_")).alias("probe")))).alias("p")).select("term", "p.*")
+    strings = nodes.select(F.explode_outer(F.array(
+        F.struct(F.struct(F.lit("name").alias("kind"), "id").alias("id"), F.lower(text("name")).alias("text")),
+        F.struct(F.struct(F.lit("id").alias("kind"), "id").alias("id"), F.lower("id").alias("text")))).alias("s")).select("s.*")
+    found = substring_join(probes.select(F.col("probe").alias("term")), strings).select(F.col("term").alias("probe"), "id.kind", F.col("id.id").alias("id"))
+    hits = written(found.join(probes, ["probe", "kind"]).select("term", "id").distinct(), "hits")
+    links = undirected(edges).select(F.col("src").alias("id"), F.col("pred").alias("relationship"), F.col("dst").alias("related")).distinct()
+    if limit is None:
+        top = hits.join(links, "id").withColumn("n_more", F.lit(0).cast("long"))
+    else:
+        degree = links.groupBy("id").agg(F.count(F.lit(1)).alias("_d"))
+        all_of = hits.join(degree, "id").groupBy("term").agg(F.sum("_d").alias("_n"))
+        few = first_rows(links, ["id"], ["relationship", "related"], limit).drop("rank")
+        top = first_rows(hits.join(few, "id"), ["term"], ["id", "relationship", "related"], limit).drop("rank").join(all_of, "term")
+        top = top.withColumn("n_more", F.greatest(F.col("_n") - limit, F.lit(0)))
+    named = top.withColumnRenamed("id", "concept").join(nodes.select(F.col("id").alias("related"), "name"), "related", "left")
+    return named.select("term", "concept", "relationship", "related", F.when(filled("name"), F.col("name")).otherwise(F.col("related")).alias("name"), "n_more")
 
 
 def contradiction_subgraph(contradictions: DataFrame, concepts: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.columns import filled, hex_id, last_piece
-from ..session import small
+from ..session import written
 from .ordering import running_index
 
 
@@ -107,7 +107,7 @@ def zscore_anomalies(samples: DataFrame, z: float = 2.5, high: float = 3.5, min_
     short, they are broadcast, so the samples themselves never shuffle."""
     stats = samples.groupBy("metric").agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
-    stats = small(stats.filter((F.col("n") >= min_n) & (F.col("sd") > 0)))
+    stats = written(stats.filter((F.col("n") >= min_n) & (F.col("sd") > 0)), "metric-stats")
     score = F.abs((F.col("value") - F.col("mean")) / F.col("sd"))
     return (samples.join(stats, "metric").withColumn("_z", score).filter(F.col("_z") > z)
             .select("metric", "ts", "value", F.round("_z", 2).alias("z_score"),

@@ -31,13 +31,15 @@ def patient_summary(patients: DataFrame) -> DataFrame:
     return patients.select("patient_id", summary_text().alias("summary"))
 
 
-def search_notes(docs: DataFrame, query: str | None = None, limit: int = 10) -> DataFrame:
-    """Up to ``limit`` newest matching documents per patient.
+def search_notes(docs: DataFrame, query: str | None = None, limit: int | None = None) -> DataFrame:
+    """Matching documents per patient, all or the ``limit`` newest with their rank.
     ``docs(patient_id, doc_id, status, date, description)``."""
     hits = docs.filter(F.lower("description").contains(query.lower())) if query else docs
     shown = F.when(filled("description"), F.col("description")).otherwise(F.lit("(no description)"))
-    return first_rows(hits, ["patient_id"], [F.desc("date"), "doc_id"], limit).select(
-        "patient_id", "doc_id", "status", "date", shown.alias("description"), "rank")
+    fields = ["patient_id", "doc_id", "status", "date", shown.alias("description")]
+    if limit is None:
+        return hits.select(*fields)
+    return first_rows(hits, ["patient_id"], [F.desc("date"), "doc_id"], limit).select(*fields, "rank")
 
 
 def readiness_rule(patients: DataFrame, birth: str = "birthDate", gender: str = "gender", telecom: str = "telecom") -> DataFrame:

@@ -150,29 +150,30 @@ def payload_class(df: DataFrame, text_col: str, id_col: str = "id") -> DataFrame
 
 
 def intercept_large(df: DataFrame, text_col: str, id_col: str = "id", chars: int = 4000, max_tokens: int = 1000,
-                    name: str = "result") -> tuple[DataFrame, DataFrame]:
-    """Keep small payloads inline; replace large ones by a reference with a
-    200-character preview. The second table holds the large texts in full."""
+                    name: str = "result", preview: int = 200) -> tuple[DataFrame, DataFrame]:
+    """Keep payloads of up to ``chars`` and ``max_tokens`` inline; replace larger
+    ones by a reference with a preview. The second table holds the large texts in full."""
     body = text(text_col)
     keep = (F.length(body) <= chars) & (tokens(body) <= max_tokens)
     var = F.concat(F.col(id_col).cast("string"), F.lit(f"_{name}"))
     note = F.concat(F.lit("Large output ("), F.length(body).cast("string"), F.lit(" chars, ~"),
                     tokens(body).cast("string"), F.lit(" tokens) stored in '"), var, F.lit("'.\nPreview: "),
-                    F.replace(F.substring(body, 1, 200), F.lit("\n"), F.lit(" ")), F.lit("..."))
+                    F.replace(F.substring(body, 1, preview), F.lit("\n"), F.lit(" ")), F.lit("..."))
     inline = df.select(id_col, F.when(keep, body).otherwise(note).alias("output"), (~keep).alias("stored"))
     return inline, df.filter(~keep).select(id_col, var.alias("name"), body.alias("value"))
 
 
-def peek(df: DataFrame, text_col: str, start: int = 0, length: int = 1000, cap: int = 5000, id_col: str = "id") -> DataFrame:
-    """Capped slice with the offset to continue at; NULL slice past the end."""
-    n = min(length, cap)
+def peek(df: DataFrame, text_col: str, start: int = 0, length: int | None = 1000, id_col: str = "id") -> DataFrame:
+    """A slice of the asked length (None: to the end) with the offset to continue
+    at; NULL slice past the end."""
     total = F.length(text(text_col))
     inside = F.lit(start) < total
-    stop = F.least(F.lit(start + n), total)
+    end = F.lit(start + length) if length is not None else total
+    stop = F.least(end, total)
     return df.select(
         id_col, F.lit(start).alias("start"), F.when(inside, stop).alias("stop"), total.alias("total"),
-        F.when(inside, F.substring(text(text_col), start + 1, n)).alias("slice"),
-        F.when(inside & (F.lit(start + n) < total), F.lit(start + n)).alias("next"),
+        F.when(inside, F.substring(text(text_col), F.lit(start + 1), end - start)).alias("slice"),
+        F.when(inside & (end < total), end).alias("next"),
         F.when(~inside, F.concat(F.lit(f"ERROR: start ({start}) is beyond context length ("), total.cast("string"),
                                  F.lit(")"))).alias("error"))
 

@@ -86,3 +86,15 @@ def audit_rollup(audit: DataFrame) -> DataFrame:
     """Calls, ok rate and mean milliseconds by principal, tool and backend."""
     return audit.groupBy("principal", "tool", "backend").agg(
         F.count(F.lit(1)).alias("calls"), F.avg(F.col("ok").cast("double")).alias("ok_rate"), F.avg("elapsed_ms").alias("avg_ms"))
+
+
+def audit_cube(audit: DataFrame) -> DataFrame:
+    """The same measures for every combination of principal, tool and backend;
+    ``level`` tells a total's NULL from a value's: one bit per column summed over."""
+    return audit.cube("principal", "tool", "backend").agg(
+        F.grouping_id().alias("level"), F.count(F.lit(1)).alias("calls"), F.avg(F.col("ok").cast("double")).alias("ok_rate"), F.avg("elapsed_ms").alias("avg_ms"))
+
+
+def run_summary(states: DataFrame) -> DataFrame:
+    """Requester, status, number of steps and decider of each run."""
+    return states.select("run_id", "requester", "status", "n_steps", text("decided_by").alias("decider"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import filled, text
+from ..functions.columns import cut, filled, text
 from .ordering import first_rows
 
 
@@ -24,14 +24,14 @@ def completeness_score(tickets: DataFrame) -> DataFrame:
         "tier", tier_of(F.col("score")))
 
 
-def search_tickets_keyword(tickets: DataFrame, query: str, k: int = 8) -> DataFrame:
+def search_tickets_keyword(tickets: DataFrame, query: str, k: int = 8, summary_cut: int | None = None) -> DataFrame:
     """First query word in summary or problem, or the whole query as category;
     solved first, then id."""
     word = query.split(" ")[0].lower()
     hit = (F.lower("summary").contains(word) | F.lower("problem").contains(word)
            | (F.upper("category") == query.upper()))
     top = (tickets.filter(hit)
-           .select("ticket_id", "category", "has_solution", F.substring("summary", 1, 80).alias("summary80"))
+           .select("ticket_id", "category", "has_solution", cut("summary", summary_cut).alias("summary"))
            .orderBy(F.desc("has_solution"), "ticket_id").limit(k))
     return first_rows(top, [F.lit(1)], [F.desc("has_solution"), "ticket_id"], k)
 
@@ -61,32 +61,34 @@ def top_n_per_category(tickets: DataFrame, n_solved: int = 4, n_open: int = 3, k
     return ranked.filter(F.col("rank") <= F.when(F.col("kind") == "solved", n_solved).otherwise(n_open))
 
 
-def cluster_summary(tickets: DataFrame, key: str = "category") -> DataFrame:
-    """Counts plus four resolved anchors and three open candidates per key."""
+def cluster_summary(tickets: DataFrame, key: str = "category", n_solved: int = 4, n_open: int = 3, anchor_cut: int | None = None,
+                    open_cut: int | None = None, fix_cut: int | None = None) -> DataFrame:
+    """Counts plus the first resolved anchors and open candidates per key; how many
+    more there are follows from the counts."""
     totals = tickets.groupBy(key).agg(
         F.count(F.lit(1)).alias("total"), F.sum(F.col("has_solution").cast("long")).alias("resolved"))
-    few = top_n_per_category(tickets, 4, 3, key)
+    few = top_n_per_category(tickets, n_solved, n_open, key)
     line = F.struct("rank", "ticket_id",
-                    F.substring("summary", 1, 70).alias("s70"), F.substring("summary", 1, 80).alias("s80"),
-                    F.substring("solution", 1, 100).alias("fix"))
-    picked = few.groupBy(key).agg(  # at most seven rows per key
+                    cut("summary", anchor_cut).alias("anchor"), cut("summary", open_cut).alias("open"),
+                    cut("solution", fix_cut).alias("fix"))
+    picked = few.groupBy(key).agg(  # n_solved + n_open rows per key
         F.sort_array(F.collect_list(F.when(F.col("kind") == "solved", line))).alias("_a"),
         F.sort_array(F.collect_list(F.when(F.col("kind") == "open", line))).alias("_o"))
-    anchors = F.transform("_a", lambda r: F.struct(r["ticket_id"].alias("ticket_id"), r["s70"].alias("summary"),
+    anchors = F.transform("_a", lambda r: F.struct(r["ticket_id"].alias("ticket_id"), r["anchor"].alias("summary"),
                                                    r["fix"].alias("fix")))
-    unresolved = F.transform("_o", lambda r: F.struct(r["ticket_id"].alias("ticket_id"), r["s80"].alias("summary")))
+    unresolved = F.transform("_o", lambda r: F.struct(r["ticket_id"].alias("ticket_id"), r["open"].alias("summary")))
     return (totals.join(picked, key, "left")
             .select(key, "total", "resolved", F.round(F.col("resolved") / F.col("total") * 100, 0).alias("pct"),
                     anchors.alias("anchors"), unresolved.alias("unresolved")))
 
 
-def article_context(tickets: DataFrame, n: int = 5, n_open: int = 0, cut: int = 200, open_cut: int = 150) -> DataFrame:
+def article_context(tickets: DataFrame, n: int = 5, n_open: int = 0, solved_cut: int | None = None, open_cut: int | None = None) -> DataFrame:
     """Prompt text per category from its first solved (and open) tickets."""
     few = top_n_per_category(tickets, n, n_open)
-    solved = F.concat(F.lit("Ticket "), F.col("ticket_id"), F.lit(":\nProblem: "), F.substring(text("problem"), 1, cut),
-                      F.lit("\nResolution: "), F.substring(text("solution"), 1, cut))
+    solved = F.concat(F.lit("Ticket "), F.col("ticket_id"), F.lit(":\nProblem: "), cut(text("problem"), solved_cut),
+                      F.lit("\nResolution: "), cut(text("solution"), solved_cut))
     still = F.concat(F.lit("Ticket "), F.col("ticket_id"), F.lit(" (unresolved):\nProblem: "),
-                     F.substring(text("problem"), 1, open_cut))
+                     cut(text("problem"), open_cut))
     block = F.when(F.col("kind") == "solved", solved).otherwise(still)
     return (few.select("category", "kind", "rank", block.alias("block"))
             .groupBy("category")
@@ -114,32 +116,35 @@ def cluster_profile(df: DataFrame, top: int = 3) -> DataFrame:
     return profile.join(largest.select("cluster", "size_rank"), "cluster", "left")
 
 
-def cluster_gate(df: DataFrame, sample: int = 10, largest: int = 3) -> DataFrame:
-    """Completeness gate over the largest clusters: up to ``sample`` tickets by
-    id are scored; the best ready cluster by mean score is marked."""
-    sizes = df.filter(F.col("cluster") != -1).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    big = sizes.orderBy(F.desc("size"), "cluster").limit(largest)
-    # ``largest`` rows by construction, hence the broadcast
-    scored = (first_rows(df.join(F.broadcast(big), "cluster"), ["cluster"], ["ticket_id"], sample)
-              .withColumn("score", completeness()).withColumn("tier", tier_of(F.col("score"))))
+def cluster_gate(df: DataFrame, sample: int | None = None, largest: int | None = None) -> DataFrame:
+    """Completeness gate: all tickets of all clusters but noise are scored, and the
+    best ready cluster by mean score is marked. A caller may ask for the first
+    ``sample`` tickets by id, or for the ``largest`` clusters only."""
+    rows = df.filter(F.col("cluster") != -1)
+    scored = first_rows(rows, ["cluster"], ["ticket_id"], sample) if sample else rows
+    scored = scored.withColumn("score", completeness()).withColumn("tier", tier_of(F.col("score")))
     high = F.avg((F.col("tier") == "HIGH").cast("int"))
     some = F.avg(F.col("tier").isin("HIGH", "MEDIUM").cast("int"))
-    gate = scored.groupBy("cluster", "size").agg(F.avg("score").alias("avg_score"), high.alias("_h"), some.alias("_m"))
+    gate = scored.groupBy("cluster").agg(F.avg("score").alias("avg_score"), high.alias("_h"), some.alias("_m"), F.count(F.lit(1)).alias("size"))
+    if sample:
+        gate = gate.drop("size").join(rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster")
+    if largest:
+        gate = gate.orderBy(F.desc("size"), "cluster").limit(largest)
     gate = gate.withColumn("tier", F.when(F.col("_h") > 0.5, "HIGH").when(F.col("_m") > 0.4, "MEDIUM").otherwise("LOW"))
     gate = gate.withColumn("ready", F.col("tier").isin("HIGH", "MEDIUM"))
-    # ``largest`` rows: a one-partition window over three rows is what is wanted
-    order = [F.desc("ready"), F.desc("avg_score"), F.desc("size"), "cluster"]
-    ranked = first_rows(gate, [F.lit(1)], order, largest)
-    return ranked.select("cluster", "avg_score", "tier", "ready", ((F.col("rank") == 1) & F.col("ready")).alias("is_best"))
+    # the best of all by one combined maximum, joined back
+    place = F.struct("ready", "avg_score", "size", (-F.col("cluster")).alias("c"))
+    best = gate.agg(F.max_by("cluster", place).alias("_best"))
+    return gate.select("cluster", "avg_score", "tier", "ready", ((F.col("cluster") == best.scalar()) & F.col("ready")).alias("is_best"))
 
 
-def enrich_hits(hits: DataFrame, tickets: DataFrame, prefix: str = "pc_ticket:") -> DataFrame:
+def enrich_hits(hits: DataFrame, tickets: DataFrame, prefix: str = "pc_ticket:", summary_cut: int | None = None) -> DataFrame:
     """Category and summary for ranked ids; "?" where the ticket is unknown."""
-    ids = hits.withColumn("id", F.when(F.col("id").startswith(prefix), F.substring("id", len(prefix) + 1, 1_000_000))
+    ids = hits.withColumn("id", F.when(F.col("id").startswith(prefix), F.substring("id", F.lit(len(prefix) + 1), F.length("id")))
                           .otherwise(F.col("id")))
-    facts = tickets.select(F.col("ticket_id").alias("id"), "category", F.substring(text("summary"), 1, 60).alias("summary60"))
+    facts = tickets.select(F.col("ticket_id").alias("id"), "category", cut(text("summary"), summary_cut).alias("summary"))
     return ids.join(facts, "id", "left").withColumn(
-        "category", F.coalesce(F.nullif("category", F.lit("")), F.lit("?"))).withColumn("summary60", text("summary60"))
+        "category", F.coalesce(F.nullif("category", F.lit("")), F.lit("?"))).withColumn("summary", text("summary"))
 
 
 def slug_of(category: Column) -> Column:

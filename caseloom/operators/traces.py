@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.columns import filled, hex_id, text
+from ..functions.columns import cut, filled, hex_id, text
 from ..session import stable
 from .ordering import last_before, running_index
 
@@ -17,7 +17,7 @@ def _attributes(pairs: dict[str, Column]) -> Column:
     return F.map_filter(full, lambda k, v: v.isNotNull() & (v != ""))
 
 
-def tool_spans(calls: DataFrame, system: str = "caseloom") -> DataFrame:
+def tool_spans(calls: DataFrame, system: str = "caseloom", output_cut: int | None = None, error_cut: int | None = None) -> DataFrame:
     """Tool calls to spans: ``calls(call_id, trace_id, parent_span_id, session_id,
     tool, input, output, error, denied, end_ns, duration_ms)``. Only status 2
     means error; a denied call has no duration."""
@@ -26,8 +26,8 @@ def tool_spans(calls: DataFrame, system: str = "caseloom") -> DataFrame:
     attrs = _attributes({
         "gen_ai.operation.name": F.lit("tool_call"), "gen_ai.tool.name": F.col("tool"), "gen_ai.system": F.lit(system),
         "gen_ai.tool.call_id": F.col("call_id"), "session.id": F.col("session_id"), "gen_ai.tool.input": F.col("input"),
-        "gen_ai.tool.output": F.when(~F.col("denied"), F.substring(text("output"), 1, 500)),
-        "gen_ai.tool.error": F.substring(text("error"), 1, 200), "gen_ai.tool.denied": F.when(F.col("denied"), "true")})
+        "gen_ai.tool.output": F.when(~F.col("denied"), cut(text("output"), output_cut)),
+        "gen_ai.tool.error": cut(text("error"), error_cut), "gen_ai.tool.denied": F.when(F.col("denied"), "true")})
     return calls.select(
         "trace_id", hex_id(16, F.lit("tool"), "trace_id", "call_id").alias("span_id"), "parent_span_id",
         F.concat(F.lit("execute_tool "), F.col("tool")).alias("name"), start.alias("start_ns"), "end_ns",
@@ -51,10 +51,10 @@ def chat_spans(calls: DataFrame, capture: bool = False, system: str = "caseloom"
         F.when(F.lit(capture) & filled("completion"), event).otherwise(none).alias("events"))
 
 
-def turn_spans(turns: DataFrame, capture: bool = False) -> DataFrame:
+def turn_spans(turns: DataFrame, capture: bool = False, query_cut: int | None = None) -> DataFrame:
     """Root ``gen_ai.agent_turn`` spans: ``turns(turn_id, trace_id, query, start_ns, end_ns)``."""
     attrs = _attributes({"gen_ai.operation.name": F.lit("agent_turn"),
-                         "gen_ai.input.query": F.when(F.lit(capture), F.substring(text("query"), 1, 500))})
+                         "gen_ai.input.query": F.when(F.lit(capture), cut(text("query"), query_cut))})
     return turns.select("trace_id", hex_id(16, F.lit("turn"), "trace_id", "turn_id").alias("span_id"),
                         F.lit(None).cast("string").alias("parent_span_id"), F.lit("gen_ai.agent_turn").alias("name"),
                         "start_ns", "end_ns", F.lit(0).alias("status"), attrs.alias("attributes"))

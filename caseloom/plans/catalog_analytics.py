@@ -16,7 +16,7 @@ SCORE = """(CASE WHEN summary <> '' THEN 20 ELSE 0 END + CASE WHEN problem <> ''
 TIER = f"CASE WHEN {SCORE} >= 80 THEN 'HIGH' WHEN {SCORE} >= 50 THEN 'MEDIUM' ELSE 'LOW' END"
 
 
-@query("p10_search_tickets_keyword", with_views("""SELECT row_number() OVER (ORDER BY has_solution DESC, ticket_id) AS rank, ticket_id, category, has_solution, substring(summary, 1, 80) AS summary80
+@query("p10_search_tickets_keyword", with_views("""SELECT row_number() OVER (ORDER BY has_solution DESC, ticket_id) AS rank, ticket_id, category, has_solution, summary
  FROM tickets WHERE contains(lower(summary), 'tion') OR contains(lower(problem), 'tion') OR category = 'TION HEIT' ORDER BY has_solution DESC, ticket_id LIMIT 8""", "tickets"))
 def _(spark, sf):
     return tickets.search_tickets_keyword(V.tickets(spark, sf), "tion heit")
@@ -45,8 +45,8 @@ TOPN = """ranked AS (SELECT *, row_number() OVER (PARTITION BY category, has_sol
 @query("a03_cluster_summary",
        "WITH " + V.CTE["tickets"] + ",\n" + TOPN + """
 SELECT category, count(*) AS total, CAST(sum(CAST(has_solution AS INTEGER)) AS BIGINT) AS resolved, round(sum(CAST(has_solution AS INTEGER)) / count(*) * 100, 0) AS pct,
- coalesce(string_agg(CASE WHEN has_solution AND r <= 4 THEN ticket_id || ': ' || substring(summary, 1, 70) || ' / ' || substring(solution, 1, 100) END, chr(10) ORDER BY r), '') AS anchors,
- coalesce(string_agg(CASE WHEN NOT has_solution AND r <= 3 THEN ticket_id || ': ' || substring(summary, 1, 80) END, chr(10) ORDER BY r), '') AS unresolved
+ coalesce(string_agg(CASE WHEN has_solution AND r <= 4 THEN ticket_id || ': ' || summary || ' / ' || solution END, chr(10) ORDER BY r), '') AS anchors,
+ coalesce(string_agg(CASE WHEN NOT has_solution AND r <= 3 THEN ticket_id || ': ' || summary END, chr(10) ORDER BY r), '') AS unresolved
  FROM ranked GROUP BY category""")
 def _(spark, sf):
     s = tickets.cluster_summary(V.tickets(spark, sf))
@@ -62,8 +62,8 @@ def _(spark, sf):
 
 
 @query("t06_article_context", "WITH " + V.CTE["tickets"] + ",\n" + TOPN + """
-SELECT category, count(*) FILTER (has_solution) AS n_sources, string_agg(CASE WHEN has_solution THEN 'Ticket ' || ticket_id || ':' || chr(10) || 'Problem: ' || substring(problem, 1, 200) || chr(10) || 'Resolution: ' || substring(solution, 1, 200)
- ELSE 'Ticket ' || ticket_id || ' (unresolved):' || chr(10) || 'Problem: ' || substring(problem, 1, 150) END, chr(10) || chr(10) ORDER BY has_solution DESC, r) AS context
+SELECT category, count(*) FILTER (has_solution) AS n_sources, string_agg(CASE WHEN has_solution THEN 'Ticket ' || ticket_id || ':' || chr(10) || 'Problem: ' || problem || chr(10) || 'Resolution: ' || solution
+ ELSE 'Ticket ' || ticket_id || ' (unresolved):' || chr(10) || 'Problem: ' || problem END, chr(10) || chr(10) ORDER BY has_solution DESC, r) AS context
  FROM ranked WHERE r <= CASE WHEN has_solution THEN 5 ELSE 3 END GROUP BY category HAVING count(*) FILTER (has_solution) > 0""")
 def _(spark, sf):
     return tickets.article_context(V.tickets(spark, sf), 5, 3)
@@ -83,8 +83,8 @@ def _(spark, sf):
 
 
 @query("a05_cluster_gate", with_views("", "tickets", "vectors", "clustered").rstrip() + ",\n" + PROFILE + f""",
- sc AS (SELECT c.cluster, {SCORE} AS score, {TIER} AS tier, row_number() OVER (PARTITION BY c.cluster ORDER BY ticket_id) AS r FROM clustered c JOIN big ON c.cluster = big.cluster WHERE size_rank <= 3),
- g AS (SELECT sc.cluster, avg(score) AS avg_score, avg(CASE WHEN tier = 'HIGH' THEN 1 ELSE 0 END) AS h, avg(CASE WHEN tier IN ('HIGH', 'MEDIUM') THEN 1 ELSE 0 END) AS m FROM sc WHERE r <= 10 GROUP BY 1),
+ sc AS (SELECT c.cluster, {SCORE} AS score, {TIER} AS tier, row_number() OVER (PARTITION BY c.cluster ORDER BY ticket_id) AS r FROM clustered c WHERE c.cluster <> -1),
+ g AS (SELECT sc.cluster, avg(score) AS avg_score, avg(CASE WHEN tier = 'HIGH' THEN 1 ELSE 0 END) AS h, avg(CASE WHEN tier IN ('HIGH', 'MEDIUM') THEN 1 ELSE 0 END) AS m FROM sc GROUP BY 1),
  g2 AS (SELECT g.cluster, avg_score, CASE WHEN h > 0.5 THEN 'HIGH' WHEN m > 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS tier, size FROM g JOIN cp ON cp.cluster = g.cluster)
 SELECT cluster, avg_score, tier, tier <> 'LOW' AS ready, tier <> 'LOW' AND row_number() OVER (ORDER BY tier <> 'LOW' DESC, avg_score DESC, size DESC, cluster) = 1 AS is_best FROM g2""")
 def _(spark, sf):
@@ -99,7 +99,7 @@ def _(spark, sf):
     return tickets.coverage_gaps(V.tickets(spark, sf), pages)
 
 
-@query("j15_enrich_hits", with_views("""SELECT v.id, vec_id AS score, coalesce(nullif(category, ''), '?') AS category, coalesce(substring(summary, 1, 60), '') AS summary60 FROM vectors v LEFT JOIN tickets t ON t.ticket_id = v.id""",
+@query("j15_enrich_hits", with_views("""SELECT v.id, vec_id AS score, coalesce(nullif(category, ''), '?') AS category, coalesce(summary, '') AS summary FROM vectors v LEFT JOIN tickets t ON t.ticket_id = v.id""",
                                      "tickets", "vectors"))
 def _(spark, sf):
     hits = V.vectors(spark, sf).select(F.concat(F.lit("pc_ticket:"), F.col("id")).alias("id"), F.col("vec_id").alias("score"))

@@ -15,8 +15,8 @@ from .views import with_views
 
 
 @query("j03_knowledge_context", with_views("""SELECT t.term, concept_id, decision_id, source, concept_id IS NOT NULL AS found FROM terms t LEFT JOIN (
- SELECT term, m.id AS concept_id, d.id AS decision_id, d.source, row_number() OVER (PARTITION BY term ORDER BY m.id, d.id NULLS FIRST) AS r FROM matches m LEFT JOIN decisions d ON d.concept_id = m.id) x
- ON t.term = x.term AND r <= 20 WHERE r IS NOT NULL OR t.term NOT IN (SELECT term FROM matches)""", "concepts", "decisions", "terms", "matches"))
+ SELECT term, m.id AS concept_id, d.id AS decision_id, d.source FROM matches m LEFT JOIN decisions d ON d.concept_id = m.id) x
+ ON t.term = x.term""", "concepts", "decisions", "terms", "matches"))
 def _(spark, sf):
     c, d, _x = V.knowledge(spark, sf)
     k = knowledge.knowledge_context(V.terms(spark, sf), c, d)
@@ -28,12 +28,12 @@ GATE = """gate AS (SELECT t.term, coalesce(n, 0) AS n, listed FROM terms t LEFT
 GATED = with_views("", "concepts", "contradictions", "terms", "matches").rstrip() + ",\n" + GATE
 
 
-@query("j04_contradiction_gate", GATED + """ SELECT term, n > 0 AS blocked, n AS unresolved_count, listed, CASE WHEN n > 0 THEN 'BLOCKED: ' || n || ' unresolved guideline contradiction(s) found for ''' || term || '''.'
+@query("j04_contradiction_gate", GATED + """ SELECT term, n > 0 AS blocked, n AS unresolved_count, listed, greatest(n - 20, 0) AS n_more, CASE WHEN n > 0 THEN 'BLOCKED: ' || n || ' unresolved guideline contradiction(s) found for ''' || term || '''.'
  ELSE 'NO_CONTRADICTIONS: Safe to cite protocols for ''' || term || '''.' END AS message FROM gate""")
 def _(spark, sf):
     c, _d, x = V.knowledge(spark, sf)
     g = knowledge.contradiction_gate(V.terms(spark, sf), c, x)
-    return g.select("term", "blocked", "unresolved_count", F.array_join(F.transform("detail", lambda r: r["ct_id"]), ",").alias("listed"), "message")
+    return g.select("term", "blocked", "unresolved_count", F.array_join(F.transform("detail", lambda r: r["ct_id"]), ",").alias("listed"), "n_more", "message")
 
 
 @query("j05_gate_recommendations", GATED + """ SELECT p_partkey AS rec_id, lower(p_name) AS concept, coalesce(n, 0) = 0 AS allowed,
@@ -44,14 +44,13 @@ def _(spark, sf):
     return knowledge.gate_recommendations(recs, knowledge.contradiction_gate(V.terms(spark, sf), c, x))
 
 
-@query("j06_related_evidence", with_views("""SELECT term, concept, relationship, related, coalesce(nullif(name, ''), related) AS name, r AS rank FROM (
- SELECT *, row_number() OVER (PARTITION BY term ORDER BY concept, relationship, related) AS r FROM (
+@query("j06_related_evidence", with_views("""SELECT term, concept, relationship, related, coalesce(nullif(name, ''), related) AS name FROM (
   SELECT DISTINCT t.term, n.id AS concept, e.pred AS relationship, e.dst AS related FROM (SELECT DISTINCT term FROM terms UNION SELECT lower(n_name) FROM nation) t
-  JOIN nodes n ON contains(lower(n.name), t.term) OR contains(lower(n.id), replace(t.term, ' ', '_')) JOIN both_ways e ON e.src = n.id)) x
- LEFT JOIN nodes m ON m.id = x.related WHERE r <= 25""", "terms", "nodes", "edges", "both"))
+  JOIN nodes n ON contains(lower(n.name), t.term) OR contains(lower(n.id), replace(t.term, ' ', '_')) JOIN both_ways e ON e.src = n.id) x
+ LEFT JOIN nodes m ON m.id = x.related""", "terms", "nodes", "edges", "both"))
 def _(spark, sf):
     asked = V.terms(spark, sf).unionByName(V.table(spark, sf, "nation").select(F.col("n_name").alias("term")))
-    return knowledge.related_evidence(asked, V.nodes(spark, sf), V.edges(spark, sf))
+    return knowledge.related_evidence(asked, V.nodes(spark, sf), V.edges(spark, sf)).drop("n_more")
 
 
 @query("j07_contradiction_subgraph", with_views("SELECT x.id AS contradiction_id, x.concept_id, d.id AS decision_id FROM contradictions x JOIN concepts c ON c.id = x.concept_id JOIN decisions d ON d.concept_id = c.id",
@@ -61,11 +60,9 @@ def _(spark, sf):
     return knowledge.contradiction_subgraph(x, c, d)
 
 
-@query("j08_provenance_trail", with_views("""SELECT 'agent:kb.writer' AS agent, 'KB-PC-' || category AS article_id, category, '2024-01-31' AS generated_at, 'pc_ticket:' || ticket_id AS ticket FROM (
- SELECT ticket_id, category, row_number() OVER (PARTITION BY category ORDER BY ticket_id) AS r FROM tickets) WHERE r <= 5""", "tickets"))
+@query("j08_provenance_trail", with_views("""SELECT 'agent:kb.writer' AS agent, 'KB-PC-' || category AS article_id, category, '2024-01-31' AS generated_at, 'pc_ticket:' || ticket_id AS ticket FROM tickets""", "tickets"))
 def _(spark, sf):
-    few = first_rows(V.tickets(spark, sf), ["category"], ["ticket_id"], 5)
-    arts = few.groupBy("category").agg(F.array_join(F.sort_array(F.collect_list("ticket_id")), ",").alias("source_tickets")).select(
+    arts = V.tickets(spark, sf).groupBy("category").agg(F.array_join(F.sort_array(F.collect_list("ticket_id")), ",").alias("source_tickets")).select(
         F.concat(F.lit("KB-PC-"), F.col("category")).alias("article_id"), "category", F.lit("2024-01-31").alias("generated_at"), "source_tickets")
     props, edges = tables.append_triples(arts)
     return knowledge.provenance_trail(edges, props)
@@ -130,10 +127,10 @@ def _(spark, sf):
 # --- graph -----------------------------------------------------------------------------
 
 
-@query("g01_graph_walk", with_views("""SELECT src AS start, src, pred, dst, 1 AS depth, src || '>' || dst AS path FROM edges WHERE src[1] IN ('c', 's')
- UNION ALL SELECT a.src, b.src, b.pred, b.dst, 2, min(a.src || '>' || a.dst || '>' || b.dst) FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src[1] IN ('c', 's') GROUP BY a.src, b.src, b.pred, b.dst""", "edges"))
+@query("g01_graph_walk", with_views("""SELECT src AS start, src, pred, dst, 1 AS depth, src || '>' || dst AS path FROM edges
+ UNION ALL SELECT a.src, b.src, b.pred, b.dst, 2, min(a.src || '>' || a.dst || '>' || b.dst) FROM edges a JOIN edges b ON a.dst = b.src GROUP BY a.src, b.src, b.pred, b.dst""", "edges"))
 def _(spark, sf):
-    starts = V.nodes(spark, sf).filter("label in ('Customer', 'Supplier')").select(F.col("id").alias("start"))
+    starts = V.nodes(spark, sf).select(F.col("id").alias("start"))
     return graph.graph_walk(V.edges(spark, sf), starts, 2)
 
 
@@ -144,12 +141,11 @@ def _(spark, sf):
     return graph.expand_neighborhood(V.edges(spark, sf), n, 2)
 
 
-@query("g03_patient_neighborhood", with_views("""SELECT patient_id, source, rel, target, coalesce(name, target) AS name, r AS rank FROM (
- SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY source, rel, target) AS r FROM (
+@query("g03_patient_neighborhood", with_views("""SELECT patient_id, source, rel, target, coalesce(name, target) AS name FROM (
   SELECT 's' || s_suppkey AS patient_id, h.* FROM supplier JOIN (
    SELECT DISTINCT source, rel, target FROM (SELECT src AS source, pred AS rel, dst AS target FROM both_ways WHERE src[1] = 'n'
-    UNION ALL SELECT a.src, a.pred, b.dst FROM both_ways a JOIN both_ways b ON a.dst = b.src WHERE a.src[1] = 'n') WHERE source <> target) h ON h.source = 'n' || s_nationkey)) x
- LEFT JOIN nodes ON nodes.id = target WHERE r <= 20""", "edges", "both", "nodes"))
+    UNION ALL SELECT a.src, a.pred, b.dst FROM both_ways a JOIN both_ways b ON a.dst = b.src WHERE a.src[1] = 'n') WHERE source <> target) h ON h.source = 'n' || s_nationkey) x
+ LEFT JOIN nodes ON nodes.id = target""", "edges", "both", "nodes"))
 def _(spark, sf):
     anchors = V.table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("patient_id"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("node"))
     return graph.patient_neighborhood(anchors, V.edges(spark, sf), V.nodes(spark, sf), 2)
@@ -169,23 +165,22 @@ def pagerank_sql(links: str, seeds: str, iters: int, k: int, alpha: float = 0.85
 
 
 @query("g04_personalized_pagerank", with_views("", "edges", "both").rstrip() + ", " + pagerank_sql(
-    "SELECT src, dst FROM both_ways", "SELECT 'r' || n_regionkey AS seed_set, 'n' || n_nationkey AS node FROM nation", 6, 20) +
+    "SELECT src, dst FROM both_ways", "SELECT 'r' || n_regionkey AS seed_set, 'n' || n_nationkey AS node FROM nation", 20, 20) +
        " SELECT seed_set, node, round(score, 7) AS score, rank FROM top")
 def _(spark, sf):
     seeds = V.table(spark, sf, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("seed_set"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"))
-    top = graph.personalized_pagerank(V.edges(spark, sf), seeds, 20, iters=6, directed=False)
+    top = graph.personalized_pagerank(V.edges(spark, sf), seeds, 20, directed=False)
     return top.select("seed_set", "node", F.round("score", 7).alias("score"), "rank")
 
 
 @query("g05_clinical_pathway", with_views("", "edges", "both").rstrip() + ", " + pagerank_sql(
-    "SELECT src, dst FROM both_ways WHERE pred IN ('IN_REGION', 'BASED_IN')", "SELECT 'n' || n_nationkey AS seed_set, 'n' || n_nationkey AS node FROM nation WHERE n_nationkey < 20", 4, 10) +
-       """ SELECT 'p' || c_custkey AS patient_id, CASE WHEN c_nationkey < 20 THEN 1 ELSE 0 END AS n_anchors, rank, node, round(score, 7) AS score,
- CASE WHEN c_nationkey >= 20 THEN 'No coded conditions found or no bridge mappings loaded.' END AS message FROM customer LEFT JOIN top ON seed_set = 'n' || c_nationkey""")
+    "SELECT src, dst FROM both_ways", "SELECT 'n' || n_nationkey AS seed_set, 'n' || n_nationkey AS node FROM nation", 10, 10) +
+       """ SELECT 'p' || c_custkey AS patient_id, CASE WHEN c_custkey % 50 <> 0 THEN 1 ELSE 0 END AS n_anchors, rank, node, round(score, 7) AS score,
+ CASE WHEN c_custkey % 50 = 0 THEN 'No coded conditions found or no bridge mappings loaded.' END AS message FROM customer LEFT JOIN top ON seed_set = 'n' || c_nationkey AND c_custkey % 50 <> 0""")
 def _(spark, sf):
-    cond = V.table(spark, sf, "customer").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("patient_id"), F.col("c_nationkey").alias("code"))
-    bridge = V.table(spark, sf, "nation").filter("n_nationkey < 20").select(F.col("n_nationkey").alias("code"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"))
-    e = V.edges(spark, sf).filter("pred in ('IN_REGION', 'BASED_IN')")
-    return graph.clinical_pathway(cond, bridge, e, 10, iters=4).withColumn("score", F.round("score", 7))
+    cond = V.table(spark, sf, "customer").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("patient_id"), F.when(F.col("c_custkey") % 50 != 0, F.col("c_nationkey")).otherwise(99).alias("code"))
+    bridge = V.table(spark, sf, "nation").select(F.col("n_nationkey").alias("code"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"))
+    return graph.clinical_pathway(cond, bridge, V.edges(spark, sf), 10).withColumn("score", F.round("score", 7))
 
 
 @query("g06_pattern_match", with_views("""SELECT a.src AS n0, a.dst AS n1, b.dst AS n2, c.dst AS n3 FROM edges a JOIN edges b ON a.pred = 'PLACED_BY' AND b.pred = 'BASED_IN' AND b.src = a.dst
@@ -210,9 +205,8 @@ def _(spark, sf):
 HITS = """hits AS (SELECT 'c' || o_custkey AS query_id, 'o' || o_orderkey AS id, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r <= 5)"""
 
 
-@query("j14_discovery_expand", with_views("", "edges").rstrip() + ", " + HITS + """, ent AS (SELECT query_id, entity FROM (SELECT h.query_id, e.dst AS entity, row_number() OVER (PARTITION BY h.query_id ORDER BY e.dst) AS r
-  FROM hits h JOIN edges e ON e.src = h.id AND e.pred = 'AFFECTS' WHERE h.rank = 1) WHERE r <= 3)
- SELECT DISTINCT n.query_id, entity, pred, src AS ticket_id FROM ent n JOIN edges e ON e.dst = n.entity WHERE src[1] = 'o' AND (n.query_id, src) NOT IN (SELECT query_id, id FROM hits)""")
+@query("j14_discovery_expand", with_views("", "edges").rstrip() + ", " + HITS + """, ent AS (SELECT DISTINCT h.query_id, e.dst AS entity FROM hits h JOIN edges e ON e.src = h.id AND e.pred = 'AFFECTS')
+ SELECT DISTINCT n.query_id, entity, pred, src AS ticket_id FROM ent n JOIN edges e ON e.dst = n.entity WHERE src[1] = 'o' AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = n.query_id AND h.id = e.src)""")
 def _(spark, sf):
     hits = first_rows(V.table(spark, sf, "orders"), ["o_custkey"], ["o_orderkey"], 5).select(
         F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("query_id"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), "rank")
@@ -266,9 +260,9 @@ def _(spark, sf):
     return vectors.suggest_from_similar(V.tickets(spark, sf), V.vectors(spark, sf))
 
 
-@query("w02_anchor_resolutions", with_views("""SELECT cluster, anchor, ticket_id, round(s, 3) AS sim, substring(solution, 1, 120) AS solution, row_number() OVER (PARTITION BY cluster ORDER BY round(s, 9) DESC, ticket_id) AS rank FROM (
+@query("w02_anchor_resolutions", with_views("""SELECT cluster, anchor, ticket_id, round(s, 3) AS sim, solution, row_number() OVER (PARTITION BY cluster ORDER BY round(s, 9) DESC, ticket_id) AS rank FROM (
  SELECT o.cluster, a.ticket_id AS anchor, a.solution, o.ticket_id, list_cosine_similarity(vo.vec, va.vec) AS s FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY ticket_id) AS r FROM clustered WHERE NOT has_solution) o
- JOIN (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY ticket_id) AS r FROM clustered WHERE has_solution) a ON a.cluster = o.cluster AND a.r = 1 AND o.r <= 15
+ JOIN (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY ticket_id) AS r FROM clustered WHERE has_solution) a ON a.cluster = o.cluster AND a.r = 1
  JOIN vectors vo ON vo.id = o.ticket_id JOIN vectors va ON va.id = a.ticket_id) QUALIFY rank <= 4""", "tickets", "vectors", "clustered"))
 def _(spark, sf):
     return vectors.anchor_resolutions(V.tickets(spark, sf), V.vectors(spark, sf))
@@ -300,7 +294,7 @@ _WORDS = ["the", "tion", "and", "heit", "que"]
 _SC = " + ".join(f"CASE WHEN contains(lower(text), '{w}') THEN 1 ELSE 0 END" for w in _WORDS)
 
 
-@query("t04_search_chunks", "WITH " + CHUNKS + f""" SELECT doc_id, chunk, score, substring(text, 1, 500) AS excerpt, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk DESC) AS rank
+@query("t04_search_chunks", "WITH " + CHUNKS + f""" SELECT doc_id, chunk, score, text AS excerpt, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk DESC) AS rank
  FROM (SELECT *, {_SC} AS score FROM chunks) WHERE score > 0 QUALIFY rank <= 5""")
 def _(spark, sf):
     return documents.search_chunks(V.texts(spark, sf), " ".join(_WORDS), 5)
@@ -316,12 +310,12 @@ EXPLORE = f"""{CHUNKS}, tasks(doc_id, part, task, words) AS (
   SELECT doc_id, 0, 'a', ['tion', 'ment'] FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, 1, 'b', ['que', 'heit'] FROM documents WHERE doc_id % 4 = 0
   UNION ALL SELECT doc_id, 0, 'c', ['zzz', 'qqq'] FROM documents WHERE doc_id % 4 = 1 UNION ALL SELECT doc_id, 1, 'd', ['xyzzy'] FROM documents WHERE doc_id % 4 = 1
   UNION ALL SELECT doc_id, 0, 'e', ['the'] FROM documents WHERE doc_id % 4 > 1 UNION ALL SELECT doc_id, 1, 'f', ['und'] FROM documents WHERE doc_id % 4 > 1),
- sc AS (SELECT t.doc_id, part, chunk, len(list_filter(words, lambda w: contains(lower(text), w))) AS score, substring(text, 1, 500) AS ex FROM tasks t JOIN chunks c ON c.doc_id = t.doc_id),
+ sc AS (SELECT t.doc_id, part, chunk, len(list_filter(words, lambda w: contains(lower(text), w))) AS score, text AS ex FROM tasks t JOIN chunks c ON c.doc_id = t.doc_id),
  rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, part ORDER BY score DESC, chunk DESC) AS r FROM sc WHERE score > 0),
  pt AS (SELECT t.doc_id, t.part, coalesce(string_agg('[Chunk ' || chunk || ', score=' || score || ']' || chr(10) || ex || '...', chr(10) || chr(10) ORDER BY r), 'No relevant sections found') AS t
-  FROM tasks t LEFT JOIN rk ON rk.doc_id = t.doc_id AND rk.part = t.part AND r <= 3 GROUP BY 1, 2),
+  FROM tasks t LEFT JOIN rk ON rk.doc_id = t.doc_id AND rk.part = t.part GROUP BY 1, 2),
  mg AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY part) AS t FROM pt GROUP BY 1),
- an AS (SELECT doc_id, substring(array_to_string(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '')[1:8], chr(10)), 1, 1200) AS a FROM mg),
+ an AS (SELECT doc_id, array_to_string(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> ''), chr(10)) AS a FROM mg),
  cf AS (SELECT *, CASE WHEN a = '' THEN 0.0::DOUBLE WHEN contains(a, 'No relevant sections') THEN 0.2::DOUBLE WHEN length(a) < 60 THEN 0.4::DOUBLE ELSE 0.75::DOUBLE END AS confidence FROM an)"""
 
 

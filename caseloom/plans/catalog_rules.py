@@ -98,14 +98,13 @@ def _(spark, sf):
     return scoring.action_brief(ev).select("patient_id", "priority_label", F.size("actions").alias("n_actions"))
 
 
-@query("p09_search_notes", """SELECT 'p' || o_custkey AS patient_id, o_orderkey AS doc_id, description, rank FROM (
- SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM (
-  SELECT *, o_orderpriority || ' ' || o_orderstatus AS description FROM orders) WHERE contains(lower(description), 'high')) WHERE rank <= 10""")
+@query("p09_search_notes", """SELECT 'p' || o_custkey AS patient_id, o_orderkey AS doc_id, description FROM (
+  SELECT *, o_orderpriority || ' ' || o_orderstatus AS description FROM orders) WHERE contains(lower(description), 'high')""")
 def _(spark, sf):
     o = V.table(spark, sf, "orders")
     docs = o.select(F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("patient_id"), F.col("o_orderkey").alias("doc_id"), F.lit("current").alias("status"),
                     F.col("o_orderdate").alias("date"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("description"))
-    return patients.search_notes(docs, "HIGH").select("patient_id", "doc_id", "description", "rank")
+    return patients.search_notes(docs, "HIGH").select("patient_id", "doc_id", "description")
 
 
 READY = """CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS no_birth, CASE WHEN c_custkey % 5 = 0 THEN 1 ELSE 0 END AS no_gender, CASE WHEN c_custkey % 9 = 0 THEN 1 ELSE 0 END AS no_phone"""
@@ -284,7 +283,7 @@ def _(spark, sf):
 
 
 @query("p27_tool_spans", """SELECT 't' || conv_id AS trace_id, 'execute_tool ' || role AS name, (turn + 1) * 1000000000 - CASE WHEN turn % 5 = 4 THEN 0 ELSE length(text) * 1000000 END AS start_ns,
- CASE WHEN turn % 5 = 4 OR turn % 3 = 2 THEN 2 ELSE 0 END AS status, CASE WHEN turn % 5 = 4 THEN NULL ELSE length(substring(text, 1, 500)) END AS n_out,
+ CASE WHEN turn % 5 = 4 OR turn % 3 = 2 THEN 2 ELSE 0 END AS status, CASE WHEN turn % 5 = 4 THEN NULL ELSE length(text) END AS n_out,
  CASE WHEN turn % 3 = 2 THEN 'failed' END AS error, CASE WHEN turn % 5 = 4 THEN 'true' END AS denied, turn AS call_id FROM conversations""")
 def _(spark, sf):
     c = V.table(spark, sf, "conversations")

@@ -62,20 +62,29 @@ def _(spark, sf):
     return runs.run_state(V.run_events(spark, sf))
 
 
-@query("r04_run_state_stream", STATES + " SELECT run_id, status, awaiting, decided_by, illegal FROM states WHERE n_events > n_steps")
-def _(spark, sf):
-    """The stateful stream over the same events. Its latest row per run is kept."""
-    src, out = scratch(spark, "run-events"), scratch(spark, "run-states")
-    V.run_events(spark, sf).select("run_id", "pos", "type", "tool", "principal").repartitionByRange(4, "pos").write.parquet(src)
-    stream = spark.readStream.schema("run_id string, pos long, type string, tool string, principal string").parquet(src)
+def drained(spark, stream, mode, name, write=None):
+    """Run a stream over what is there and return what its batches wrote, with the
+    number of the batch in ``epoch``."""
+    out = scratch(spark, name)
+    write = write or (lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}"))
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", scratch(spark, name + "-ckpt")).trigger(availableNow=True).foreachBatch(write).start()
+    q.awaitTermination()
+    return spark.read.option("basePath", out).parquet(f"{out}/epoch=*") if write.__name__ == "<lambda>" else None
 
-    def keep(batch, epoch):
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/batch={epoch}")
 
-    q = (jobs.run_state_stream(stream).writeStream.outputMode("update").option("checkpointLocation", scratch(spark, "run-ckpt"))
-         .trigger(availableNow=True).foreachBatch(keep).start())
-    q.awaitTermination()
-    rows = spark.read.parquet(out)
+def arriving(spark, df, name, files=1):
+    """The rows as a stream of so many files, one per batch."""
+    path = scratch(spark, name)
+    df.repartition(files).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("r04_run_state_stream", STATES + " SELECT run_id, status, awaiting, decided_by, illegal FROM states")
+def _(spark, sf):
+    """The stateful stream over the same events in four batches, each with events from
+    all over a run. The latest row per run is its state."""
+    events = V.run_events(spark, sf).select("run_id", "pos", "type", "tool", "principal")
+    rows = drained(spark, jobs.run_state_stream(arriving(spark, events, "run-events", 4)), "update", "run-states")
     return rows.groupBy("run_id").agg(F.max_by(F.struct("status", "awaiting", "decided_by", "illegal"), "epoch").alias("s")).select("run_id", "s.*")
 
 
@@ -126,8 +135,11 @@ def _(spark, sf):
     return jobs.incremental_patients(o.filter("o_orderdate > timestamp'1998-01-01'"), since=F.lit("1998-01-01").cast("timestamp")).select("patient_id", "version")
 
 
-@query("r02_route_ready", """SELECT 'p' || c_custkey AS patient_id, CASE WHEN c_acctbal < 0 OR c_custkey % 5 = 0 OR c_custkey % 9 = 0 THEN 'queue' ELSE 'ready' END AS route,
- concat_ws(', ', CASE WHEN c_acctbal < 0 THEN 'missing birthDate' END, CASE WHEN c_custkey % 5 = 0 THEN 'missing gender' END, CASE WHEN c_custkey % 9 = 0 THEN 'no contact point' END) AS issues FROM customer""")
+ROUTES = """SELECT 'p' || c_custkey AS patient_id, CASE WHEN c_acctbal < 0 OR c_custkey % 5 = 0 OR c_custkey % 9 = 0 THEN 'queue' ELSE 'ready' END AS route,
+ concat_ws(', ', CASE WHEN c_acctbal < 0 THEN 'missing birthDate' END, CASE WHEN c_custkey % 5 = 0 THEN 'missing gender' END, CASE WHEN c_custkey % 9 = 0 THEN 'no contact point' END) AS issues FROM customer"""
+
+
+@query("r02_route_ready", ROUTES)
 def _(spark, sf):
     ready, queue = jobs.route_ready(fhir_patients(spark, sf), as_of())
     return ready.select("patient_id", F.lit("ready").alias("route"), F.lit("").alias("issues")).unionByName(queue.select("patient_id", F.lit("queue").alias("route"), "issues"))
@@ -147,16 +159,21 @@ def _(spark, sf):
     return _monitor_columns(jobs.ops_monitor(V.headers(spark, sf)))
 
 
-@query("r07_ops_monitor_stream", with_views("SELECT * FROM (" + MONITOR + ") WHERE start_ms + 3600000 <= (SELECT epoch_us(max(created)) // 1000 FROM headers) - 600000", "headers"))
+@query("r07_ops_monitor_stream", with_views(MONITOR, "headers"))
 def _(spark, sf):
-    """The same windows from a stream; append mode emits windows the watermark has closed."""
-    src, out = scratch(spark, "headers"), scratch(spark, "windows")
-    V.headers(spark, sf).write.parquet(src)
-    schema = V.headers(spark, sf).schema
-    q = (jobs.ops_monitor(spark.readStream.schema(schema).parquet(src)).writeStream.outputMode("append").format("parquet")
-         .option("path", out).option("checkpointLocation", scratch(spark, "win-ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return _monitor_columns(spark.read.parquet(out))
+    """The same windows from a stream in update mode: the latest row of each window,
+    those still open at its end included."""
+    rows = drained(spark, jobs.ops_monitor(arriving(spark, V.headers(spark, sf), "headers"), watermark=None), "update", "windows")
+    last = rows.groupBy("start", "component").agg(F.max_by(F.struct("total", "depth", "errors", "rate", "avg_ms"), "epoch").alias("m"))
+    return _monitor_columns(last.select("start", "component", "m.*"))
+
+
+@query("r07_window_bottlenecks", with_views("", "headers").rstrip() + ", m AS (" + MONITOR + """), p AS (SELECT start_ms, CAST(sum(depth) AS BIGINT) AS queued,
+  arg_min(component, (-depth, component)) AS dc, arg_min(component, (-rate, component)) AS rc, max(rate) AS rr FROM m GROUP BY 1)
+ SELECT start_ms, queued, CASE WHEN queued > 20 THEN 'backlog' WHEN rr > 10 THEN 'errors' END AS kind, CASE WHEN queued > 20 THEN dc WHEN rr > 10 THEN rc END AS component FROM p""")
+def _(spark, sf):
+    b = jobs.window_bottlenecks(jobs.ops_monitor(V.headers(spark, sf)))
+    return b.select(F.unix_millis("start").alias("start_ms"), "queued", "kind", "component")
 
 
 @query("r07_metric_windows", with_views("""SELECT epoch_us(w) // 1000 AS start_ms, metric, count(*) AS n, round(avg(value), 6) AS mean, round(greatest(max(value) - avg(value), avg(value) - min(value)) / stddev_samp(value), 4) AS max_z FROM (
@@ -211,7 +228,63 @@ def _(spark, sf):
     return V.table(spark, sf, "orders").select("o_orderkey", first_match_case(cases, "ERROR: no case matches the arguments given").alias("result"))
 
 
-@query("j13_visible_runs", STATES.replace("WITH ", "WITH " + V.CTE["principals"] + ",\n", 1) + """ SELECT run_id, coalesce((SELECT bool_or(list_contains(roles, 'approver') OR list_contains(roles, 'admin')) FROM principals p WHERE 'u' || substring(p.principal, 2) = requester), false) AS owner_is_approver FROM states""")
+@query("r01_changed_patients_stream", "SELECT 'p' || o_custkey AS patient_id, arg_max(o_orderkey, k) AS version FROM (SELECT *, epoch_us(o_orderdate) + o_orderkey AS k FROM orders) GROUP BY o_custkey")
 def _(spark, sf):
+    """Every version arrives twice; the stream passes each once, its reader keeps the latest."""
+    o = V.table(spark, sf, "orders").select(F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("patient_id"), F.col("o_orderkey").alias("version"),
+                                            F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey")).alias("updated"))
+    rows = drained(spark, jobs.changed_patients(arriving(spark, o.unionByName(o), "patients")), "append", "changed")
+    n = rows.groupBy("patient_id", "updated").agg(F.count(F.lit(1)).alias("n"), F.max("version").alias("version")).filter("n = 1")
+    return jobs.incremental_patients(n.drop("n"), since=F.lit("1900-01-01").cast("timestamp")).select("patient_id", "version")
+
+
+@query("r02_route_ready_stream", ROUTES)
+def _(spark, sf):
+    ready, queue = scratch(spark, "ready"), scratch(spark, "queue")
+    drained(spark, arriving(spark, fhir_patients(spark, sf), "new-patients", 3), "append", "routes", jobs.route_writer(ready, queue, as_of()))
+    at = lambda path: spark.read.option("basePath", path).parquet(f"{path}/epoch=*")
+    return at(ready).select("patient_id", F.lit("ready").alias("route"), F.lit("").alias("issues")).unionByName(at(queue).select("patient_id", F.lit("queue").alias("route"), "issues"))
+
+
+@query("r08_assemble_traces_stream", with_views(ASSEMBLED, "spans"))
+def _(spark, sf):
+    s = V.spans(spark, sf).select("trace_id", "span_id", "parent_span_id", "name", "start_ns", "end_ns", "status", F.timestamp_micros(F.floor(F.col("start_ns") / 1000)).alias("ts"))
+    rows = drained(spark, jobs.assemble_traces_stream(arriving(spark, s, "spans")), "complete", "traces")
+    return rows.drop("epoch")
+
+
+@query("r06_expire_sessions_stream", """SELECT user_id AS session_id, epoch_us(max(ts)) // 1000 AS updated_ms FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS island FROM (
+  SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 24 HOUR THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY user_id, island""")
+def _(spark, sf):
+    s = V.run_events(spark, sf).select(F.expr("cast(substring(principal, 2) as bigint)").alias("session_id"), "ts")
+    rows = drained(spark, jobs.expire_sessions_stream(arriving(spark, s, "calls")), "complete", "sessions")
+    return rows.select("session_id", F.unix_millis("updated").alias("updated_ms"))
+
+
+_RIGHTS = "(SELECT bool_or({}) FROM principals p WHERE 'u' || substring(p.principal, 2) = viewer)"
+_APPROVES = "coalesce(" + _RIGHTS.format("list_contains(roles, 'approver') OR list_contains(roles, 'admin')") + ", false)"
+_LISTS = "coalesce(" + _RIGHTS.format("list_contains(roles, 'caller') OR list_contains(roles, 'approver') OR list_contains(roles, 'admin')") + ", false)"
+
+
+@query("j13_visible_runs", STATES.replace("WITH ", "WITH " + V.CTE["principals"] + ",\n", 1) + f""", asked AS (SELECT requester AS viewer, run_id, requester FROM states UNION ALL
+  SELECT 'u' || ((CAST(substring(requester, 2) AS BIGINT) + 1) % 150), run_id, requester FROM states)
+ SELECT viewer, run_id, {_APPROVES} OR (viewer = requester AND {_LISTS}) AS visible, {_APPROVES} AND viewer <> requester AS may_decide FROM asked""")
+def _(spark, sf):
+    """Each run is asked for by its requester and by the next user."""
     p = V.principals(spark, sf).withColumn("principal", F.concat(F.lit("u"), F.substring("principal", 2, 20)))
-    return access.visible_runs(runs.run_state(V.run_events(spark, sf)), p).select("run_id", "owner_is_approver")
+    r = runs.run_state(V.run_events(spark, sf)).select("run_id", "requester")
+    following = F.concat(F.lit("u"), ((F.substring("requester", 2, 20).cast("long") + 1) % 150).cast("string"))
+    asked = r.select(F.col("requester").alias("viewer"), "run_id").unionByName(r.select(following.alias("viewer"), "run_id"))
+    return access.visible_runs(r, asked, p)
+
+
+@query("a24_audit_cube", with_views("""SELECT principal, tool, type AS backend, grouping(principal, tool, type) AS level, count(*) AS calls, round(avg(CASE WHEN value < 50 THEN 1 ELSE 0 END), 6) AS ok_rate,
+ round(avg(value), 6) AS avg_ms FROM run_events GROUP BY CUBE (principal, tool, type)""", "run_events"))
+def _(spark, sf):
+    a = V.run_events(spark, sf).select("principal", "tool", F.col("type").alias("backend"), (F.col("value") < 50).alias("ok"), F.col("value").alias("elapsed_ms"))
+    return runs.audit_cube(a).withColumn("ok_rate", F.round("ok_rate", 6)).withColumn("avg_ms", F.round("avg_ms", 6))
+
+
+@query("a24_run_summary", STATES + " SELECT run_id, requester, status, n_steps, coalesce(decided_by, '') AS decider FROM states")
+def _(spark, sf):
+    return runs.run_summary(runs.run_state(V.run_events(spark, sf)))

@@ -29,16 +29,21 @@ def ticket_export(spark, sf):
                                        F.col("status").alias("Status"), flag.alias("has_solution"))).alias("json"))
 
 
-@query("s01_read_tickets", with_views("""SELECT ticket_id, category, hospital, summary, substring(problem, 1, 3000) AS problem, substring(solution, 1, 2000) AS solution,
- status, has_solution, substring(summary || ' ' || substring(problem, 1, 3000), 1, 4000) AS full_content FROM tickets""", "tickets"))
+@query("s01_read_tickets", with_views("""SELECT ticket_id, category, hospital, summary, problem, solution,
+ status, has_solution, summary || ' ' || problem AS full_content FROM tickets""", "tickets"))
 def _(spark, sf):
     return tables.tickets_from_json(ticket_export(spark, sf), "json")
 
 
-@query("s02_load_if_absent", with_views("SELECT DISTINCT ticket_id, category FROM tickets WHERE NOT has_solution", "tickets"))
+@query("s02_load_if_absent", with_views("""SELECT 'unseen keys' AS target, ticket_id, category FROM (SELECT DISTINCT ticket_id, category FROM tickets WHERE NOT has_solution)
+ UNION ALL SELECT 'empty', ticket_id, category FROM (SELECT DISTINCT ticket_id, category FROM tickets)""", "tickets"))
 def _(spark, sf):
+    """A filled target takes nothing, or its unseen keys if asked; an empty one takes all."""
     t = V.tickets(spark, sf).select("ticket_id", "category", "has_solution")
-    return tables.load_if_absent(t.unionByName(t), t.filter("has_solution"), "ticket_id").select("ticket_id", "category")
+    solved, twice = t.filter("has_solution"), t.unionByName(t)
+    cases = [("filled", solved, True), ("unseen keys", solved, False), ("empty", t.limit(0), True)]
+    out = [tables.load_if_absent(twice, target, "ticket_id", skip).select(F.lit(name).alias("target"), "ticket_id", "category") for name, target, skip in cases]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("s03_unpack_multivalue", with_views("""SELECT patient_id, length(conditions) - length(replace(conditions, '|', '')) + 1 AS n, replace(conditions, '|', ';') AS items
@@ -50,11 +55,23 @@ def _(spark, sf):
     return p.select("patient_id", F.size(unpack("packed")).alias("n"), F.array_join(unpack("packed"), ";").alias("items"))
 
 
-@query("s04_flatten_bundles", """SELECT 'cond-' || o_orderkey AS id, 'p' || o_custkey AS patient, o_orderstatus AS text,
- CASE o_orderstatus WHEN 'F' THEN 'http://snomed.info/sct' WHEN 'O' THEN 'http://hl7.org/fhir/sid/icd-10' ELSE 'local' END AS system FROM orders""")
+@query("s04_flatten_bundles", with_views("""SELECT 'Condition' AS kind, o_orderkey % 2 AS pos, 'cond-' || o_orderkey AS id, 'p' || o_custkey AS patient, o_orderstatus AS text,
+ CASE o_orderstatus WHEN 'F' THEN 'http://snomed.info/sct' WHEN 'O' THEN 'http://hl7.org/fhir/sid/icd-10' ELSE 'local' END AS detail FROM orders
+ UNION ALL SELECT 'Encounter', 1 - o_orderkey % 2, 'enc-' || o_orderkey, 'p' || o_custkey, NULL, strftime(o_orderdate, '%Y-%m-%d') FROM orders
+ UNION ALL SELECT 'Patient', 0, patient_id, NULL, 'unknown', CASE WHEN c_acctbal >= 0 THEN '1970-01-01' END FROM patients
+ UNION ALL SELECT 'DocumentReference', 1, 'doc-' || patient_id, patient_id, notes, 'current' FROM patients""", "patients"))
 def _(spark, sf):
-    cond = fhir.flatten_bundles(V.bundles(spark, sf), "bundle")["Condition"]
-    return cond.select("id", fhir.subject_id().alias("patient"), F.col("code.text").alias("text"), F.col("code.coding")[0]["system"].alias("system"))
+    """All typed tables, from one scan of the bundles."""
+    t = fhir.flatten_bundles(V.bundles(spark, sf), "bundle")
+    none = F.lit(None).cast("string")
+    row = lambda kind, patient, text, detail: t[kind].select(F.lit(kind).alias("kind"), F.col("pos").cast("long").alias("pos"), "id", patient.alias("patient"), text.alias("text"), detail.alias("detail"))
+    parts = [row("Condition", fhir.subject_id(), F.col("code.text"), F.col("code.coding")[0]["system"]), row("Encounter", fhir.subject_id(), none, F.col("period.start")),
+             row("Patient", none, F.col("gender"), F.col("birthDate")), row("DocumentReference", fhir.subject_id(), F.col("description"), F.col("status")),
+             row("Observation", fhir.subject_id(), F.col("code.text"), none)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @query("s05_transaction_bundles", """SELECT 'p' || c_custkey AS patient_id, 'transaction' AS type, 'PUT' AS method, 'Patient/p' || c_custkey AS url, true AS ok FROM customer
@@ -64,7 +81,8 @@ def _(spark, sf):
 def _(spark, sf):
     b = fhir.to_transaction_bundles(V.bundles(spark, sf), "bundle", "patient_id")
     at = lambda p: F.get_json_object("bundle_json", p)
-    return b.select("patient_id", at("$.type").alias("type"), at("$.entry[0].request.method").alias("method"), at("$.entry[0].request.url").alias("url"), "ok")
+    both = F.explode_outer(F.array(*[F.struct(at(f"$.entry[{i}].request.method").alias("method"), at(f"$.entry[{i}].request.url").alias("url")) for i in (0, 1)]))
+    return b.select("patient_id", at("$.type").alias("type"), both.alias("r"), "ok").select("patient_id", "type", "r.*", "ok")
 
 
 def wiki_files(spark, sf):
@@ -179,10 +197,9 @@ def _(spark, sf):
 @query("s16_append_triples", with_views("""SELECT 'kb_article:KB-PC-' || category AS a, k AS p, CASE k WHEN 'article_id' THEN 'KB-PC-' || category WHEN 'category' THEN category ELSE '2024-01-31' END AS b
  FROM (SELECT DISTINCT category FROM tickets), (VALUES ('article_id'), ('category'), ('generated_at')) v(k)
  UNION ALL SELECT 'agent:kb.writer', 'AUTHORED_KB', 'kb_article:KB-PC-' || category FROM (SELECT DISTINCT category FROM tickets)
- UNION ALL SELECT 'pc_ticket:' || ticket_id, 'SOURCED_KB', 'kb_article:KB-PC-' || category FROM (SELECT ticket_id, category, row_number() OVER (PARTITION BY category ORDER BY ticket_id) AS r FROM tickets) WHERE r <= 5""", "tickets"))
+ UNION ALL SELECT 'pc_ticket:' || ticket_id, 'SOURCED_KB', 'kb_article:KB-PC-' || category FROM tickets""", "tickets"))
 def _(spark, sf):
-    few = first_rows(V.tickets(spark, sf), ["category"], ["ticket_id"], 5)
-    arts = few.groupBy("category").agg(F.array_join(F.sort_array(F.collect_list("ticket_id")), ", ").alias("source_tickets")).select(
+    arts = V.tickets(spark, sf).groupBy("category").agg(F.array_join(F.sort_array(F.collect_list("ticket_id")), ", ").alias("source_tickets")).select(
         F.concat(F.lit("KB-PC-"), F.col("category")).alias("article_id"), "category", F.lit("2024-01-31").alias("generated_at"),
         F.concat("source_tickets", F.lit(",,after the gap")).alias("source_tickets"))
     props, edges = tables.append_triples(arts)
@@ -197,16 +214,14 @@ def _(spark, sf):
  UNION ALL SELECT 'conflict', id, source FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS r FROM upd) WHERE r > 1
  UNION ALL SELECT 'edge', id, concept_id FROM (SELECT DISTINCT id, concept_id FROM upd)""", "concepts", "decisions").replace("\nSELECT 'concept'", """,
  upd AS (SELECT 'part_' || l_partkey AS concept_id, 'decision_part_' || l_partkey || '_' || strftime(l_shipdate, '%Y') AS id, 'D' || l_quantity::BIGINT AS domain,
-  l_returnflag AS rule, 'S' || l_suppkey AS source, l_orderkey * 1000000 + l_suppkey * 100 + l_quantity::BIGINT AS seq
-  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey, l_quantity ORDER BY l_partkey, l_extendedprice) AS one FROM lineitem WHERE l_linenumber = 3) WHERE one = 1)
+  l_returnflag AS rule, 'S' || l_suppkey AS source, l_orderkey::VARCHAR || '/' || l_linenumber || '/' || l_suppkey || '/' || l_partkey || '/' || l_quantity || '/' || l_extendedprice AS seq FROM lineitem)
 SELECT 'concept'""", 1))
 def _(spark, sf):
     c, d, _x = V.knowledge(spark, sf)
-    li = V.table(spark, sf, "lineitem").filter("l_linenumber = 3")
-    li = first_rows(li, ["l_orderkey", "l_suppkey", "l_quantity"], ["l_partkey", "l_extendedprice"], 1)
+    li = V.table(spark, sf, "lineitem")
     upd = li.select(F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("concept"), F.concat(F.lit("D"), F.col("l_quantity").cast("long").cast("string")).alias("domain"),
                     F.col("l_returnflag").alias("rule"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("source"), F.lit("why").alias("rationale"),
-                    F.date_format("l_shipdate", "yyyy").alias("effective_date"), (F.col("l_orderkey") * 1000000 + F.col("l_suppkey") * 100 + F.col("l_quantity").cast("long")).alias("seq"))
+                    F.date_format("l_shipdate", "yyyy").alias("effective_date"), F.concat_ws("/", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice")]).alias("seq"))
     no_edges = spark.createDataFrame([], "src string, pred string, dst string")
     concepts, decisions, edges, conflicts = tables.merge_graph(c, d, no_edges, upd)
     row = lambda df, kind, detail, key="id": df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(detail).alias("detail"))
@@ -234,9 +249,8 @@ def _(spark, sf):
     return parsed.join(v.select("id", F.col("vec").alias("_v")), "id").select("id", F.size("vec").alias("dim"), (~far).alias("close"))
 
 
-@query("s20_patient_nodes", with_views("""SELECT 'patient-' || patient_id AS node_id, string_agg(line, chr(10) ORDER BY r) AS summary FROM (
-  SELECT patient_id, line, row_number() OVER (PARTITION BY patient_id ORDER BY kind, line) AS r FROM (
-   SELECT patient_id, 'DocumentReference' AS kind, 'Note: ' || substring(coalesce(notes, ''), 1, 100) AS line FROM patients
-   UNION ALL SELECT 'p' || o_custkey, 'Condition', 'Condition: ' || o_orderstatus FROM orders)) WHERE r <= 20 GROUP BY patient_id""", "patients"))
+@query("s20_patient_nodes", with_views("""SELECT 'patient-' || patient_id AS node_id, string_agg(line, chr(10) ORDER BY pos, kind, line) AS summary FROM (
+   SELECT patient_id, 1 AS pos, 'DocumentReference' AS kind, 'Note: ' || coalesce(notes, '') AS line FROM patients
+   UNION ALL SELECT 'p' || o_custkey, o_orderkey % 2, 'Condition', 'Condition: ' || o_orderstatus FROM orders) GROUP BY patient_id""", "patients"))
 def _(spark, sf):
     return fhir.patient_nodes(V.bundles(spark, sf), "bundle", F.lit(V.AS_OF)).select("node_id", "summary")

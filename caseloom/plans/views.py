@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
-
 AS_OF = "2024-01-31 00:00:00"
 
 # Risk and protocol rules on syllables that occur in the corpus: the same rule
@@ -41,8 +39,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
-    """A table whose rows are costly to process, spread over the cores."""
-    return spread(table(spark, sf, name))
+    """A table whose rows are costly to process. A file with one row group is read by
+    one task; ``caseloom.local.tasks``, set by the local session alone, deals its
+    rows to more. A cluster leaves it unset and reads its splits as they are."""
+    tasks = spark.conf.get("caseloom.local.tasks", None)
+    scan = table(spark, sf, name)
+    return scan.repartition(int(tasks)) if tasks else scan
 
 
 def pc_id(c: str):
@@ -64,7 +66,7 @@ def tickets(spark: SparkSession, sf: str, heavy: bool = False) -> DataFrame:
     good = F.col("quality") == 1
     return d.select(
         pc_id("doc_id").alias("ticket_id"), F.upper("source").alias("category"), F.col("lang").alias("hospital"),
-        F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 500)).alias("summary"),
+        F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.split_part("text", F.lit("\n"), F.lit(1))).alias("summary"),
         F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("text")).alias("problem"),
         F.when(good, F.split_part("text", F.lit("\n"), F.lit(-1))).otherwise("").alias("solution"),
         F.when(good, "Closed").when(F.col("quality") == 0, "Open").otherwise("").alias("status"),
@@ -73,7 +75,7 @@ def tickets(spark: SparkSession, sf: str, heavy: bool = False) -> DataFrame:
 
 CTE["tickets"] = f"""tickets AS (
  SELECT {PC_ID_SQL.format(c='d.doc_id')} AS ticket_id, upper(d.source) AS category, d.lang AS hospital,
-  CASE WHEN d.doc_id % 11 = 0 THEN '' ELSE substring(split_part(d.text, chr(10), 1), 1, 500) END AS summary,
+  CASE WHEN d.doc_id % 11 = 0 THEN '' ELSE split_part(d.text, chr(10), 1) END AS summary,
   CASE WHEN d.doc_id % 7 = 0 THEN '' ELSE d.text END AS problem,
   CASE WHEN l.quality = 1 THEN split_part(d.text, chr(10), -1) ELSE '' END AS solution,
   CASE WHEN l.quality = 1 THEN 'Closed' WHEN l.quality = 0 THEN 'Open' ELSE '' END AS status,
@@ -228,8 +230,8 @@ CTE["nodes"] = """nodes AS (
 
 
 def knowledge(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Parts as concepts, first order lines as decisions on them, second lines
-    as contradictions (open while the line is open)."""
+    """Parts as concepts; every order line is a decision on its part and a
+    contradiction of it (open while the line is open)."""
     p = table(spark, sf, "part")
     concepts = p.select(F.concat(F.lit("part_"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("name"),
                         F.col("p_type").alias("domain"), F.array("p_brand").alias("aliases"))
@@ -238,10 +240,10 @@ def knowledge(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
     concept = F.concat(F.lit("part_"), F.col("l_partkey").cast("string"))
     sup = F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))
     day = F.date_format("l_shipdate", "yyyy-MM-dd")
-    decisions = li.filter("l_linenumber = 1").select(F.concat(F.lit("d"), key).alias("id"), concept.alias("concept_id"), F.col("l_returnflag").alias("rule"),
+    decisions = li.select(F.concat(F.lit("d"), key).alias("id"), concept.alias("concept_id"), F.col("l_returnflag").alias("rule"),
                                                     sup.alias("source"), F.col("l_linestatus").alias("rationale"), day.alias("effective_date")).distinct()
-    contradictions = li.filter("l_linenumber = 2 and l_returnflag = 'R'").select(
-        F.concat(F.lit("x"), key).alias("id"), concept.alias("concept_id"), F.lit("ship").alias("statement_a"), sup.alias("source_a"), F.lit("hold").alias("statement_b"),
+    contradictions = li.select(
+        F.concat_ws("_", F.concat(F.lit("x"), key), "l_linestatus").alias("id"), concept.alias("concept_id"), F.lit("ship").alias("statement_a"), sup.alias("source_a"), F.lit("hold").alias("statement_b"),
         F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("source_b"), F.when(F.col("l_linestatus") == "O", "UNRESOLVED").otherwise("RESOLVED").alias("status"),
         sup.alias("owner")).distinct()
     return concepts, decisions, contradictions
@@ -250,9 +252,9 @@ def knowledge(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataF
 CTE["concepts"] = "concepts AS (SELECT 'part_' || p_partkey AS id, p_name AS name, p_type AS domain, p_brand AS alias FROM part)"
 _KEY = "l_orderkey || '_' || l_linenumber || '_' || l_partkey || '_' || l_suppkey"
 CTE["decisions"] = f"""decisions AS (SELECT DISTINCT 'd' || {_KEY} AS id, 'part_' || l_partkey AS concept_id, l_returnflag AS rule, 'S' || l_suppkey AS source,
- l_linestatus AS rationale, strftime(l_shipdate, '%Y-%m-%d') AS effective_date FROM lineitem WHERE l_linenumber = 1)"""
-CTE["contradictions"] = f"""contradictions AS (SELECT DISTINCT 'x' || {_KEY} AS id, 'part_' || l_partkey AS concept_id, 'S' || l_suppkey AS source_a,
- 'O' || l_orderkey AS source_b, CASE WHEN l_linestatus = 'O' THEN 'UNRESOLVED' ELSE 'RESOLVED' END AS status FROM lineitem WHERE l_linenumber = 2 AND l_returnflag = 'R')"""
+ l_linestatus AS rationale, strftime(l_shipdate, '%Y-%m-%d') AS effective_date FROM lineitem)"""
+CTE["contradictions"] = f"""contradictions AS (SELECT DISTINCT 'x' || {_KEY} || '_' || l_linestatus AS id, 'part_' || l_partkey AS concept_id, 'S' || l_suppkey AS source_a,
+ 'O' || l_orderkey AS source_b, CASE WHEN l_linestatus = 'O' THEN 'UNRESOLVED' ELSE 'RESOLVED' END AS status FROM lineitem)"""
 
 
 def terms(spark: SparkSession, sf: str) -> DataFrame:
@@ -326,8 +328,8 @@ CTE["principals"] = """principals AS (SELECT 'S' || s_suppkey AS principal, list
 
 
 def bundles(spark: SparkSession, sf: str) -> DataFrame:
-    """One FHIR bundle per customer: Patient, Conditions and Encounters from a
-    bounded number of orders, and the note."""
+    """FHIR bundles: per customer one with Patient and note, per order one with
+    Condition and Encounter, as incremental exports deliver them."""
     p = patients(spark, sf)
     o = texts(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"))
     ref = lambda key: F.struct(F.concat(F.lit("Patient/p"), F.col(key).cast("string")).alias("reference"))
@@ -341,9 +343,9 @@ def bundles(spark: SparkSession, sf: str) -> DataFrame:
                               F.struct(F.col("o_orderstatus").alias("text"), F.array(F.struct(system.alias("system"), F.col("o_orderstatus").alias("code"))).alias("coding")).alias("code")))
     enc = F.to_json(F.struct(F.lit("Encounter").alias("resourceType"), F.concat(F.lit("enc-"), F.col("o_orderkey").cast("string")).alias("id"), ref("c_custkey").alias("subject"),
                              F.struct(F.col("d").alias("start")).alias("period")))
-    # bundles hold one resource each, as incremental exports do: no grouping of a customer's orders
-    wrap = lambda r: F.concat(F.lit('{"resourceType":"Bundle","entry":[{"resource":'), r, F.lit("}]}"))
-    both = F.explode_outer(F.array(patient, note))
-    base = p.select("patient_id", both.alias("_r")).select("patient_id", wrap(F.col("_r")).alias("bundle"))
-    extra = o.select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("patient_id"), F.explode_outer(F.array(cond, enc)).alias("_r")).select("patient_id", wrap(F.col("_r")).alias("bundle"))
+    wrap = lambda a, b: F.concat(F.lit('{"resourceType":"Bundle","entry":[{"resource":'), a, F.lit('},{"resource":'), b, F.lit("}]}"))
+    base = p.select("patient_id", wrap(patient, note).alias("bundle"))
+    # of every other order the encounter comes first, so the place in the bundle differs
+    odd = F.col("o_orderkey") % 2 == 1
+    extra = o.select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("patient_id"), F.when(odd, wrap(enc, cond)).otherwise(wrap(cond, enc)).alias("bundle"))
     return base.unionByName(extra)

@@ -9,7 +9,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, name: str = "caseloom", shuffle: int = 8) -> SparkSession:
@@ -24,6 +23,7 @@ def local_session(cores: int | str = 8, name: str = "caseloom", shuffle: int = 8
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("caseloom.local.tasks", str(cores) if str(cores).isdigit() else "8")
         .getOrCreate()
     )
 
@@ -64,15 +64,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Give a plain file scan at least one task per core. A file with a single
-    row group is read by one task, which leaves the other cores idle in front of
-    costly expressions. A table of cluster size has splits enough and is left
-    alone; filters and column pruning still pass through to the scan."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
-
-
 def stable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so later stages survive the
     loss of an executor and iterated plans stay short."""
@@ -80,11 +71,3 @@ def stable(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
-
-
-def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Materialise a table that is expected to be short and mark it for a
-    broadcast only if its counted rows allow that. Beyond ``rows`` it is returned
-    unmarked and the join shuffles."""
-    kept = stable(df)
-    return F.broadcast(kept) if kept.count() <= rows else kept

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import filled, text
+from ..functions.columns import cut, filled, text
 from ..operators.ordering import first_rows
 
 # nested objects stay raw JSON text until a resource type is chosen
@@ -61,18 +61,21 @@ def load_counts(bundles: DataFrame) -> DataFrame:
     return bundles.agg(F.sum(F.col("ok").cast("long")).alias("ok"), F.sum((~F.col("ok")).cast("long")).alias("failed"))
 
 
-def patient_nodes(bundles: DataFrame, json_col: str, as_of: Column, id_col: str = "patient_id", limit: int = 20) -> DataFrame:
-    """Graph node per patient bundle with its first ``limit`` condition,
-    observation and note lines. Only those lines meet in one group."""
+def patient_nodes(bundles: DataFrame, json_col: str, as_of: Column, id_col: str = "patient_id", limit: int | None = None, note_cut: int | None = None) -> DataFrame:
+    """Graph node per patient with its condition, observation and note lines in
+    order of the bundle, or the first ``limit`` of them; ``n_more`` counts the rest.
+    The lines of one patient meet in one group."""
     rows = bundle_entries(bundles, json_col, [id_col])
     code = text(F.get_json_object("resource", "$.code.text"))
     line = (F.when(F.col("resource_type") == "Condition", F.concat(F.lit("Condition: "), code))
             .when(F.col("resource_type") == "Observation", F.concat(F.lit("Obs: "), code))
             .when(F.col("resource_type") == "DocumentReference",
-                  F.concat(F.lit("Note: "), F.substring(text(F.get_json_object("resource", "$.description")), 1, 100))))
-    few = first_rows(rows.select(id_col, "pos", "resource_type", line.alias("line")).filter("line is not null"),
-                     [id_col], ["pos", "resource_type", "line"], limit)
-    text_of = few.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("rank", "line"))).alias("_l"))
+                  F.concat(F.lit("Note: "), cut(text(F.get_json_object("resource", "$.description")), note_cut))))
+    lines = rows.select(id_col, "pos", "resource_type", line.alias("line")).filter("line is not null")
+    n = lines.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
+    few = first_rows(lines, [id_col], ["pos", "resource_type", "line"], limit) if limit else lines
+    text_of = few.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("pos", "resource_type", "line"))).alias("_l")).join(n, id_col)
     out = bundles.select(id_col).distinct().join(text_of, id_col, "left")
     return out.select(F.concat(F.lit("patient-"), F.col(id_col).cast("string")).alias("node_id"),
-                      F.coalesce(F.array_join(F.transform("_l", lambda r: r["line"]), "\n"), F.lit("")).alias("summary"), as_of.alias("ingested_at"))
+                      F.coalesce(F.array_join(F.transform("_l", lambda r: r["line"]), "\n"), F.lit("")).alias("summary"), as_of.alias("ingested_at"),
+                      F.coalesce(F.col("_n") - F.size("_l"), F.lit(0)).alias("n_more"))

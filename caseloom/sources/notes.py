@@ -93,15 +93,15 @@ def export_notes(concepts: DataFrame, decisions: DataFrame, contradictions: Data
     return c.unionByName(d).unionByName(x)
 
 
-def publish_article(pages: DataFrame, articles: DataFrame, as_of: Column, agent: str = "kb.writer", shown: int = 8) -> DataFrame:
+def publish_article(pages: DataFrame, articles: DataFrame, as_of: Column, agent: str = "kb.writer", shown: int | None = None) -> DataFrame:
     """Create or extend the page of each article's category. ``pages(slug,
     text)``, ``articles(category, article_text, source_tickets array)`` with one
-    article per category and run. The result is written to a new version path,
+    article per category and run; the first ``shown`` tickets are listed, or all. The result is written to a new version path,
     never over the pages being read."""
     L = F.lit
     art = articles.withColumn("slug", slug_of(F.col("category"))).withColumn("article_id", F.concat(L("KB-PC-"), F.upper("slug")))
     tickets = F.coalesce("source_tickets", F.array().cast("array<string>"))
-    listed = F.concat(F.array_join(F.slice(tickets, 1, shown), ", "), F.when(F.size(tickets) > shown, "...").otherwise(""))
+    listed = F.array_join(tickets, ", ") if shown is None else F.concat(F.array_join(F.slice(tickets, 1, shown), ", "), F.when(F.size(tickets) > shown, "...").otherwise(""))
     section = F.concat(
         L("\n---\n\n## "), F.col("article_id"), L(" *(AI-Generated — "), F.date_format(as_of, "yyyy-MM-dd HH:mm"), L(")*\n\n> **Source:** "),
         F.size(tickets).cast("string"), L(f" support tickets clustered automatically\n> **Agent:** {agent}\n> *Review before publishing — AI-generated content may require expert validation*\n\n"),

@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import filled, hex_id, text
+from ..functions.columns import cut, filled, hex_id, text
 
 RAW_TICKET = ("ticket_id string, Classification string, Hospital string, Summary string, Problem string, "
               "Solution string, Status string, has_solution string")
 
 
-def shape_tickets(raw: DataFrame, summary: int = 500, problem: int = 3000, solution: int = 2000, full: int = 4000) -> DataFrame:
-    """Export fields to ticket columns with the column lengths of the store."""
+def shape_tickets(raw: DataFrame, summary: int | None = None, problem: int | None = None, solution: int | None = None, full: int | None = None) -> DataFrame:
+    """Export fields to ticket columns, whole; a store with column lengths names them."""
     flag = F.col("has_solution").isin("1") | (F.upper("has_solution") == "TRUE")
     out = raw.filter(filled("ticket_id")).select(
         "ticket_id", F.col("Classification").alias("category"), F.col("Hospital").alias("hospital"),
-        F.substring(text("Summary"), 1, summary).alias("summary"), F.substring(text("Problem"), 1, problem).alias("problem"),
-        F.substring(text("Solution"), 1, solution).alias("solution"), text("Status").alias("status"),
+        cut(text("Summary"), summary).alias("summary"), cut(text("Problem"), problem).alias("problem"),
+        cut(text("Solution"), solution).alias("solution"), text("Status").alias("status"),
         F.coalesce(flag, F.lit(False)).alias("has_solution"))
-    return out.withColumn("full_content", F.substring(F.concat_ws(" ", "summary", "problem"), 1, full))
+    return out.withColumn("full_content", cut(F.concat_ws(" ", "summary", "problem"), full))
 
 
 def read_tickets(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -31,9 +31,9 @@ def tickets_from_json(df: DataFrame, json_col: str) -> DataFrame:
     return shape_tickets(df.select(F.from_json(json_col, RAW_TICKET).alias("r")).select("r.*"))
 
 
-def load_if_absent(df: DataFrame, existing: DataFrame, key: str, skip_if_any: bool = False) -> DataFrame:
-    """Rows to append: one per unseen key (repeats do not fail). With
-    ``skip_if_any`` a target that already has a row takes nothing."""
+def load_if_absent(df: DataFrame, existing: DataFrame, key: str, skip_if_any: bool = True) -> DataFrame:
+    """Rows to append: one per unseen key (repeats do not fail). A target that
+    already has a row takes nothing; without ``skip_if_any`` it takes unseen keys."""
     if skip_if_any and not existing.isEmpty():
         return df.limit(0)
     rest = [c for c in df.columns if c != key]

@@ -1,4 +1,4 @@
-"""Structured Streaming forms. Each has a batch twin with the same result."""
+"""Structured Streaming forms and their batch twins."""
 
 from __future__ import annotations
 
@@ -35,13 +35,16 @@ def route_ready(batch: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     return checked.filter("ready").drop("issues", "ready"), checked.filter("not ready").select("patient_id", "issues", as_of.alias("queued_at"))
 
 
-def route_writer(ready_path: str, queue_path: str) -> Callable[[DataFrame, int], None]:
+def route_writer(ready_path: str, queue_path: str, as_of: Column | None = None) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` body. Each batch writes its own numbered folder, so a
-    batch that is run again replaces its own output and nothing is doubled."""
+    batch that is run again replaces its own output and nothing is doubled. The
+    batch is kept for its two writes."""
     def write(batch: DataFrame, epoch: int) -> None:
-        ready, queue = route_ready(batch, F.current_timestamp())
+        batch.persist()
+        ready, queue = route_ready(batch, as_of if as_of is not None else F.current_timestamp())
         ready.write.mode("overwrite").parquet(f"{ready_path}/epoch={epoch}")
         queue.write.mode("overwrite").parquet(f"{queue_path}/epoch={epoch}")
+        batch.unpersist()
 
     return write
 
@@ -49,14 +52,33 @@ def route_writer(ready_path: str, queue_path: str) -> Callable[[DataFrame, int],
 def ops_monitor(headers: DataFrame, window: str = "60 minutes", slide: str = "5 minutes", watermark: str | None = "10 minutes",
                 queued: int = 1, error: int = 6) -> DataFrame:
     """Queue depth, errors, rate and latency per component in sliding event-time
-    windows. The same call serves a stream and a batch table."""
-    rows = headers.withWatermark("created", watermark) if watermark and headers.isStreaming else headers
+    windows. A batch table is summed to buckets of one slide first, and only the
+    buckets are copied to the windows they belong to; a stream has one stateful step."""
     ms = F.timestamp_diff("MILLISECOND", F.col("created"), F.col("processed"))
-    out = rows.groupBy(F.window("created", window, slide).alias("w"), F.col("target").alias("component")).agg(
-        F.count(F.lit(1)).alias("total"), F.sum((F.col("status") == queued).cast("long")).alias("depth"),
-        F.sum((F.col("status") == error).cast("long")).alias("errors"), F.avg(ms).alias("avg_ms"), F.max(ms).alias("max_ms"))
+    first = [F.count(F.lit(1)).alias("total"), F.sum((F.col("status") == queued).cast("long")).alias("depth"),
+             F.sum((F.col("status") == error).cast("long")).alias("errors"), F.sum(ms).alias("sum_ms"), F.count(ms).alias("n_ms"), F.max(ms).alias("max_ms")]
+    component = F.col("target").alias("component")
+    if headers.isStreaming:
+        rows = headers.withWatermark("created", watermark) if watermark else headers
+        out = rows.groupBy(F.window("created", window, slide).alias("w"), component).agg(*first)
+    else:
+        buckets = headers.groupBy(F.window("created", slide)["start"].alias("_at"), component).agg(*first)
+        out = buckets.groupBy(F.window("_at", window, slide).alias("w"), "component").agg(
+            *[F.sum(c).alias(c) for c in ("total", "depth", "errors", "sum_ms", "n_ms")], F.max("max_ms").alias("max_ms"))
+    avg = F.when(F.col("n_ms") > 0, F.col("sum_ms") / F.col("n_ms"))
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("stop"), "component", "total", "depth", "errors",
-                      F.round(F.col("errors") / F.col("total") * 100, 1).alias("rate"), "avg_ms", "max_ms")
+                      F.round(F.col("errors") / F.col("total") * 100, 1).alias("rate"), avg.alias("avg_ms"), "max_ms")
+
+
+def window_bottlenecks(monitor: DataFrame, queue_limit: int = 20, rate_limit: float = 10.0) -> DataFrame:
+    """Per window of ``ops_monitor``: the deepest component if all queues together
+    hold more than ``queue_limit``, else the one of the worst error rate if that is
+    above ``rate_limit`` per cent. The first component by name wins a tie."""
+    worst = lambda c: F.min_by(F.struct("component", c), F.struct((-F.col(c)).alias("v"), "component"))
+    per = monitor.groupBy("start").agg(F.sum("depth").alias("queued"), worst("depth").alias("d"), worst("rate").alias("r"))
+    full = F.col("queued") > queue_limit
+    errors = ~full & (F.col("r.rate") > rate_limit)
+    return per.select("start", "queued", F.when(full, "backlog").when(errors, "errors").alias("kind"), F.when(full, F.col("d.component")).when(errors, F.col("r.component")).alias("component"))
 
 
 def metric_windows(samples: DataFrame, window: str = "60 minutes", slide: str = "5 minutes", watermark: str | None = "10 minutes", min_n: int = 5) -> DataFrame:
@@ -86,34 +108,44 @@ def expire_sessions_stream(calls: DataFrame, ttl: str = "24 hours", watermark: s
             .agg(F.max("ts").alias("updated")).select("session_id", "updated"))
 
 
-RUN_STATE = "status string, awaiting string, decided_by string, illegal long, last_pos long"
+RUN_STATE = "seen array<struct<pos:long,type:string,tool:string,principal:string>>"
 RUN_ROW = "run_id string, status string, awaiting string, decided_by string, illegal long"
 
 
+def replay(log: list[tuple]) -> tuple:
+    """status, awaiting, decided_by, illegal after the (pos, type, tool, principal) of a run."""
+    status, awaiting, by, illegal = "running", None, None, 0
+    for _pos, kind, tool, who in sorted(log):
+        ended = status in RUN_ENDS.values()
+        if kind == "approval_decided":
+            if status == "awaiting_approval":
+                status, awaiting, by = "running", None, who
+            else:
+                illegal += 1
+        elif not ended and kind == "approval_requested":
+            status, awaiting = "awaiting_approval", tool
+        elif not ended and kind in RUN_ENDS:
+            status, awaiting = RUN_ENDS[kind], None
+    return status, awaiting, by, illegal
+
+
 def run_state_stream(events: DataFrame) -> DataFrame:
-    """Current state of every run, updated as events arrive. A run's state is
-    four small values, however many events it has; waiting runs have no time-out.
-    Plain steps cannot change a state and are left out before the grouping, so
-    only the few gate and end events of a run meet. Inside a batch they are
-    taken in ``pos`` order; use with update mode."""
+    """Current state of every run, updated as events arrive; use with update mode.
+
+    A run's state is its requests, decisions and ends so far: a late event with a
+    lower ``pos`` takes its place among them, so the result is that of the batch
+    form whatever the order of arrival. Plain steps only make the run known; they
+    are read batch by batch and not stored. Waiting runs have no time-out."""
 
     def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, awaiting, by, illegal, last = state.get if state.exists else ("running", None, None, 0, -1)
-        rows = pd.concat(list(batches)).sort_values("pos")
-        for kind, tool, who, pos in zip(rows["type"], rows["tool"], rows["principal"], rows["pos"]):
-            last = max(last, int(pos))
-            ended = status in RUN_ENDS.values()
-            if kind == "approval_decided":
-                if status == "awaiting_approval":
-                    status, awaiting, by = "running", None, who
-                else:
-                    illegal += 1
-            elif not ended and kind == "approval_requested":
-                status, awaiting = "awaiting_approval", tool
-            elif not ended and kind in RUN_ENDS:
-                status, awaiting = RUN_ENDS[kind], None
-        state.update((status, awaiting, by, illegal, last))
+        log = [tuple(r) for r in state.get[0]] if state.exists else []
+        for rows in batches:
+            gates = rows[rows["type"].isin(["approval_requested", "approval_decided", *RUN_ENDS])]
+            log += [(int(p), t, a, w) for p, t, a, w in zip(gates["pos"], gates["type"], gates["tool"], gates["principal"])]
+        log.sort()
+        state.update((log,))
+        status, awaiting, by, illegal = replay(log)
         yield pd.DataFrame({"run_id": [key[0]], "status": [status], "awaiting": [awaiting], "decided_by": [by], "illegal": [illegal]})
 
-    rows = events.filter(F.col("type") != "step").select("run_id", "pos", "type", "tool", "principal")
+    rows = events.select("run_id", "pos", "type", "tool", "principal")
     return rows.groupBy("run_id").applyInPandasWithState(advance, RUN_ROW, RUN_STATE, "update", GroupStateTimeout.NoTimeout)
