@@ -8,8 +8,9 @@ similarity. Only darts below a rank that covers all coordinates are thrown, abou
 k (ln k + 2) for k coordinates, whatever the number of shingles.
 
 Coordinates are joined in bands. In a bucket all texts are compared with one of them;
-texts that this leaves in other classes are compared with the rest of the bucket. Every
-link counted is checked on the whole shingle sets.
+texts that this leaves in other classes are compared with those others of the bucket that
+can be near enough at all (``rest_of_buckets``). Every link counted is checked on the
+whole shingle sets.
 """
 
 from __future__ import annotations
@@ -205,15 +206,49 @@ def shingle_sets(rows: DataFrame, s: Settings) -> DataFrame:
     return rows.select("n1", "text").mapInArrow(run, "n1 long, shingles array<long>")
 
 
-def checked(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have the Jaccard similarity."""
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, both (shingles in common), n_a, n_b of the pairs (a, b)."""
     left = sets.select(F.col("n1").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("n1").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    near = both >= similarity * (F.size("x") + F.size("y") - both)
-    # sizes alone rule out most false candidates
-    able = (F.size("x") >= similarity * F.size("y")) & (F.size("y") >= similarity * F.size("x"))
-    return pairs.join(left, "a").join(right, "b").filter(able).filter(near).select("a", "b").distinct()
+    rows = pairs.join(left, "a").join(right, "b")
+    return rows.select("a", "b", F.size(F.array_intersect("x", "y")).alias("both"), F.size("x").alias("n_a"), F.size("y").alias("n_b")).distinct()
+
+
+def linked(rows: DataFrame, similarity: float) -> DataFrame:
+    return rows.filter(F.col("both") >= similarity * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+
+
+def rest_of_buckets(placed: DataFrame, star: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that may be near enough though their bucket's text r put them
+    in different classes.
+
+    ``placed(n1, rep, root, main)``, ``star`` measured against r. Two texts of one
+    bucket either share a shingle that r lacks, and are found by it, or have in
+    common at most what each shares with r; then the smaller of those numbers must
+    be enough for their sizes, and they are found by size. Both joins are on keys
+    within one r, so a large group of copies is not paired through.
+    """
+    group = placed.filter("n1 <> rep").groupBy("rep", "n1", "root").agg(F.max(F.col("root") != F.col("main")).alias("apart"))
+    busy = group.groupBy("rep").agg(F.count(F.lit(1)).alias("k"), F.max("apart").alias("any")).filter("any and k > 1").select("rep")
+    facts = star.select(F.col("a").alias("n1"), F.col("b").alias("rep"), "both", F.col("n_a").alias("n"))
+    group = written(group.join(busy, "rep").join(facts, ["rep", "n1"]), "groups")
+
+    own = sets.select("n1", F.col("shingles").alias("x"))
+    of_rep = sets.select(F.col("n1").alias("rep"), F.col("shingles").alias("y"))
+    extra = group.join(own, "n1").join(of_rep, "rep").select("rep", "n1", "root", "apart", F.explode(F.array_except("x", "y")).alias("s"))
+    extra = written(extra, "extras")
+
+    ratio = (1 + similarity) / similarity
+    sizes = F.sequence(F.ceil(similarity * F.col("n")).cast("int"), F.floor(ratio * F.col("both") - F.col("n") + 1e-9).cast("int"))
+    fits = F.ceil(similarity * F.col("n")) <= F.floor(ratio * F.col("both") - F.col("n") + 1e-9)
+    asked = group.filter("apart").filter(fits).withColumn("n", F.explode(sizes))
+
+    def pairs(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+        one = left.select(*key, F.col("n1").alias("u"), F.col("root").alias("root_u"))
+        two = right.select(*key, F.col("n1").alias("v"), F.col("root").alias("root_v"))
+        return one.join(two, key).filter("root_u <> root_v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+
+    return pairs(extra.filter("apart"), extra, ["rep", "s"]).union(pairs(asked, group, ["rep", "n"])).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -248,24 +283,25 @@ def classes(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     texts = written(texts.select("n1", "at.*", "bands"), "texts")
 
     member = texts.select("n1", F.explode("bands").alias("band"))
-    shared = member.groupBy("band").agg(F.min("n1").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    member = written(member.join(shared, "band").select("band", "n1", "rep"), "buckets")
+    shared = member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    member = written(member.join(shared, "band"), "buckets")
+    # the text that shares most bands with others stands for its bucket: in a group of copies, the one they come from
+    weight = member.groupBy("n1").agg(F.sum("n").alias("weight"))
+    rep = member.join(weight, "n1").groupBy("band").agg(F.max_by("n1", F.struct("weight", "n1")).alias("rep"))
+    member = written(member.join(rep, "band").select("band", "n1", "rep"), "buckets")
     pairs = member.filter("n1 <> rep").select(F.col("n1").alias("a"), F.col("rep").alias("b")).distinct()
 
     wanted = member.select("n1").distinct().join(texts.select("n1", "row_id", "text_key"), "n1")
     bodies = keyed(docs).join(wanted, ["row_id", "text_key"]).select("n1", "text")
     sets = written(shingle_sets(bodies, s), "shingles")
-    links = written(checked(pairs, sets, s.similarity), "links")
+    star = written(measured(pairs, sets), "star")
+    links = linked(star, s.similarity)
     roots = components(links)
 
-    # texts that are in another class than the one their bucket was compared with: compared with all others of the bucket
     placed = member.join(roots, "n1", "left").withColumn("root", F.coalesce("root", "n1"))
     main = roots.select(F.col("n1").alias("rep"), F.col("root").alias("main"))
-    placed = written(placed.join(main, "rep", "left").withColumn("main", F.coalesce("main", "rep")), "placed")
-    apart = placed.filter("root <> main").select("band", F.col("n1").alias("a"), F.col("root").alias("root_a"))
-    rest = placed.filter("n1 <> rep").select("band", F.col("n1").alias("b"), F.col("root").alias("root_b"))
-    more = apart.join(rest, "band").filter("root_a <> root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = written(checked(more, sets, s.similarity), "links")
+    placed = placed.join(main, "rep", "left").withColumn("main", F.coalesce("main", "rep"))
+    found = written(linked(measured(rest_of_buckets(placed, star, sets, s.similarity), sets), s.similarity), "links")
     if found.limit(1).count():
         roots = components(links.union(found))
 
