@@ -179,8 +179,6 @@ PHI_SOURCES = [
     ("sdoh_assessment", 0.35, ["patient_name", "date_of_birth"]),
     ("prior_auth", 0.3, ["patient_name", "date_of_birth", "ssn", "health_plan_number"]),
 ]
-PHI_PLACEHOLDERS = {"PATIENT": "[PATIENT]", "DATE": "[DATE]", "PHONE": "[PHONE]", "EMAIL": "[EMAIL]",
-                    "SSN": "[SSN]", "MRN": "[MRN]", "ADDRESS": "[ADDRESS]"}
 
 # --- payload de-identification
 HEALTH_WORDS = ["patient", "encounter", "medication", "claim", "fhir"]

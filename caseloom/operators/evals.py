@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.columns import contains_any, text
-from ..session import stable
+from ..session import written
 from .scoring import parse_assessment, plan_body, score_domains
 
 
@@ -121,24 +121,26 @@ def plan_profile(domains: Column) -> Column:
     return F.array_join(F.array_sort(keys), ",")
 
 
-def eval_differentiation(plans: DataFrame) -> tuple[DataFrame, DataFrame]:
+def eval_differentiation(plans: DataFrame, by: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Do different needs get different plans? ``plans(patient_id, profile,
-    body)``. Patients are first grouped by (body, profile), of which there are
-    at most 2^domains per body; violations pair those groups, so nothing grows
-    with the square of the patients. ``n_pairs`` is the number of patient pairs."""
-    groups = plans.groupBy(F.sha2("body", 256).alias("plan_id"), "profile").agg(
+    body)``, and the columns ``by`` that tell kinds of plans apart. Patients are
+    first grouped by (body, profile), of which there are at most 2^domains per
+    body; violations pair those groups, so nothing grows with the square of the
+    patients. ``n_pairs`` is the number of patient pairs."""
+    by = list(by)
+    groups = plans.groupBy(*by, F.sha2("body", 256).alias("plan_id"), "profile").agg(
         F.count(F.lit(1)).alias("n"), F.min("patient_id").alias("first_patient"))
-    groups = stable(groups)  # short, and read three times below
-    a = groups.select("plan_id", F.col("profile").alias("profile_a"), F.col("n").alias("_na"), F.col("first_patient").alias("patient_a"))
-    b = groups.select("plan_id", F.col("profile").alias("profile_b"), F.col("n").alias("_nb"), F.col("first_patient").alias("patient_b"))
-    pairs = a.join(b, "plan_id").filter(F.col("profile_a") < F.col("profile_b")).select(
-        "plan_id", "profile_a", "profile_b", "patient_a", "patient_b", (F.col("_na") * F.col("_nb")).alias("n_pairs"))
-    per_plan = groups.groupBy("plan_id").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.col("n")).alias("q"))
+    groups = written(groups, "plan-groups")  # short, and read three times below
+    a = groups.select(*by, "plan_id", F.col("profile").alias("profile_a"), F.col("n").alias("_na"), F.col("first_patient").alias("patient_a"))
+    b = groups.select(*by, "plan_id", F.col("profile").alias("profile_b"), F.col("n").alias("_nb"), F.col("first_patient").alias("patient_b"))
+    pairs = a.join(b, [*by, "plan_id"]).filter(F.col("profile_a") < F.col("profile_b")).select(
+        *by, "plan_id", "profile_a", "profile_b", "patient_a", "patient_b", (F.col("_na") * F.col("_nb")).alias("n_pairs"))
+    per_plan = groups.groupBy(*by, "plan_id").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.col("n")).alias("q"))
     bad = (F.col("t") * F.col("t") - F.col("q")) / 2
-    summary = per_plan.agg(F.count(F.lit(1)).alias("distinct_plans"), F.coalesce(F.sum("t"), F.lit(0)).alias("patients_compared"),
-                           F.coalesce(F.sum(bad), F.lit(0.0)).cast("long").alias("n_violations"))
+    summary = per_plan.groupBy(*by).agg(F.count(F.lit(1)).alias("distinct_plans"), F.coalesce(F.sum("t"), F.lit(0)).alias("patients_compared"),
+                                        F.coalesce(F.sum(bad), F.lit(0.0)).cast("long").alias("n_violations"))
     return pairs, summary.select(
-        (F.col("n_violations") == 0).alias("passed"), "distinct_plans", "patients_compared",
+        *by, (F.col("n_violations") == 0).alias("passed"), "distinct_plans", "patients_compared",
         ((F.col("distinct_plans") == 1) & (F.col("patients_compared") > 1)).alias("all_identical"), "n_violations")
 
 

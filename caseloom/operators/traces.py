@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.columns import cut, filled, hex_id, text
-from ..session import stable
+from ..session import written
 from .ordering import last_before, running_index
 
 
@@ -68,32 +68,43 @@ def link_parents(spans: DataFrame) -> DataFrame:
     return linked.withColumn("parent_span_id", F.when(is_tool, F.coalesce("_chat", "parent_span_id")).otherwise(F.col("parent_span_id"))).drop("_chat")
 
 
-def trace_tree(spans: DataFrame, value_cut: int = 120) -> DataFrame:
+def _paths(base: DataFrame) -> DataFrame:
+    """trace_id, span_id, up, depth, path: every span's way to its root by pointer
+    doubling, log2(depth) rounds. ``base(trace_id, span_id, up, label)``, ``up`` NULL
+    for roots. Where ``up`` stays filled, the span hangs on a cycle of parents."""
+    rows = written(base.select("trace_id", "span_id", "up", F.col("up").isNotNull().cast("int").alias("depth"), F.col("label").alias("path")), "paths")
+    most = rows.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(int(most).bit_length() + 1):
+        if not rows.filter("up is not null").limit(1).count():
+            break
+        above = rows.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_u"), F.col("depth").alias("_d"), F.col("path").alias("_p"))
+        rows = written(rows.join(above, ["trace_id", "up"], "left").select(
+            "trace_id", "span_id", F.col("_u").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), F.concat_ws("/", "_p", "path").alias("path")), "paths")
+    return rows
+
+
+def trace_tree(spans: DataFrame, value_cut: int | None = None) -> DataFrame:
     """Depth-first order of every trace: missing or orphan parents are roots,
-    children follow by start time. Levels are joined one at a time on (trace,
-    parent), so neither a wide nor a large trace lands in one task; the order
+    children follow by start time. Spans on a cycle of parents, one that is its own
+    parent included, become roots with ``cycle`` set. Paths are found by doubling on
+    (trace, parent), so neither a wide nor a deep trace lands in one task; the order
     comes from a sort key made of the starts along the path."""
     label = F.concat(F.lpad(F.col("start_ns").cast("string"), 20, "0"), F.lit(":"), F.col("span_id"))
-    base = spans.select("trace_id", "span_id", "parent_span_id", "name", "start_ns", "end_ns", "status", "attributes", label.alias("_l"))
-    ids = base.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("_has"))
-    tagged = stable(base.join(ids, ["trace_id", "parent_span_id"], "left"))
-    keep = ["trace_id", "span_id", "depth", "path"]
-    level = tagged.filter(F.col("_has").isNull()).select("trace_id", "span_id", F.lit(0).alias("depth"), F.col("_l").alias("path"))
-    inner = tagged.filter(F.col("_has")).select("trace_id", "span_id", "parent_span_id", "_l")
-    found = level
-    while True:
-        up = level.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("depth").alias("_d"), F.col("path").alias("_p"))
-        level = stable(inner.join(up, ["trace_id", "parent_span_id"]).select(
-            "trace_id", "span_id", (F.col("_d") + 1).alias("depth"), F.concat_ws("/", "_p", "_l").alias("path")))
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    short = lambda v: F.when(F.length(v) > value_cut, F.concat(F.substring(v, 1, value_cut - 3), F.lit("..."))).otherwise(v)
+    ids = spans.select("trace_id", F.col("span_id").alias("up"), F.lit(True).alias("_has")).distinct()
+    base = spans.select("trace_id", "span_id", F.col("parent_span_id").alias("up"), label.alias("label")).join(ids, ["trace_id", "up"], "left")
+    base = written(base.withColumn("up", F.when(F.col("_has"), F.col("up"))).drop("_has"), "spans")
+    found = _paths(base)
+    # after enough doublings the pointers of spans on or below a cycle are exactly the spans on it
+    cycle = written(found.filter("up is not null").select("trace_id", F.col("up").alias("span_id")).distinct().withColumn("cycle", F.lit(True)), "cycles")
+    if cycle.limit(1).count():
+        base = base.join(cycle, ["trace_id", "span_id"], "left").withColumn("up", F.when(F.col("cycle").isNull(), F.col("up"))).drop("cycle")
+        found = _paths(base)
+    short = lambda v: F.when(F.length(v) > value_cut, F.concat(F.substring(v, 1, value_cut - 3), F.lit("..."))).otherwise(v) if value_cut else v
     shown = F.transform_values(F.map_filter("attributes", lambda k, v: k.isin(*fixed.TREE_ATTRIBUTES)), lambda k, v: short(v))
-    facts = tagged.select("trace_id", "span_id", "parent_span_id", "name", "status",
-                          ((F.col("end_ns") - F.col("start_ns")) / 1_000_000).alias("duration_ms"), shown.alias("attrs"))
-    ordered = running_index(found.select(*keep), ["trace_id"], ["path"], "seq")
-    return ordered.join(facts, ["trace_id", "span_id"])
+    facts = spans.select("trace_id", "span_id", "parent_span_id", "name", "status",
+                         ((F.col("end_ns") - F.col("start_ns")) / 1_000_000).alias("duration_ms"), shown.alias("attrs"))
+    ordered = running_index(found.select("trace_id", "span_id", "depth", "path"), ["trace_id"], ["path"], "seq")
+    return ordered.join(facts, ["trace_id", "span_id"]).join(cycle, ["trace_id", "span_id"], "left").withColumn("cycle", F.coalesce("cycle", F.lit(False)))
 
 
 def assemble_traces(spans: DataFrame) -> DataFrame:

@@ -292,16 +292,18 @@ STEPS = f"steps AS (SELECT 'p' || o_custkey AS case_id, {_TOOL} AS tool, o_order
 _EXP = ", ".join(f"'{x}'" for x in EXPECTED)
 _BEFORE = lambda a, b: f"coalesce(max(CASE WHEN tool = '{a}' THEN pos END) < min(CASE WHEN tool = '{b}' THEN pos END), true)"
 TRAJ = STEPS + f""", seen AS (SELECT case_id, count(DISTINCT CASE WHEN tool IN ({_EXP}) THEN tool END) AS hit, count(DISTINCT tool) AS got,
-  {_BEFORE('AssessSDoHRisk', 'DraftCarePlan')} AS b1, {_BEFORE('StartProduction', 'TriggerFollowUp')} AS b2, bool_or(tool = 'TriggerFollowUp') AS trig FROM steps GROUP BY 1),
- traj AS (SELECT 'p' || c_custkey AS case_id, coalesce(hit, 0) AS hit, coalesce(got, 0) AS got, coalesce(b1, true) AS b1, coalesce(b2, true) AS b2, coalesce(trig, false) = (c_acctbal >= 0) AS met
+  {_BEFORE('AssessSDoHRisk', 'DraftCarePlan')} AS b1, {_BEFORE('StartProduction', 'TriggerFollowUp')} AS b2, bool_or(tool = 'TriggerFollowUp') AS trig,
+  array_to_string(list_sort(list_filter([{_EXP}], lambda x: NOT list_contains(list(tool), x))), ',') AS missing, array_to_string(list_sort(list_filter(list_distinct(list(tool)), lambda x: NOT list_contains([{_EXP}], x))), ',') AS extra FROM steps GROUP BY 1),
+ traj AS (SELECT 'p' || c_custkey AS case_id, coalesce(hit, 0) AS hit, coalesce(got, 0) AS got, coalesce(b1, true) AS b1, coalesce(b2, true) AS b2, coalesce(trig, false) = (c_acctbal >= 0) AS met,
+  coalesce(missing, array_to_string(list_sort([{_EXP}]), ',')) AS missing, coalesce(extra, '') AS extra
   FROM customer LEFT JOIN seen ON seen.case_id = 'p' || c_custkey)"""
 
 
 @query("a15_eval_trajectory", "WITH " + TRAJ + """ SELECT case_id, hit = 3 AND b1 AND b2 AND met AS passed, round(CASE WHEN got > 0 THEN hit / got ELSE 0.0 END, 3) AS precision, round(hit / 3, 3) AS recall,
- 3 - hit AS n_missing, got - hit AS n_extra, b1 AS assessed_before_plan, b2 AS started_before_trigger, met AS followup_expectation_met FROM traj""")
+ missing, extra, b1 AS assessed_before_plan, b2 AS started_before_trigger, met AS followup_expectation_met FROM traj""")
 def _(spark, sf):
     t = evals.eval_trajectory(eval_cases(spark, sf), case_steps(spark, sf))
-    return t.select("case_id", "passed", "precision", "recall", F.size("missing").alias("n_missing"), F.size("extra").alias("n_extra"), "assessed_before_plan",
+    return t.select("case_id", "passed", "precision", "recall", F.array_join(F.array_sort("missing"), ",").alias("missing"), F.array_join(F.array_sort("extra"), ",").alias("extra"), "assessed_before_plan",
                     "started_before_trigger", "followup_expectation_met")
 
 
@@ -348,8 +350,12 @@ def _(spark, sf):
   CAST((sum(n) * sum(n) - sum(n * n)) / 2 AS BIGINT) AS n_violations FROM (SELECT {_PROFILE} AS p, count(*) AS n FROM scored GROUP BY 1)
  UNION ALL SELECT 'value', true, count(DISTINCT {_PROFILE}), count(*), false, 0 FROM scored""", "patients", "scored"))
 def _(spark, sf):
-    one = lambda mode: evals.eval_differentiation(plans_of(spark, sf, mode))[1].select(F.lit(mode).alias("mode"), "*")
-    return one("label").unionByName(one("value"))
+    """Scored once; both kinds of plan on one row."""
+    p = scoring.parse_assessment(scored(spark, sf)).withColumn("profile", evals.plan_profile(F.col("domains")))
+    for mode in ("label", "value"):
+        p = evals.plan_bodies(scoring.with_plan_steps(p, mode)).withColumnRenamed("body", f"_{mode}").drop("plan_steps")
+    kinds = F.array(*[F.struct(F.lit(m).alias("mode"), F.col(f"_{m}").alias("body")) for m in ("label", "value")])
+    return evals.eval_differentiation(p.select("patient_id", "profile", F.explode_outer(kinds).alias("k")).select("patient_id", "profile", "k.*"), ["mode"])[1]
 
 
 @query("a19_eval_suite", EVAL + ", " + TRAJ + ", " + QUALITY + f""", outc AS ({OUTCOME}),

@@ -223,11 +223,14 @@ def first_vector(spark, sf):
 Q = "(SELECT vec FROM vectors ORDER BY id LIMIT 1)"
 
 
-@query("v01_embed_texts")
+@query("v01_embed_texts", with_views(r"""SELECT ticket_id, coalesce(string_agg(b || ':' || CAST(round(c / n * 1000000) AS BIGINT), ',' ORDER BY b), '') AS entries FROM tickets LEFT JOIN (
+ SELECT *, sqrt(sum(c * c) OVER (PARTITION BY id)) AS n FROM (SELECT ticket_id AS id, ('0x' || substring(md5(w), 1, 8))::BIGINT % 384 AS b, count(*)::DOUBLE AS c FROM (
+  SELECT ticket_id, unnest(regexp_split_to_array(lower(summary || ' ' || problem), '\s+')) AS w FROM tickets) WHERE w <> '' GROUP BY 1, 2)) ON id = ticket_id GROUP BY ticket_id""".replace("\\\\s", "\\s"), "tickets"))
 def _(spark, sf):
     t = V.tickets(spark, sf, heavy=True).withColumn("full_content", F.concat_ws(" ", "summary", "problem"))
     e = vectors.embed_texts(t)
-    return e.select("ticket_id", F.size("vec").alias("dim"), F.round(F.sqrt(vectors.dot(F.col("vec"), F.col("vec"))), 6).alias("norm"))
+    cells = F.filter(F.transform("vec", lambda v, i: F.when(v > 0, F.concat_ws(":", i.cast("string"), F.round(v * 1000000).cast("long").cast("string")))), lambda c: c.isNotNull())
+    return e.select("ticket_id", F.array_join(cells, ",").alias("entries"))
 
 
 @query("v02_knn", with_views(f"""SELECT row_number() OVER (ORDER BY round(s, 9) DESC, id) AS rank, id, round(s, 3) AS sim FROM (SELECT id, list_cosine_similarity(vec, {Q}) AS s FROM vectors) ORDER BY round(s, 9) DESC, id LIMIT 8""", "vectors"))
@@ -235,6 +238,17 @@ def _(spark, sf):
     return vectors.knn(V.vectors(spark, sf), first_vector(spark, sf), 8)
 
 
+@query("v02_find_similar", with_views(f"""SELECT 'vector' AS method, rank, v.id AS ticket_id, category FROM (SELECT row_number() OVER (ORDER BY round(s, 9) DESC, id) AS rank, id FROM (SELECT id, list_cosine_similarity(vec, {Q}) AS s FROM vectors)) v
+  LEFT JOIN tickets ON ticket_id = v.id WHERE rank <= 8
+ UNION ALL SELECT 'keyword', row_number() OVER (ORDER BY has_solution DESC, ticket_id) AS rank, ticket_id, category FROM tickets WHERE contains(lower(summary), 'tion') OR contains(lower(problem), 'tion') OR category = 'TION'
+  QUALIFY rank <= 8""", "tickets", "vectors"))
+def _(spark, sf):
+    """With stored vectors, and with none."""
+    t, v = V.tickets(spark, sf), V.vectors(spark, sf)
+    ask = lambda vecs: vectors.find_similar(t, vecs, "tion", first_vector(spark, sf)).select("method", "rank", "ticket_id", "category")
+    return ask(v).unionByName(ask(v.limit(0)))
+
+
 @query("v03_knn_join", with_views("""SELECT query_id, rank, id, round(s, 4) AS sim FROM (SELECT q.vec_id AS query_id, c.id, list_cosine_similarity(q.vec, c.vec) AS s FROM vectors q, vectors c)
  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank <= 5""".replace(
     "SELECT query_id, rank, id,", "SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, id) AS rank, id,").replace(

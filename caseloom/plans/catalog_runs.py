@@ -19,13 +19,24 @@ from .views import with_views
 
 
 
+#: Per fifth conversation: x and y are each other's parent, z hangs on y, o is its own parent.
+LOOPS = [("x", "y"), ("y", "x"), ("z", "y"), ("o", "o")]
+
+
 @query("w06_trace_tree", "WITH RECURSIVE " + V.CTE["spans"] + """,
- lab AS (SELECT *, lpad(CAST(start_ns AS VARCHAR), 20, '0') || ':' || span_id AS l, (trace_id, parent_span_id) IN (SELECT (trace_id, span_id) FROM spans) AS has FROM spans),
+ loops AS (SELECT DISTINCT trace_id, i, k, CASE WHEN k = 'z' THEN 'y' ELSE '' END AS up FROM spans, (VALUES (1, 'x'), (2, 'y'), (3, 'z'), (4, 'o')) v(i, k) WHERE conv_id % 5 = 0),
+ every AS (SELECT trace_id, span_id, parent_span_id, start_ns, end_ns, 2 AS n_attrs, false AS cycle FROM spans UNION ALL SELECT trace_id, k, up, i, i + 1000000, 0, k <> 'z' FROM loops),
+ lab AS (SELECT *, lpad(CAST(start_ns AS VARCHAR), 20, '0') || ':' || span_id AS l, (trace_id, parent_span_id) IN (SELECT (trace_id, span_id) FROM every) AS has FROM every),
  tree AS (SELECT trace_id, span_id, 0 AS depth, l AS path FROM lab WHERE NOT has UNION ALL SELECT c.trace_id, c.span_id, t.depth + 1, t.path || '/' || c.l FROM tree t JOIN lab c ON c.trace_id = t.trace_id AND c.parent_span_id = t.span_id AND c.has)
- SELECT t.trace_id, t.span_id, t.depth, t.path, row_number() OVER (PARTITION BY t.trace_id ORDER BY t.path) - 1 AS seq, (s.end_ns - s.start_ns) / 1000000 AS duration_ms, 2 AS n_attrs FROM tree t JOIN spans s ON s.trace_id = t.trace_id AND s.span_id = t.span_id""")
+ SELECT t.trace_id, t.span_id, t.depth, t.path, row_number() OVER (PARTITION BY t.trace_id ORDER BY t.path) - 1 AS seq, (s.end_ns - s.start_ns) / 1000000 AS duration_ms, n_attrs, cycle FROM tree t JOIN every s ON s.trace_id = t.trace_id AND s.span_id = t.span_id""")
 def _(spark, sf):
-    t = traces.trace_tree(V.spans(spark, sf))
-    return t.select("trace_id", "span_id", "depth", "path", "seq", "duration_ms", F.size("attrs").alias("n_attrs"))
+    s = V.spans(spark, sf).select("trace_id", "span_id", "parent_span_id", "name", "start_ns", "end_ns", "status", "attributes", "conv_id")
+    one = F.explode_outer(F.array(*[F.struct(F.lit(k).alias("span_id"), F.lit(p).alias("parent_span_id"), F.lit(i).cast("long").alias("start_ns")) for i, (k, p) in enumerate(LOOPS, 1)]))
+    loops = s.filter("conv_id % 5 = 0").select("trace_id", "conv_id").distinct().select("trace_id", "conv_id", one.alias("l")).select("trace_id", "conv_id", "l.*")
+    loops = loops.select("trace_id", "span_id", "parent_span_id", F.lit("loop").alias("name"), "start_ns", (F.col("start_ns") + 1_000_000).alias("end_ns"), F.lit(0).alias("status"),
+                         F.create_map().cast("map<string,string>").alias("attributes"), "conv_id")
+    t = traces.trace_tree(s.unionByName(loops))
+    return t.select("trace_id", "span_id", "depth", "path", "seq", "duration_ms", F.size("attrs").alias("n_attrs"), "cycle")
 
 
 @query("w07_link_parents", with_views("""SELECT trace_id, span_id, CASE WHEN role = 'user' THEN coalesce(last_value(CASE WHEN role = 'assistant' THEN span_id END IGNORE NULLS) OVER (PARTITION BY trace_id ORDER BY start_ns, span_id

@@ -99,12 +99,12 @@ def _(spark, sf):
     return notes.shape_wiki(wiki_files(spark, sf)).drop("text")
 
 
-@query("s07_read_notes", """SELECT 'doc' || doc_id AS id, 'Note' AS type, source || ': ' || lang AS source, length(text) AS n_body FROM documents""")
+@query("s07_read_notes", """SELECT 'doc' || doc_id AS id, 'Note' AS type, source || ': ' || lang AS source, text AS body FROM documents""")
 def _(spark, sf):
     d = V.texts(spark, sf)
     text = F.concat(F.lit("---\nid: first\nid: doc"), F.col("doc_id").cast("string"), F.lit("\ntype: Note\nsource: "), F.col("source"), F.lit(": "), F.col("lang"), F.lit("\n---\n"), F.col("text"))
     n = notes.shape_notes(d.select(F.lit("f").alias("file"), text.alias("text")))
-    return n.select("id", "type", F.try_element_at("frontmatter", F.lit("source")).alias("source"), F.length("body").alias("n_body"))
+    return n.select("id", "type", F.try_element_at("frontmatter", F.lit("source")).alias("source"), "body")
 
 
 @query("s08_export_notes", with_views("""SELECT 'concept' AS kind, id, domain AS status, 6 AS n_keys FROM concepts
@@ -241,12 +241,11 @@ def _(spark, sf):
     return c.select("patient_id", at("$.subject.reference").alias("subject"), at("$.period.start").alias("start"), at("$.category[0].coding[0].code").alias("code"), at("$.note[0].text").alias("note"))
 
 
-@query("s19_vectors_from_csv", with_views("SELECT id, len(vec) AS dim, true AS close FROM vectors", "vectors"))
+@query("s19_vectors_from_csv", with_views("SELECT id, array_to_string(list_transform(vec, lambda x: CAST(round(x * 1000000) AS BIGINT)), ',') AS entries FROM vectors", "vectors"))
 def _(spark, sf):
     v = V.vectors(spark, sf)
     parsed = tables.vectors_from_csv(tables.vectors_to_csv(v), "csv", 64)
-    far = F.exists(F.zip_with("vec", "_v", lambda a, b: F.abs(a - b)), lambda d: d > 0.0000006)
-    return parsed.join(v.select("id", F.col("vec").alias("_v")), "id").select("id", F.size("vec").alias("dim"), (~far).alias("close"))
+    return parsed.select("id", F.array_join(F.transform("vec", lambda x: F.round(x * 1000000).cast("long").cast("string")), ",").alias("entries"))
 
 
 @query("s20_patient_nodes", with_views("""SELECT 'patient-' || patient_id AS node_id, string_agg(line, chr(10) ORDER BY pos, kind, line) AS summary FROM (

@@ -1,6 +1,12 @@
 """Fixed patients and evaluation cases the acceptance numbers refer to."""
 
+import json
+from pathlib import Path
+
+from caseloom.sources import tables
+
 PATIENT = "patient_id string, name string, demographics string, conditions string, observations string, sdoh_flags string, notes string"
+#: The patients.
 PATIENTS = [
     ("maria-gonzalez-001", "Maria Gonzalez", "42F", "Type 2 Diabetes Mellitus|Hypertension", "HbA1c = 8.9|Blood Pressure = 148/92",
      "food_insecurity|no_transport|unemployed",
@@ -13,21 +19,10 @@ PATIENTS = [
      "uninsured|food_insecurity|unstable_housing",
      "Uninsured, recently immigrated. Food insecure - skipping meals. No stable housing, staying with relatives. Transport barrier to clinic."),
 ]
-PARAPHRASE = ("Patient struggles to pay for her medication. She lost her position recently and depends on a community pantry. "
-              "She has nobody at home and cannot travel to her appointments. She mainly speaks Spanish.")
 KEYS = ["economic", "education", "health_care", "neighborhood", "social", "transportation"]
-SHORT = ["SearchPatients", "FetchPatientSummary", "SearchSDoHProtocols", "AssessSDoHRisk", "DraftCarePlan"]
-FULL = [*SHORT, "StartProduction", "TriggerFollowUp", "GetInteropTraces"]
-H, M, L = "HIGH", "MEDIUM", "LOW"
-# case, patient, follow-up expected, adversarial, forwarded summary, trajectory, rule levels, rule priority, human levels, human priority
-CASES = [
-    ("maria-complete", "maria-gonzalez-001", True, False, None, FULL, [H, H, M, H, H, H], "URGENT", [H, H, H, H, H, H], "URGENT"),
-    ("james-complete", "james-okafor-002", True, False, None, FULL, [L, L, M, H, H, L], "ROUTINE", [H, L, H, H, H, L], "URGENT"),
-    ("sarah-assess-only", "sarah-kim-003", False, False, None, SHORT, [L, L, H, H, L, H], "HIGH", [H, L, H, H, L, H], "HIGH"),
-    ("maria-paraphrase-adversarial", "maria-gonzalez-001", True, True, PARAPHRASE, FULL, [H] * 6, "URGENT", [H] * 6, "URGENT"),
-]
-CASE = ("case_id string, patient_id string, expect_followup boolean, adversarial boolean, forwarded string, expected_trajectory array<string>, "
-        "rule_domains map<string,string>, rule_priority string, human_domains map<string,string>, human_priority string")
+#: The evaluation cases, as exported.
+GOLDEN = Path(__file__).with_name("golden_cases.json")
+CASES = json.loads(GOLDEN.read_text())["cases"]
 
 
 def patients(spark):
@@ -35,16 +30,15 @@ def patients(spark):
 
 
 def cases(spark):
-    rows = [(*c[:6], dict(zip(KEYS, c[6])), c[7], dict(zip(KEYS, c[8])), c[9]) for c in CASES]
-    return spark.createDataFrame(rows, CASE)
+    return tables.read_golden_cases(spark, str(GOLDEN))
 
 
 def steps(spark):
     """The scripted agent: the expected tools in order."""
-    rows = [(c[0], i, t, f"{t} of {c[0]}") for c in CASES for i, t in enumerate(c[5])]
+    rows = [(c["id"], i, t, f"{t} of {c['id']}") for c in CASES for i, t in enumerate(c["expected_trajectory"])]
     return spark.createDataFrame(rows, "case_id string, pos int, tool string, result string")
 
 
 def messages(spark):
-    rows = [(c[0], c[1]) for c in CASES if c[2] for _ in range(4)]
+    rows = [(c["id"], c["patientId"]) for c in CASES if c["expect_followup"] for _ in range(4)]
     return spark.createDataFrame(rows, "case_id string, patient_id string")

@@ -8,7 +8,7 @@ from caseloom.operators import evals, patients, scoring
 
 def assessed(spark, rules):
     p = C.patients(spark).select("patient_id", patients.summary_text().alias("summary"))
-    c = C.cases(spark).join(p, "patient_id").withColumn("text", F.coalesce("forwarded", "summary"))
+    c = C.cases(spark).join(p, "patient_id").withColumn("text", F.coalesce("agent_summary", "summary"))
     return scoring.score_domains(c, "text", rules)
 
 

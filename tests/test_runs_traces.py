@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from caseloom.operators import documents, runs, traces
+from caseloom.operators import access, documents, runs, traces
 from caseloom.streaming import jobs
 
 EVENT = "run_id string, pos long, type string, tool string, principal string"
@@ -35,7 +35,7 @@ def test_run_states(spark, parts):
 
 
 def test_run_state_stream_equals_batch(spark, tmp_path):
-    for i in range(5):  # one file per position, so states are carried from batch to batch
+    for i in (3, 0, 4, 1, 2):  # one file per position, out of order, so states are carried from batch to batch and events come late
         events(spark).filter(F.col("pos") == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     seen = {}
 
@@ -49,6 +49,15 @@ def test_run_state_stream_equals_batch(spark, tmp_path):
     assert {k: v[1] for k, v in seen.items()} == WANT and max(v[0] for v in seen.values()) >= 3
 
 
+def test_visible_runs(spark):
+    who = spark.createDataFrame([("boss", ["approver"]), ("ann", ["caller"]), ("bob", ["caller"]), ("eve", ["guest"])], "principal string, roles array<string>")
+    r = spark.createDataFrame([("r1", "ann"), ("r2", "boss"), ("r3", "eve")], "run_id string, requester string")
+    asked = spark.createDataFrame([("boss", "r1"), ("boss", "r2"), ("ann", "r1"), ("bob", "r1"), ("eve", "r3"), ("who", "r1"), ("boss", "gone")], "viewer string, run_id string")
+    got = {(x["viewer"], x["run_id"]): (x["visible"], x["may_decide"]) for x in access.visible_runs(r, asked, who).collect()}
+    assert got == {("boss", "r1"): (True, True), ("boss", "r2"): (True, False), ("ann", "r1"): (True, False), ("bob", "r1"): (False, False),
+                   ("eve", "r3"): (False, False), ("who", "r1"): (False, False), ("boss", "gone"): (False, False)}
+
+
 def test_queue_excludes_the_requester(spark):
     who = spark.createDataFrame([("by0", ["approver"]), ("z", ["admin"]), ("c", ["caller"])], "principal string, roles array<string>")
     q = runs.approval_queue(runs.run_state(events(spark)), who, F.lit(10)).orderBy("run_id").collect()
@@ -81,8 +90,9 @@ def spans(spark):
 
 
 def test_tree_order_orphans_and_cycles(spark):
-    got = traces.trace_tree(spans(spark)).orderBy("trace_id", "seq").collect()
-    assert [(r["trace_id"], r["span_id"], r["depth"], r["seq"]) for r in got] == [("t", "orphan", 0, 0), ("t", "r", 0, 1), ("t", "c1", 1, 2), ("t", "g", 2, 3), ("t", "c2", 1, 4), ("u", "r", 0, 0)]
+    got = traces.trace_tree(spans(spark), value_cut=120).orderBy("trace_id", "seq").collect()
+    assert [(r["trace_id"], r["span_id"], r["depth"], r["seq"], r["cycle"]) for r in got] == [
+        ("t", "x", 0, 0, True), ("t", "y", 0, 1, True), ("t", "orphan", 0, 2, False), ("t", "r", 0, 3, False), ("t", "c1", 1, 4, False), ("t", "g", 2, 5, False), ("t", "c2", 1, 6, False), ("u", "r", 0, 0, False)]
     by = {r["span_id"]: r["attrs"] for r in got if r["trace_id"] == "t"}
     assert by["r"] == {"session.id": "1"} and len(by["c2"]["gen_ai.tool.input"]) == 120 and by["c2"]["gen_ai.tool.input"].endswith("...")
 
@@ -96,7 +106,7 @@ def test_link_parents_across_slices(spark):
 def test_tool_and_chat_spans(spark):
     call = "call_id string, trace_id string, parent_span_id string, session_id string, tool string, input string, output string, error string, denied boolean, end_ns long, duration_ms long"
     rows = [("1", "t", "p", "s", "ls", "{}", "o" * 900, None, False, 10_000_000, 5), ("2", "t", "p", "s", "rm", "{}", "x", "e" * 300, False, 10_000_000, 5), ("3", "t", "p", None, "su", "{}", "x", "no role", True, 10_000_000, 5)]
-    got = {r["attributes"]["gen_ai.tool.call_id"]: r for r in traces.tool_spans(spark.createDataFrame(rows, call)).collect()}
+    got = {r["attributes"]["gen_ai.tool.call_id"]: r for r in traces.tool_spans(spark.createDataFrame(rows, call), output_cut=500, error_cut=200).collect()}
     assert [got[k]["status"] for k in "123"] == [0, 2, 2] and got["1"]["start_ns"] == 5_000_000 and got["3"]["start_ns"] == 10_000_000
     assert len(got["1"]["attributes"]["gen_ai.tool.output"]) == 500 and len(got["2"]["attributes"]["gen_ai.tool.error"]) == 200 and got["3"]["attributes"]["gen_ai.tool.denied"] == "true"
     chat = spark.createDataFrame([("1", "t", "", "s", "m", 5, 0, "hello", 1, 2)], "call_id string, trace_id string, parent_span_id string, session_id string, model string, input_tokens int, output_tokens int, completion string, start_ns long, end_ns long")
@@ -162,6 +172,13 @@ def test_explore_decisions(spark):
     assert got == {"a": ("next_step_plan", 0.2, 2), "b": ("answer", 0.75, 2), "c": ("answer", 0.4, 1)} and t.count() == 12
 
 
+def test_explore_limits_are_counted(spark):
+    d = spark.createDataFrame([("a", "\n".join(f"alpha {i} " + "x" * 900 for i in range(9)), "alpha")], "doc_id string, text string, query string")
+    whole, few = documents.explore(d)[0].first(), documents.explore(d, k=2, max_lines=3, max_chars=700)[0].first()
+    assert whole["n_more_chunks"] == 0 and whole["n_more_lines"] == 0 and whole["answer"].count("[Chunk ") >= 8
+    assert few["n_more_chunks"] > 0 and few["n_more_lines"] > 0 and len(few["answer"]) == 700
+
+
 def test_answer_quality_scale(spark):
     rows = [("1", "how many billing codes", "", "ctx"), ("2", "how many billing codes", "billing codes " * 4, "ctx"), ("3", "a b", "short", ""), ("4", "many billing codes", "many billing codes " * 3, "ctx")]
     got = {r["id"]: (round(r["score"], 3), r["passed"]) for r in documents.answer_quality(spark.createDataFrame(rows, "id string, query string, answer string, context string")).collect()}

@@ -106,8 +106,8 @@ def test_unpack_stops_at_first_gap(spark):
 def test_search_notes_limit_and_blank(spark):
     docs = spark.createDataFrame([("p", i, "current", f"2026-01-{i:02d}", "" if i == 12 else f"note {i}") for i in range(1, 13)],
                                  "patient_id string, doc_id int, status string, date string, description string")
-    rows = patients.search_notes(docs).orderBy("rank").collect()
-    assert len(rows) == 10 and rows[0]["description"] == "(no description)"
+    rows = patients.search_notes(docs, limit=10).orderBy("rank").collect()
+    assert len(rows) == 10 and rows[0]["description"] == "(no description)" and patients.search_notes(docs).count() == 12
     assert [r["doc_id"] for r in patients.search_notes(docs, "NOTE 7").collect()] == [7]
 
 
