@@ -29,6 +29,8 @@ from ..session import written
 from . import inputs
 
 SLAB = 1 << 20
+#: Extra shingles that a row of ``rest_of_buckets`` carries as a list; more are joined one by one, to the same result.
+LISTED = 64
 _P, _Q = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -235,20 +237,26 @@ def rest_of_buckets(placed: DataFrame, star: DataFrame, sets: DataFrame, similar
 
     own = sets.select("n1", F.col("shingles").alias("x"))
     of_rep = sets.select(F.col("n1").alias("rep"), F.col("shingles").alias("y"))
-    extra = group.join(own, "n1").join(of_rep, "rep").select("rep", "n1", "root", "apart", F.explode(F.array_except("x", "y")).alias("s"))
-    extra = written(extra, "extras")
+    extra = group.join(own, "n1").join(of_rep, "rep").withColumn("e", F.array_except("x", "y"))
+    # a short list travels along, so that a pair is made once, and only if it holds enough
+    listed = F.when(F.size("e") <= LISTED, F.col("e"))
+    extra = written(extra.select("rep", "n1", "root", "apart", "both", "n", listed.alias("e"), F.explode("e").alias("s")), "extras")
 
     ratio = (1 + similarity) / similarity
     sizes = F.sequence(F.ceil(similarity * F.col("n")).cast("int"), F.floor(ratio * F.col("both") - F.col("n") + 1e-9).cast("int"))
     fits = F.ceil(similarity * F.col("n")) <= F.floor(ratio * F.col("both") - F.col("n") + 1e-9)
     asked = group.filter("apart").filter(fits).withColumn("n", F.explode(sizes))
 
-    def pairs(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
-        one = left.select(*key, F.col("n1").alias("u"), F.col("root").alias("root_u"))
-        two = right.select(*key, F.col("n1").alias("v"), F.col("root").alias("root_v"))
-        return one.join(two, key).filter("root_u <> root_v").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    def pairs(left: DataFrame, right: DataFrame, key: list[str], columns: list[str], able: Column) -> DataFrame:
+        one, two = (d.select(*key, *[F.col(c).alias(f"{c}_{k}") for c in columns]) for d, k in ((left, "u"), (right, "v")))
+        near = one.join(two, key).filter((F.col("root_u") != F.col("root_v")) & able)
+        return near.select(F.least("n1_u", "n1_v").alias("a"), F.greatest("n1_u", "n1_v").alias("b"))
 
-    return pairs(extra.filter("apart"), extra, ["rep", "s"]).union(pairs(asked, group, ["rep", "n"])).distinct()
+    common = F.array_intersect("e_u", "e_v")
+    enough = (F.least("both_u", "both_v") + F.size(common)) * ratio >= F.col("n_u") + F.col("n_v") - 1e-6
+    once = (F.col("s") == F.array_min(common)) & enough
+    by_extra = pairs(extra.filter("apart"), extra, ["rep", "s"], ["n1", "root", "both", "n", "e"], F.col("e_u").isNull() | F.col("e_v").isNull() | once)
+    return by_extra.union(pairs(asked, group, ["rep", "n"], ["n1", "root"], F.lit(True))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
