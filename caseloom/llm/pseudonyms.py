@@ -28,7 +28,7 @@ FORMS = {
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
     "date": r"(?<![0-9A-Za-z/.-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.](?:19|20)[0-9]{2})(?![0-9A-Za-z/-])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|-[0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in FORMS.values())
@@ -190,13 +190,26 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """Area and exchange 200 to 999, line 0000 to 9999; a leading 1 stays."""
+    """Area and exchange 200 to 999, line 0000 to 9999; a leading 1 stays. Numbers whose
+    area or exchange is below 200 are permuted among themselves: 200 * 1000 + 800 * 200 pairs."""
 
     def change(d: Column) -> Column:
         ten = F.substring(d, -10, 10)
-        new = permute(_part(ten, 1, 3) - 200, (_part(ten, 4, 3) - 200) * 10000 + _part(ten, 7, 4), F.lit(800).cast("long"), F.lit(8_000_000).cast("long"), key, F.lit("phone"))
-        ten_new = let(new, lambda p: F.concat((p["l"] + 200).cast("string"), (F.floor(p["r"] / 10000) + 200).cast("string"), _padded(p["r"] % 10000, 4)))
-        return refilled(m, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), ten_new), "[0-9]")
+        area, exchange, line = _part(ten, 1, 3), _part(ten, 4, 3), _part(ten, 7, 4)
+        low = (area < 200) | (exchange < 200)
+        place = F.when(area < 200, area * 1000 + exchange).otherwise(200_000 + (area - 200) * 200 + exchange)
+        left = F.when(low, place).otherwise(area - 200)
+        right = F.when(low, line).otherwise((exchange - 200) * 10000 + line)
+        size = lambda a, b: F.when(low, F.lit(a)).otherwise(F.lit(b)).cast("long")
+        new = permute(left, right, size(360_000, 800), size(10_000, 8_000_000), key, F.when(low, "phone low").otherwise("phone"))
+
+        def write(p: Column) -> Column:
+            rest = p["l"] - 200_000
+            pair = F.when(rest < 0, p["l"]).otherwise((F.floor(rest / 200) + 200) * 1000 + rest % 200)
+            usual = F.concat((p["l"] + 200).cast("string"), (F.floor(p["r"] / 10000) + 200).cast("string"), _padded(p["r"] % 10000, 4))
+            return F.when(low, F.concat(_padded(pair, 6), _padded(p["r"], 4))).otherwise(usual)
+
+        return refilled(m, F.concat(F.substring(d, F.lit(1), F.length(d) - 10), let(new, write)), "[0-9]")
 
     return let(_digits(m), change)
 

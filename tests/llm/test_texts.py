@@ -66,6 +66,17 @@ def test_values_are_replaced_within_their_format(spark):
     assert all(a != b for a, b in zip(changed(spark, texts, "another key"), changed(spark, texts), strict=True))
 
 
+def test_phones_of_any_area_code(spark):
+    phones = ["(017) 555-7713", "+1 (017) 555-7713", "(136) 555-7479", "136-555-7479", "1.212.055.0199", "(000) 000-0000", "999 199 9999"]
+    new = changed(spark, phones)
+    assert all(a != b and re.sub("[0-9]", "x", a) == re.sub("[0-9]", "x", b) for a, b in zip(phones, new, strict=True))
+    ten = [re.sub(r"\D", "", x)[-10:] for x in new]
+    assert ten[0] == ten[1] and ten[2] == ten[3] and len(set(ten)) == 5
+    assert all(x[0] in "01" or x[3] in "01" for x in ten)
+    usual = re.sub(r"\D", "", changed(spark, ["(212) 555-0199"])[0])
+    assert usual[0] not in "01" and usual[3] not in "01"
+
+
 def test_other_numbers_and_clean_texts_stay(spark):
     texts = [f"so {v} then" for v in LEFT] + ["plain text\nwith 3 lines.\n", "", None, "a@b", "#1"]
     assert changed(spark, texts) == texts
