@@ -26,12 +26,26 @@ FORMS = {
     "secret": r"(?:(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9]))|(?:(?i:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9_/+.-]{8,}[\"']?)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
-    "date": r"(?<![0-9A-Za-z/.-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.](?:19|20)[0-9]{2})(?![0-9A-Za-z/-])",
+    "date": r"(?<![0-9A-Za-z/.-])(?:(?:19|20)[0-9]{2}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}[/.][0-9]{1,2}[/.](?:19|20)[0-9]{2})(?:(?=T[0-9])|(?![0-9A-Za-z/-]))",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "phone": r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
     "card": r"(?<![0-9A-Za-z.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]|-[0-9])",
 }
-ANY = "|".join(f"(?:{p})" for p in FORMS.values())
+#: Length of an IBAN by country (ISO 13616 registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: Where a card may start and end: at groups of digits, also behind a hyphen between digits.
+CARD_START, CARD_END = r"(?:(?<![0-9A-Za-z.-])|(?<=[0-9]-))", r"(?![0-9A-Za-z])"
+#: At most 19 digits from each group on.
+CARD_WINDOW = CARD_START + r"(?=([0-9](?:[ -]?[0-9]){12,18}" + CARD_END + "))"
+#: Groups of a card inside a longer match: a single one, or four digits and more in all but the last.
+CARD_GROUPS = r"^[0-9]{4,}(?:([ -])[0-9]{4,}(?:\1[0-9]{4,})*(?:\1[0-9]{1,3})?|[ -][0-9]{1,3})?$"
+#: Lengths that the issuer's leading digits ask for.
+CARD_ISSUED = r"^(?:4[0-9]{15}|(?:5[1-5]|2[2-7])[0-9]{14}|3[47][0-9]{13})$"
 #: A text without these characters holds none of the forms.
 HINT = r"[0-9@]|(?i:password|passwd|pwd|token|secret|api[_-]?key)"
 KINDS = tuple(FORMS)
@@ -153,22 +167,28 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    """Days since 1900-01-01 are 17 * 4297 in number up to 2099-12-31. A date with slashes or dots is read month first if that is a date, else day first."""
-    first, second, year = F.substring(m, 1, 2), F.substring(m, 4, 2), F.substring(m, 7, 4)
+    """Days since 1900-01-01 are 17 * 4297 in number up to 2099-12-31. A date with slashes or dots is read
+    month first if that is a date, else day first. A date with a one-digit part is written without leading zeros."""
+    parts = F.split(m, "[/.-]")
+    at = lambda i: F.lpad(F.get(parts, F.lit(i)), 2, "0")
+    first, second, year = at(0), at(1), F.substring(m, -4, 4)
     iso = m.rlike("^[0-9]{4}-")
-    month_first = F.try_to_timestamp(F.concat_ws("-", year, first, second), F.lit("yyyy-MM-dd")).cast("date")
-    day_first = F.try_to_timestamp(F.concat_ws("-", year, second, first), F.lit("yyyy-MM-dd")).cast("date")
-    day = F.when(iso, F.try_to_timestamp(m, F.lit("yyyy-MM-dd")).cast("date")).otherwise(F.coalesce(month_first, day_first))
+    read = lambda *ymd: F.try_to_timestamp(F.concat_ws("-", *ymd), F.lit("yyyy-MM-dd")).cast("date")
+    month_first, day_first = read(year, first, second), read(year, second, first)
+    day = F.when(iso, read(F.substring(m, 1, 4), at(1), at(2))).otherwise(F.coalesce(month_first, day_first))
     origin = F.lit("1900-01-01").cast("date")
+    short = m.rlike("(?<![0-9])[0-9](?![0-9])")
 
     def change(n: Column) -> Column:
         new = permute(F.floor(n / 4297).cast("long"), (n % 4297).cast("long"), F.lit(17).cast("long"), F.lit(4297).cast("long"), key, F.lit("date"))
         moved = let(new, lambda p: F.date_add(origin, (p["l"] * 4297 + p["r"]).cast("int")))
 
         def write(d: Column) -> Column:
-            mark = F.substring(m, 3, 1)
-            parts = F.when(month_first.isNotNull(), F.concat(F.date_format(d, "MM"), mark, F.date_format(d, "dd"))).otherwise(F.concat(F.date_format(d, "dd"), mark, F.date_format(d, "MM")))
-            return F.when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(F.concat(parts, F.substring(m, 6, 1), F.date_format(d, "yyyy")))
+            month, of_month = (F.when(short, x.cast("string")).otherwise(_padded(x, 2)) for x in (F.month(d), F.dayofmonth(d)))
+            mark = F.regexp_extract(m, "[/.-]", 0)
+            both = F.when(iso | month_first.isNotNull(), F.concat(month, mark, of_month)).otherwise(F.concat(of_month, mark, month))
+            whole = _padded(F.year(d), 4)
+            return F.when(iso, F.concat(whole, mark, both)).otherwise(F.concat(both, F.substring(m, -5, 1), whole))
 
         return F.when(n.isNotNull(), let(moved, write))
 
@@ -237,6 +257,81 @@ def _secret(m: Column, key: str) -> Column:
 _CHANGE = {"email": _email, "secret": _secret, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
+def _ends(window: Column, close: str) -> Column:
+    """The beginnings of ``window`` that end where a character of ``close`` or its end follows."""
+    lengths = F.filter(F.sequence(F.lit(13), F.greatest(F.length(window), F.lit(13))), lambda n: F.substring(window, n + 1, F.lit(1)).rlike(f"^{close}?$"))
+    return F.transform(lengths, lambda n: F.substring(window, F.lit(1), n))
+
+
+def valid_cards(text: Column) -> Column:
+    """The cards of a text as written: each match of the whole form, and from each group
+    of digits on the likeliest beginning of 13 to 19 digits, where the check digit is
+    right. One of no issuer's length in which a card of such a length starts is left out."""
+
+    def valid(m: Column) -> Column:
+        return let(_digits(m), lambda d: (luhn_sum(d) % 10 == 0) & ~d.rlike("^(.)\\1*$"))
+
+    def issued(m: Column) -> Column:
+        return _digits(m).rlike(CARD_ISSUED)
+
+    def best(w: Column) -> Column:
+        ends = F.filter(_ends(w, "[ -]"), lambda m: m.rlike(CARD_GROUPS) & F.length(_digits(m)).between(13, 19) & valid(m))
+        return F.array_max(F.transform(ends, lambda m: F.struct(issued(m).alias("issued"), F.length(m).alias("n"), m.alias("m"))))["m"]
+
+    whole = F.filter(F.regexp_extract_all(text, F.lit(FORMS["card"]), F.lit(0)), valid)
+    inside = F.transform(F.regexp_extract_all(text, F.lit(CARD_WINDOW), F.lit(1)), best)
+    every = F.array_distinct(F.concat(whole, F.array_compact(inside)))
+
+    def clear(cards: Column) -> Column:
+        sure = F.filter(cards, issued)
+
+        def reached(c: Column, t: Column) -> Column:
+            head, marked = F.substring(t, 1, 9), F.translate(c, "-", " ")
+            return F.startswith(marked, F.concat(F.translate(t, "-", " "), F.lit(" "))) | F.contains(marked, F.concat(F.lit(" "), F.translate(head, "-", " ")))
+
+        return F.filter(cards, lambda c: issued(c) | ~F.exists(sure, lambda t: reached(c, t)))
+
+    return let(every, clear)
+
+
+def valid_ibans(text: Column) -> Column:
+    """The IBANs of a text as written: of each match the beginning of the country's
+    length, else the longest beginning, that has the right check digits."""
+    country = F.create_map(*[F.lit(x) for n, names in IBAN_LENGTHS.items() for c in names.split() for x in (c, n)])
+
+    def compact(m: Column) -> Column:
+        return F.replace(m, F.lit(" "), F.lit(""))
+
+    def best(w: Column) -> Column:
+        ends = F.filter(_ends(w, " "), lambda m: m.rlike(f"^(?:{FORMS['iban']})$") & (mod97(compact(m)) == 1) & (F.length(_digits(F.substring(m, F.lit(5), F.length(m)))) >= 4))
+        asked = F.try_element_at(country, F.substring(w, 1, 2))
+        return F.array_max(F.transform(ends, lambda m: F.struct(F.coalesce(F.length(compact(m)) == asked, F.lit(False)).alias("asked"), F.length(m).alias("n"), m.alias("m"))))["m"]
+
+    start, form = FORMS["iban"][: len("(?<![A-Za-z0-9])")], FORMS["iban"][len("(?<![A-Za-z0-9])") :]
+    return F.array_distinct(F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(f"{start}(?=({form}))"), F.lit(1)), best)))
+
+
+def pattern(text: Column) -> Column:
+    """The forms as one pattern, in which only the valid cards and IBANs of the text stand,
+    so a form that runs on into what follows hides nothing."""
+
+    def literal(values: Column, before: str, after: str) -> Column:
+        # digits, capitals, spaces and hyphens only; longer ones first
+        longest = F.array_sort(values, lambda a, b: F.length(b) - F.length(a))
+        return F.when(F.size(values) > 0, F.concat(F.lit(f"{before}(?:"), F.array_join(longest, "|"), F.lit(f"){after}"))).otherwise("(?!)")
+
+    def write(cards: Column, ibans: Column) -> Column:
+        head, tail = FORMS["phone"].rsplit("[0-9]{4}", 1)
+        phone = F.concat(F.lit(f"{head}(?!"), cards, F.lit(f")[0-9]{{4}}{tail}"))
+        forms = {k: F.lit(p) for k, p in FORMS.items()} | {"iban": ibans, "phone": phone, "card": cards}
+        return F.concat_ws("|", *[F.concat(F.lit("(?:"), forms[k], F.lit(")")) for k in KINDS])
+
+    none = F.array().cast("array<string>")
+    cards = F.when(text.rlike("[0-9](?:[ -]?[0-9]){12}"), valid_cards(text)).otherwise(none)
+    ibans = F.when(text.rlike("[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"), valid_ibans(text)).otherwise(none)
+    return let(literal(cards, CARD_START, CARD_END), lambda c: let(literal(ibans, "(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"), lambda i: write(c, i)))
+
+
 def _change(m: Column, key: str) -> Column:
     """struct(kind, value): the first kind whose whole form and validation fit; kind is NULL for a value left as it is."""
     kept = F.struct(F.lit(None).cast("string").alias("kind"), m.alias("value"))
@@ -260,14 +355,15 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", into: str = "tex
     """
     body = F.col(text)
     hit = body.rlike(HINT)
-    parts, new = inputs.free(docs, "_pii_parts"), inputs.free(docs, "_pii_new")
-    cut = docs.withColumn(parts, F.when(hit, F.split(body, ANY, -1))).withColumn(new, F.when(hit, F.transform(F.regexp_extract_all(body, F.lit(ANY), F.lit(0)), lambda m: _change(m, key))))
+    parts, new, forms = (inputs.free(docs, n) for n in ("_pii_parts", "_pii_new", "_pii_forms"))
+    cut = docs.withColumn(forms, F.when(hit, pattern(body)))
+    cut = cut.withColumn(parts, F.when(hit, F.split(body, F.col(forms), -1))).withColumn(new, F.when(hit, F.transform(F.regexp_extract_all(body, F.col(forms), F.lit(0)), lambda m: _change(m, key))))
     joined = F.array_join(F.transform(F.col(parts), lambda p, i: F.concat(p, F.coalesce(F.get(F.col(new), i)["value"], F.lit("")))), "")
     out = cut.withColumn(into, F.when(F.size(new) > 0, joined).otherwise(body))
     if found:
         kinds = F.filter(F.transform(new, lambda x: x["kind"]), lambda k: k.isNotNull())
         out = out.withColumn(found, F.coalesce(kinds, F.array().cast("array<string>")))
-    return out.drop(parts, new)
+    return out.drop(parts, new, forms)
 
 
 def private_texts(docs: DataFrame, key: str) -> DataFrame:

@@ -77,6 +77,24 @@ def test_phones_of_any_area_code(spark):
     assert usual[0] not in "01" and usual[3] not in "01"
 
 
+def test_values_are_found_beside_others(spark):
+    card, spaced, be = "4539578763621486", "4539 5787 6362 1486", "BE68 5390 0754 7034"
+    texts = [f"{card} 12/25", f"{spaced} 123", f"2 {card}", f"12 {spaced}/12", f"{spaced} 10.0.0.1", f"AB12 {spaced}", f"{card} {card}", f"{card}-2024-05-06", f"123 456 {spaced}",
+             f"{be} AND", f"{be} HELLO {be}", "ES91 2100 0418 4502 0005 1332 2024-05-06", "2024 212-555-0199", "1984-02-29T10:00:00Z", "2/9/1984", "1984-2-9"]
+    *new, plain_card, plain_be, ip, phone = changed(spark, [*texts, card, be, "10.0.0.1", "212-555-0199"])
+    groups = " ".join(plain_card[i : i + 4] for i in range(0, 16, 4))
+    assert new[:4] == [f"{plain_card} 12/25", f"{groups} 123", f"2 {plain_card}", f"12 {groups}/12"]
+    assert new[4:7] == [f"{groups} {ip}", f"AB12 {groups}", f"{plain_card} {plain_card}"]
+    assert new[7].startswith(plain_card + "-") and new[8] == f"123 456 {groups}"
+    assert new[9:11] == [f"{plain_be} AND", f"{plain_be} HELLO {plain_be}"]
+    assert iban(new[11][:29]) and new[11][:29] != texts[11][:29] and new[11][30:] != "2024-05-06" and len(new[11]) == len(texts[11])
+    assert new[12] == f"2024 {phone}"
+    assert re.fullmatch(r"\d{4}-\d\d-\d\dT10:00:00Z", new[13]) and new[13] != texts[13]
+    m, d, y = map(int, new[14].split("/"))
+    assert new[14] == f"{m}/{d}/{y}" and new[15] == f"{y}-{m}-{d}" and new[15] != texts[15]
+    assert (y, m, d) == tuple(map(int, changed(spark, ["1984-02-09"])[0].split("-")))
+
+
 def test_other_numbers_and_clean_texts_stay(spark):
     texts = [f"so {v} then" for v in LEFT] + ["plain text\nwith 3 lines.\n", "", None, "a@b", "#1"]
     assert changed(spark, texts) == texts
