@@ -23,6 +23,8 @@ from . import inputs
 WINDOW = 16
 NEIGHBOURS = 32
 VOTES = 8
+#: Windows in a row without votes enough, as in periodic texts, from which each run gives its best one.
+GAP = 2 * NEIGHBOURS
 #: Neighbours in a text with fewer than two runs, and bytes of a feature of a text shorter than a window.
 SHORT_RUN = 4
 LEVELS = 1024
@@ -68,7 +70,8 @@ def features(data: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Hashes of the selected windows of a slab, in order.
 
     In each run of NEIGHBOURS windows the one of the least rank, the first of equals,
-    has a vote. A text with fewer than two runs gives the best window of every
+    has a vote, and those with VOTES are taken. Where none is for GAP windows, each run
+    gives its best one. A text with fewer than two runs gives the best window of every
     SHORT_RUN, a text shorter than a window all its runs of SHORT_RUN bytes.
     """
     if len(data) < WINDOW:
@@ -84,9 +87,28 @@ def features(data: np.ndarray, rank: np.ndarray) -> np.ndarray:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
         votes = np.bincount(least & 0xFFFFFFFF, minlength=len(keys))
-        chosen = np.flatnonzero(votes >= VOTES)
+        chosen = _filled(data, keys, np.flatnonzero(votes >= VOTES))
+    return _window_hashes(data, chosen)
+
+
+def _window_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     windows = np.lib.stride_tricks.sliding_window_view(data, WINDOW)
-    return np.concatenate([_hash(windows[chosen[i : i + 4096]]) for i in range(0, len(chosen), 4096)] or [np.zeros(0, np.uint64)])
+    return np.concatenate([_hash(windows[at[i : i + 4096]]) for i in range(0, len(at), 4096)] or [np.zeros(0, np.uint64)])
+
+
+def _filled(data: np.ndarray, keys: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """``chosen`` and, where none stands in GAP windows or more, the best window of each
+    run of NEIGHBOURS; of equal ranks the least hash, so it depends on the content alone."""
+    edges = np.concatenate([[-1], chosen, [len(keys)]])
+    more = []
+    for g in np.flatnonzero(np.diff(edges) > GAP):
+        at = np.arange(edges[g] + 1, edges[g + 1])
+        starts = np.arange(0, len(at) - NEIGHBOURS + 1, NEIGHBOURS)
+        order = ((keys[at] >> 32).astype(np.uint64) << np.uint64(54)) | (_window_hashes(data, at) >> np.uint64(10))
+        run = np.minimum(np.searchsorted(starts, np.arange(len(at)), side="right") - 1, len(starts) - 1)
+        best = np.lexsort((np.arange(len(at)), order, run))
+        more.append(at[best[np.searchsorted(run, np.arange(len(starts)))]])
+    return np.sort(np.concatenate([chosen, *more])) if more else chosen
 
 
 def _hash(windows: np.ndarray) -> np.ndarray:

@@ -144,6 +144,23 @@ def test_digests_follow_the_text():
     assert digests.likeness(digests.digest(b"", rank), digests.digest(b"", rank)) == 1
 
 
+@pytest.mark.parametrize("seed", [None, 1, 2])
+def test_periodic_texts_have_features(seed):
+    rank = np.arange(digests.LEVELS) if seed is None else np.random.default_rng(seed).permutation(digests.LEVELS)
+    texts = [u * n for u in (b"=-", b"spam ", b"buy now ", b"click here now! ", b"x") for n in (80 // len(u) + 1, 200)]
+    found = [digests.digest(t, rank) for t in texts]
+    assert all(len(f[1]) and digests.to_text(*f) for f in found)
+    for i, a in enumerate(found):
+        for j, b in enumerate(found):
+            same = texts[i][:32] == texts[j][:32]
+            assert digests.likeness(a, b) > 0.9 if i == j else digests.likeness(a, b) < 0.3 or same
+    prose = sentence(random.Random(4), "en", 300).encode()
+    mixed = digests.digest(prose + b"spam " * 400, rank)
+    assert mixed[1].sum() > digests.digest(prose, rank)[1].sum() + 40
+    half = digests.digest(b"spam " * 100 + prose[:500], rank)
+    assert 0.2 < digests.likeness(digests.digest(b"spam " * 200, rank), half)
+
+
 def test_a_long_text_has_the_features_of_its_slabs(monkeypatch):
     rank = np.arange(digests.LEVELS)
     text = sentence(random.Random(2), "fr", 3000).encode()
