@@ -125,15 +125,18 @@ def _(spark, sf):
  CASE WHEN min(doc_id) % 2 = 0 THEN 'augmented' ELSE 'created' END AS action, CASE WHEN min(doc_id) % 2 = 0 THEN true ELSE false END AS gap_filled
  FROM tickets WHERE has_solution GROUP BY category""", "tickets"))
 def _(spark, sf):
-    t = V.tickets(spark, sf)
+    return published(V.tickets(spark, sf)).select("slug", "article_id", "action", F.col("text").contains("Partially addressed").alias("gap_filled"))
+
+
+def published(t):
+    """Pages of all categories; each article lists every solved ticket of its category."""
     context = T.article_context(t)
-    few = T.top_n_per_category(t, 5, 0).groupBy("category").agg(F.sort_array(F.collect_list("ticket_id")).alias("source_tickets"))
-    articles = context.join(few, "category").select("category", F.col("context").alias("article_text"), "source_tickets")
+    sources = t.filter("has_solution").groupBy("category").agg(F.sort_array(F.collect_list("ticket_id")).alias("source_tickets"))
+    articles = context.join(sources, "category").select("category", F.col("context").alias("article_text"), "source_tickets")
     first = t.filter("has_solution").groupBy("category").agg(F.min("doc_id").alias("m"))
     pages = first.filter("m % 2 = 0").select(T.slug_of(F.col("category")).alias("slug"),
                                             F.lit("# Old\n_These gaps will be filled automatically by the KB Mining pipeline._").alias("text"))
-    out = notes.publish_article(pages, articles, F.lit(V.AS_OF).cast("timestamp"))
-    return out.select("slug", "article_id", "action", F.col("text").contains("Partially addressed").alias("gap_filled"))
+    return notes.publish_article(pages, articles, F.lit(V.AS_OF).cast("timestamp"))
 
 
 @query("s10_read_kb_stubs", "SELECT 'd' || doc_id AS id, source AS title, lang AS category, text AS content FROM documents")
