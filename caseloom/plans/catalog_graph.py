@@ -62,9 +62,9 @@ def _(spark, sf):
 
 @query("j08_provenance_trail", with_views("""SELECT 'agent:kb.writer' AS agent, 'KB-PC-' || category AS article_id, category, '2024-01-31' AS generated_at, 'pc_ticket:' || ticket_id AS ticket FROM tickets""", "tickets"))
 def _(spark, sf):
-    arts = V.tickets(spark, sf).groupBy("category").agg(F.array_join(F.sort_array(F.collect_list("ticket_id")), ",").alias("source_tickets")).select(
-        F.concat(F.lit("KB-PC-"), F.col("category")).alias("article_id"), "category", F.lit("2024-01-31").alias("generated_at"), "source_tickets")
-    props, edges = tables.append_triples(arts)
+    t = V.tickets(spark, sf).withColumn("article_id", F.concat(F.lit("KB-PC-"), F.col("category")))
+    arts = t.select("article_id", "category", F.lit("2024-01-31").alias("generated_at")).distinct()
+    props, edges = tables.append_triples(arts, sources=t.select("article_id", "ticket_id"))
     return knowledge.provenance_trail(edges, props)
 
 

@@ -202,10 +202,9 @@ def _(spark, sf):
  UNION ALL SELECT 'agent:kb.writer', 'AUTHORED_KB', 'kb_article:KB-PC-' || category FROM (SELECT DISTINCT category FROM tickets)
  UNION ALL SELECT 'pc_ticket:' || ticket_id, 'SOURCED_KB', 'kb_article:KB-PC-' || category FROM tickets""", "tickets"))
 def _(spark, sf):
-    arts = V.tickets(spark, sf).groupBy("category").agg(F.array_join(F.sort_array(F.collect_list("ticket_id")), ", ").alias("source_tickets")).select(
-        F.concat(F.lit("KB-PC-"), F.col("category")).alias("article_id"), "category", F.lit("2024-01-31").alias("generated_at"),
-        F.concat("source_tickets", F.lit(",,after the gap")).alias("source_tickets"))
-    props, edges = tables.append_triples(arts)
+    t = V.tickets(spark, sf).withColumn("article_id", F.concat(F.lit("KB-PC-"), F.col("category")))
+    arts = t.select("article_id", "category", F.lit("2024-01-31").alias("generated_at")).distinct()
+    props, edges = tables.append_triples(arts, sources=t.select("article_id", "ticket_id"))
     return props.select(F.col("id").alias("a"), F.col("key").alias("p"), F.col("val").alias("b")).unionByName(
         edges.select(F.col("src").alias("a"), F.col("pred").alias("p"), F.col("dst").alias("b")))
 

@@ -92,14 +92,20 @@ def read_kb_stubs(spark: SparkSession, path: str, lines: bool = False) -> DataFr
         "multiLine", not lines).json(path)
 
 
-def append_triples(articles: DataFrame, agent: str = "kb.writer") -> tuple[DataFrame, DataFrame]:
+def append_triples(articles: DataFrame, agent: str = "kb.writer", sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Published articles to three properties, one AUTHORED_KB edge and one
     SOURCED_KB edge per listed ticket. ``articles(article_id, category,
-    generated_at, source_tickets)``; the list ends at its first empty entry."""
+    generated_at, source_tickets)``; the list ends at its first empty entry. Lists
+    that grow with the data come as ``sources(article_id, ticket_id)``, one row per
+    ticket, instead of ``source_tickets``."""
     node = F.concat(F.lit("kb_article:"), F.col("article_id"))
     entries = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("val")) for k in ("article_id", "category", "generated_at")])
     props = articles.select(node.alias("id"), F.explode_outer(entries).alias("e")).select("id", "e.*")
     authored = articles.select(F.lit(f"agent:{agent}").alias("src"), F.lit("AUTHORED_KB").alias("pred"), node.alias("dst"))
+    if sources is not None:
+        listed = sources.select(F.concat(F.lit("pc_ticket:"), F.trim("ticket_id")).alias("src"), F.lit("SOURCED_KB").alias("pred"),
+                                F.concat(F.lit("kb_article:"), F.col("article_id")).alias("dst")).filter("src <> 'pc_ticket:'")
+        return props, authored.unionByName(listed)
     pieces = F.split(text("source_tickets"), ",", -1)
     gap = F.array_position(pieces, F.lit("")).cast("int")
     listed = F.when(gap == 0, pieces).otherwise(F.slice(pieces, F.lit(1), F.greatest(gap - 1, F.lit(0))))

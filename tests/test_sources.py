@@ -63,6 +63,15 @@ def test_triples_and_provenance(spark):
     assert len(trail) == 3 and {(r["article_id"], r["ticket"]) for r in trail} == {("KB-PC-X", "pc_ticket:PC-1"), ("KB-PC-X", "pc_ticket:PC-2"), ("KB-PC-Y", None)}
 
 
+def test_triples_of_one_row_per_ticket(spark):
+    arts = spark.createDataFrame([("KB-PC-X", "X", "2024"), ("KB-PC-Y", "Y", "2024")], "article_id string, category string, generated_at string")
+    sources = spark.createDataFrame([("KB-PC-X", " PC-1"), ("KB-PC-X", "PC-2"), ("KB-PC-X", ""), ("KB-PC-Y", None)], "article_id string, ticket_id string")
+    props, edges = tables.append_triples(arts, sources=sources)
+    assert props.count() == 6 and edges.filter("pred = 'AUTHORED_KB'").count() == 2
+    assert {(r["src"], r["dst"]) for r in edges.filter("pred = 'SOURCED_KB'").collect()} == {("pc_ticket:PC-1", "kb_article:KB-PC-X"), ("pc_ticket:PC-2", "kb_article:KB-PC-X")}
+    assert "collect_list" not in edges._jdf.queryExecution().executedPlan().toString()
+
+
 def test_golden_cases_and_stubs(spark, tmp_path):
     doc = {"cases": C.CASES}
     (tmp_path / "g.json").write_text(json.dumps(doc, indent=1))
