@@ -5,11 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import counts, digests, language, near_duplicates, packing, pieces, pseudonyms, quality_model, quality_rules, token_files
+from . import counts, digests, divergence, language, near_duplicates, oracles, packing, pieces, pseudonyms, quality_model, quality_rules, token_files
 from .inputs import table
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_source_divergence": oracles.SOURCE_DIVERGENCE}
 
 
 def query(fn):
@@ -65,3 +65,8 @@ def op9_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(table(spark, sf, "documents"))
