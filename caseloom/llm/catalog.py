@@ -5,11 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import counts, digests, divergence, language, near_duplicates, oracles, packing, pieces, pseudonyms, quality_model, quality_rules, token_files
+from . import counts, digests, divergence, language, near_duplicates, oracles, packing, pieces, pseudonyms, quality_model, quality_rules, token_files, url_rules
 from .inputs import table
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {"op11_source_divergence": oracles.SOURCE_DIVERGENCE}
+ORACLES: dict[str, str] = {"op11_source_divergence": oracles.SOURCE_DIVERGENCE, "op13_url_rules": oracles.URL_RULES}
 
 
 def query(fn):
@@ -70,3 +70,8 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op11_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return divergence.audit(table(spark, sf, "documents"))
+
+
+@query
+def op13_url_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf, "pages"))

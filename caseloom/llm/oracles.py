@@ -35,3 +35,29 @@ ranked AS (
   SELECT *, 'term' AS part, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM terms)
 SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
 """
+
+URL_RULES = r"""
+WITH sites(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+patterns(name, exception, regex) AS (VALUES
+  ('||cheap-pills.', false, '^[^/?#]*://([^/?#]*\.)?cheap-pills\.'), ('||spam-farm.', false, '^[^/?#]*://([^/?#]*\.)?spam-farm\.'),
+  ('||casino.', false, '^[^/?#]*://([^/?#]*\.)?casino\.'), ('||malware.', false, '^[^/?#]*://([^/?#]*\.)?malware\.'),
+  ('||phishing.', false, '^[^/?#]*://([^/?#]*\.)?phishing\.'), ('-casino-', false, '-casino-'),
+  ('^viagra^', false, '[^a-z0-9_.%-]viagra([^a-z0-9_.%-]|$)'), ('^porn^', false, '[^a-z0-9_.%-]porn([^a-z0-9_.%-]|$)'),
+  ('^xxx^', false, '[^a-z0-9_.%-]xxx([^a-z0-9_.%-]|$)'), ('^free-download^', false, '[^a-z0-9_.%-]free-download([^a-z0-9_.%-]|$)'),
+  ('^warez^', false, '[^a-z0-9_.%-]warez([^a-z0-9_.%-]|$)'), ('^torrent^', false, '[^a-z0-9_.%-]torrent([^a-z0-9_.%-]|$)'),
+  ('/wp-login.php', false, '/wp-login\.php'), ('^clickbait^', false, '[^a-z0-9_.%-]clickbait([^a-z0-9_.%-]|$)'), ('*.exe|', false, '\.exe$'),
+  ('@@||help.*^warez^', true, '^[^/?#]*://([^/?#]*\.)?help\.(.|\n)*[^a-z0-9_.%-]warez([^a-z0-9_.%-]|$)'), ('@@^recovery^', true, '[^a-z0-9_.%-]recovery([^a-z0-9_.%-]|$)')),
+u AS (
+  SELECT row_number() OVER () AS r, page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+    translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+s AS (
+  SELECT u.r, arg_max(sites.host || sites.path, length(sites.host || sites.path)) AS rule, arg_max(sites.verdict, length(sites.host || sites.path)) AS verdict
+  FROM u JOIN sites ON (u.host = sites.host OR ends_with(u.host, '.' || sites.host)) AND starts_with(u.path, sites.path) GROUP BY u.r),
+p AS (
+  SELECT u.r, max((exception::INTEGER, name)) AS best FROM u JOIN patterns ON regexp_matches(u.low, regex) GROUP BY u.r)
+SELECT page_id, host, path, s.rule, coalesce(s.verdict, CASE WHEN p.r IS NULL OR p.best[1] = 1 THEN 'allow' ELSE 'block' END) AS verdict,
+  coalesce(s.rule, p.best[2]) AS matched
+FROM u LEFT JOIN s ON u.r = s.r LEFT JOIN p ON u.r = p.r
+"""
