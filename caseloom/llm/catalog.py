@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import counts, digests, divergence, language, near_duplicates, oracles, packing, pieces, pseudonyms, quality_model, quality_rules, token_files, url_rules
+from . import counts, digests, divergence, language, near_duplicates, oracles, packing, pieces, pseudonyms, quality_model, quality_rules, spelling, token_files, url_rules
 from .inputs import table
 
 QUERIES: dict = {}
@@ -72,6 +72,11 @@ def op11_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
     return divergence.audit(table(spark, sf, "documents"))
 
 
+@query
+def op12_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(table(spark, sf, "documents"))
+
+
 @query
 def op13_url_rules(spark: SparkSession, sf: str) -> DataFrame:
     return url_rules.judge(table(spark, sf, "pages"))

@@ -3,12 +3,13 @@
 import collections
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from corpus import empty, odd, odd_rows, sentence
 
-from caseloom.llm import divergence, packed
+from caseloom.llm import divergence, packed, spelling
 from caseloom.llm.divergence import Settings
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -104,3 +105,92 @@ def test_divergence_of_odd_rows(spark):
     rows = [(r[2], r[3], r[1]) for r in odd_rows()]
     assert audited(odd(spark), least_docs=1, top=4) == brute_audit(rows, 1, 4)
     assert divergence.audit(empty(spark)).count() == 0
+
+
+def brute_variants(rows, s):
+    """rows of (doc_id, text): the contract of the operator, word by word."""
+    n = collections.Counter()
+    for doc, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = lowered(run)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            n[run if h % s.typo_every else run[: h % len(run)] + run[h % len(run) + 1 :]] += 1
+    words = {w: c for w, c in n.items() if len(w) >= s.least_length and c >= s.least_count}
+    letters = {c for w in words for c in w}
+    near = {}
+    for w in words:
+        edits = {w[:i] + w[i + 1 :] for i in range(len(w))}
+        edits |= {w[:i] + c + w[i + d :] for i in range(len(w) + 1) for c in letters for d in (0, 1) if i + d <= len(w)}
+        near[w] = [x for x in edits - {w} if x in words]
+    out = {}
+    form = {}
+    for w in words:
+        best = min(near[w], key=lambda x: (-words[x], x), default=None)
+        if best is not None and words[best] >= s.ratio * words[w]:
+            form[w] = best
+    for w in words:
+        root = w
+        while root in form:
+            root = form[root]
+        out[w] = (form.get(w), root, words[w], len(near[w]), words.get(form.get(w)))
+    return out
+
+
+def varied(docs, s):
+    rows = spelling.variants(docs, s).select("word", "form", "root", "n", "n_near", "form_n").collect()
+    assert len({r["word"] for r in rows}) == len(rows)
+    return {r["word"]: tuple(r)[1:] for r in rows}
+
+
+def spelled(rng, n):
+    """Words with many near ones: slips of a few base words, anagrams, letters beyond ASCII, very long runs."""
+    base = ["thering", "elleau", "été", "Übergröße", "ononon", "nonono", "a" * 30, "ab" * 40, "straße", "ÿÿÿÿÿ", "mentation"]
+    rows = []
+    for i in range(n):
+        words = []
+        for _ in range(rng.randint(0, 40)):
+            w = rng.choice(base[: rng.randint(1, len(base))])
+            for _ in range(rng.choice([0, 0, 1, 1, 2])):
+                at = rng.randint(0, len(w))
+                w = w[:at] + rng.choice(["", "a", "é", "n"]) + w[at + rng.randint(0, 1) :]
+            words.append(w)
+        rows.append((i, rng.choice([" ", "-", "7", "日"]).join(words)))
+    return rows
+
+
+def test_variants_are_those_of_brute_force(spark):
+    rng = random.Random(8)
+    rows = [*spelled(rng, 160), (500, None), (501, ""), (None, "thering elleau " * 3), (502, "x" * 5000 + " "), (503, "x" * 5000), (504, "x" * 5000), (505, "x" * 4999 + " thering"), *[(506, "x" * 4999)] * 2]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for s in (spelling.Settings(), spelling.Settings(typo_every=3, least_count=2, ratio=1 + 1, classes=3, chunk=8), spelling.Settings(classes=1, chunk=5, least_length=1, least_count=1)):
+        want = brute_variants(rows, s)
+        assert varied(docs, s) == want and sum(v[3] for v in want.values()) > 20
+    assert {"x" * 4999, "x" * 5000} <= set(want)
+
+
+def test_variants_of_odd_rows_and_chains(spark):
+    s = spelling.Settings()
+    assert varied(odd(spark), s) == brute_variants([(r[0], r[1]) for r in odd_rows()], s)
+    assert spelling.variants(empty(spark)).count() == 0
+    chain = ["aaaaa" + "b" * i for i in range(1, 8)]
+    rows = [(1, " ".join(" ".join([w] * 3 * 2**i) for i, w in enumerate(chain)))]
+    got = varied(spark.createDataFrame(rows, "doc_id long, text string"), spelling.Settings(typo_every=2**32 - 1))
+    assert {v[1] for v in got.values()} == {chain[-1]} and got[chain[0]][:1] == (chain[1],)
+
+
+def test_tasks_hand_words_on(spark, monkeypatch):
+    rows = spelled(random.Random(9), 60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(spelling, "STEP_BYTES", 200)
+    monkeypatch.setattr(spelling, "HELD_ROWS", 30)
+    s = spelling.Settings()
+    assert varied(docs, s) == brute_variants(rows, s)
+
+
+def test_checksums_are_those_of_the_library():
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abyzàÿé") for _ in range(rng.choice([1, 2, 9, 64, 65, 200]))) for _ in range(300)]
+    codes, begins = spelling.letters(*packed.joined(pa.array([" ".join(words)])))
+    starts, lengths = packed.runs(codes)
+    prefix = np.full(len(words), zlib.crc32(b"17:"), np.uint32)
+    assert spelling.checksums(prefix, codes, starts, lengths).tolist() == [zlib.crc32(f"17:{w}".encode()) for w in words]
