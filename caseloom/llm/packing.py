@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from . import inputs
-from .tokens import chunk_encoder, widened
+from .tokens import chunk_encoder, ended
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Pieces of one length that are ranked in one group of a window.
@@ -31,21 +31,22 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     behind them, cut every ``capacity`` ids. NULL and empty texts have one piece,
     the end id."""
 
+    @inputs.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = chunk_encoder(tokenizer)
-        end, width = np.array([end_id], encoder.type).tobytes(), encoder.type.itemsize
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for first, texts in inputs.steps(batch):
-                rows: list[tuple] = []
-                for key, code in zip(keys[first : first + len(texts)], encoder.encode(texts), strict=True):
-                    ids = memoryview(code + end)
-                    total = len(ids) // width
-                    for n, at in enumerate(range(0, total, capacity)):
-                        part = ids[at * width : (at + capacity) * width]
-                        rows.append((key, n, at, len(part) // width, zlib.crc32(widened(part, encoder.type))))
-                yield inputs.record(schema, zip(*rows, strict=True))
+            for first, last in inputs.spans(batch.column(1)):
+                ids, sizes = ended(*encoder.encode_column(batch.column(1).slice(first, last - first)), end_id)
+                count = -(-sizes // capacity)
+                doc = np.repeat(np.arange(len(sizes)), count)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * capacity
+                length = np.minimum(sizes[doc] - start, capacity)
+                ends = np.cumsum(length)
+                view = memoryview(ids.astype("<u4").tobytes())
+                sums = [zlib.crc32(view[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), length.tolist(), strict=True)]
+                yield inputs.record(schema, [batch.column(0).slice(first, last - first).take(pa.array(doc)), piece, start, length, sums])
 
     return inputs.id_text(docs, doc_id, text).mapInArrow(run, PIECES)
 

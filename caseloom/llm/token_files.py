@@ -33,11 +33,14 @@ from pyspark.sql import functions as F
 from ..session import fresh_folder
 from . import inputs
 from .elias_fano import EliasFano
-from .tokens import chunk_encoder, widened
+from .tokens import chunk_encoder, ended, widened
 
 #: Ids of a segment, unless one document has more.
 SEGMENT_IDS = 1 << 20
 
+#: Characters of a text that part rows of one doc_id.
+PREFIX = 32
+
 SEGMENTS = "slice int, segment int, before long, n_ids long, first_doc long, no_id int, doc_ids binary, ends binary, width int, ids binary"
 DOCUMENTS = "slice int, doc_id long, local_start long, n_tokens long, ids binary"
 _SEGMENTS = pa.schema([("slice", pa.int32()), ("segment", pa.int32()), ("before", pa.int64()), ("n_ids", pa.int64()), ("first_doc", pa.int64()), ("no_id", pa.int32()), ("doc_ids", pa.binary()), ("ends", pa.binary()), ("width", pa.int32()), ("ids", pa.binary())])
@@ -46,47 +49,54 @@ _SEGMENTS = pa.schema([("slice", pa.int32()), ("segment", pa.int32()), ("before"
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, segment_ids: int = SEGMENT_IDS, doc_id: str = "doc_id", text: str = "text") -> None:
     """Encode every text, append ``end_id`` and write the files.
 
-    The texts are dealt by ranges of doc_id and sorted inside each range, so no
-    task sees more than one slice. NULL and empty texts are written as the end id
+    The texts are dealt by ranges of doc_id, rows of one id (those without any, say) by
+    the start of their text, and sorted inside each range, so no task sees more than
+    one slice. NULL and empty texts are written as the end id
     alone. Rows with a NULL doc_id come first; rows with equal ids stand side by
     side, ordered by text. An empty table gives a folder without rows.
     """
 
+    @inputs.released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = chunk_encoder(tokenizer)
-        end = np.array([end_id], encoder.type).tobytes()
-        width = encoder.type.itemsize
         part, number, before = TaskContext.get().partitionId(), 0, 0
         keys: list[int | None] = []
-        held: list[bytes] = []
-        size = 0
+        sizes: list[np.ndarray] = []
+        held: list[np.ndarray] = []
 
         def segment() -> pa.RecordBatch:
-            nonlocal number, before, size
+            nonlocal number, before
             real = [k for k in keys if k is not None]
             first = real[0] if real else None
-            ends = np.cumsum([len(h) // width for h in held])
+            ends = np.cumsum(np.concatenate(sizes))
             row = inputs.record(_SEGMENTS, [[x] for x in (
                 part, number, before, int(ends[-1]), first, len(keys) - len(real), EliasFano.build(np.array([k - first for k in real], np.uint64)).to_bytes(),
-                EliasFano.build(ends).to_bytes(), width, b"".join(held))])
-            number, before, size = number + 1, before + int(ends[-1]), 0
-            keys.clear()
-            held.clear()
+                EliasFano.build(ends).to_bytes(), encoder.type.itemsize, np.concatenate(held).tobytes())])
+            number, before = number + 1, before + int(ends[-1])
+            for part_of in (keys, sizes, held):
+                part_of.clear()
             return row
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for first, texts in inputs.steps(batch):
-                for key, code in zip(ids[first : first + len(texts)], encoder.encode(texts), strict=True):
-                    keys.append(key)
-                    held.append(code + end)
-                    size += len(code) // width + 1
-                    if size >= segment_ids:
+            for first, last in inputs.spans(batch.column(1)):
+                names = batch.column(0).slice(first, last - first).to_pylist()
+                ids, each = ended(*encoder.encode_column(batch.column(1).slice(first, last - first)), end_id)
+                ends, done = np.cumsum(each), 0
+                while done < len(each):  # up to the document that fills the segment
+                    start = int(ends[done - 1]) if done else 0
+                    room = segment_ids - sum(int(h.size) for h in held)
+                    stop = min(int(np.searchsorted(ends, start + room)) + 1, len(each))
+                    keys += names[done:stop]
+                    sizes.append(each[done:stop])
+                    held.append(ids[start : ends[stop - 1]])
+                    if sum(int(h.size) for h in held) >= segment_ids:
                         yield segment()
+                    done = stop
         if keys:
             yield segment()
 
-    inputs.id_text(docs, doc_id, text).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SEGMENTS).write.parquet(path)
+    rows = inputs.id_text(docs, doc_id, text)
+    rows.repartitionByRange("doc_id", F.substring("text", 1, PREFIX)).sortWithinPartitions("doc_id", "text").mapInArrow(run, SEGMENTS).write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

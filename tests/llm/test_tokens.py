@@ -26,7 +26,7 @@ TEXTS = st.lists(st.sampled_from(["a", "Word", " ", "  ", "\n", "\t", "é", "é
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_chunks_give_the_ids_of_the_library(path):
-    encoder, library = ChunkEncoder(path, limit=40), Tokenizer.from_file(path)
+    encoder, library = ChunkEncoder(path, limit=60_000), Tokenizer.from_file(path)
     assert encoder.kind == {BYTES: "spaced", WORDS: "dropped"}[path]
 
     @settings(max_examples=300, deadline=None)
