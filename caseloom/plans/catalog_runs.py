@@ -35,7 +35,7 @@ def _(spark, sf):
     loops = s.filter("conv_id % 5 = 0").select("trace_id", "conv_id").distinct().select("trace_id", "conv_id", one.alias("l")).select("trace_id", "conv_id", "l.*")
     loops = loops.select("trace_id", "span_id", "parent_span_id", F.lit("loop").alias("name"), "start_ns", (F.col("start_ns") + 1_000_000).alias("end_ns"), F.lit(0).alias("status"),
                          F.create_map().cast("map<string,string>").alias("attributes"), "conv_id")
-    t = traces.trace_tree(s.unionByName(loops))
+    t = traces.trace_tree(s.unionByName(loops), paths=True)
     return t.select("trace_id", "span_id", "depth", "path", "seq", "duration_ms", F.size("attrs").alias("n_attrs"), "cycle")
 
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +98,51 @@ def test_tree_order_orphans_and_cycles(spark):
     assert by["r"] == {"session.id": "1"} and len(by["c2"]["gen_ai.tool.input"]) == 120 and by["c2"]["gen_ai.tool.input"].endswith("...")
 
 
+def brute_tree(rows):
+    """(trace, span): (depth, seq, cycle) by walking each trace."""
+    out = {}
+    for trace in {r[0] for r in rows}:
+        mine = sorted((r[4], r[1], r[2]) for r in rows if r[0] == trace)
+        up = {s: p if any(p == x for _, x, _ in mine) else None for _, s, p in mine}
+        on = set()
+        for s in up:
+            seen, at = [], s
+            while at is not None and at not in seen:
+                seen.append(at)
+                at = up[at]
+            on |= set(seen[seen.index(at):]) if at is not None else set()
+        up = {s: None if s in on else p for s, p in up.items()}
+        stack = [(s, 0) for _, s, _ in reversed(mine) if up[s] is None]
+        n = 0
+        while stack:
+            s, d = stack.pop()
+            out[trace, s] = d, n, s in on
+            n += 1
+            stack += [(c, d + 1) for _, c, _ in reversed(mine) if up[c] == s]
+    return out
+
+
+@pytest.mark.parametrize("large", [20_000, 25, 0])
+def test_trees_of_any_shape(spark, large):
+    rng = random.Random(large)
+    rows = []
+    for t in range(12):
+        n = rng.choice([1, 4, 30, 60])
+        for i in range(n):
+            parent = rng.choice([f"s{rng.randint(0, n)}", f"s{max(0, i - 1)}", "s0", "", None])
+            rows.append((f"t{t}", f"s{i}", parent, "x", rng.randint(0, 20), 30, 0, {}))
+    got = traces.trace_tree(spark.createDataFrame(rows, SPAN).repartition(5), paths=True, large=large).collect()
+    assert {(r["trace_id"], r["span_id"]): (r["depth"], r["seq"], r["cycle"]) for r in got} == brute_tree(rows)
+    assert all(r["path"].count("/") == r["depth"] and r["path"].endswith(":" + r["span_id"]) for r in got) and len(got) == len(rows)
+
+
+def test_a_chain_of_a_hundred_thousand_spans(spark):
+    n = 100_000
+    chain = spark.range(n, numPartitions=8).selectExpr("'t' as trace_id", "concat('s', id) as span_id", "if(id = 0, '', concat('s', id - 1)) as parent_span_id", "'x' as name", "id as start_ns", "id + 1 as end_ns", "0 as status", "cast(map() as map<string,string>) as attributes")
+    tree = traces.trace_tree(chain).selectExpr("max(depth) as d", "sum(if(depth = seq and span_id = concat('s', seq), 1, 0)) as right")
+    assert tuple(tree.first()) == (n - 1, n)
+
+
 def test_link_parents_across_slices(spark):
     rows = [("t", f"s{i:03d}", "", "gen_ai.chat" if i in (0, 70) else "execute_tool x", i, i, 0, {}) for i in range(100)]
     got = {r["span_id"]: r["parent_span_id"] for r in traces.link_parents(spark.createDataFrame(rows, SPAN).repartition(6)).collect()}
