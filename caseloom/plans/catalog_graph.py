@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import access, documents, graph, knowledge, vectors
+from ..operators import access, density, documents, graph, knowledge, vectors
 from ..operators.ordering import first_rows
 from ..sources import tables
 from . import views as V
@@ -267,6 +267,25 @@ def _(spark, sf):
     return vectors.hybrid_search(v, V.edges(spark, sf), first_vector(spark, sf), 10, 1)
 
 
+@query("v05_density_cut", "WITH RECURSIVE " + V.CTE["vectors"] + """,
+ d AS (SELECT a.id AS a, b.id AS b, list_distance(a.vec, b.vec) AS d FROM vectors a JOIN vectors b ON a.id <> b.id),
+ core AS (SELECT a, d AS core FROM d QUALIFY row_number() OVER (PARTITION BY a ORDER BY d) = 10),
+ e AS (SELECT d.a, d.b FROM d JOIN core x ON x.a = d.a JOIN core y ON y.a = d.b WHERE greatest(d.d, x.core, y.core) <= 1.205),
+ r AS (SELECT id AS a, id AS root FROM vectors UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.a),
+ c AS (SELECT a AS id, min(root) AS root FROM r GROUP BY 1), big AS (SELECT root, row_number() OVER (ORDER BY root) - 1 AS cluster FROM c GROUP BY root HAVING count(*) >= 10)
+ SELECT id, coalesce(cluster, -1) AS cluster FROM c LEFT JOIN big USING (root)""")
+def _(spark, sf):
+    """Components of the spanning tree at one length, noise included."""
+    return density.density_cut(V.vectors(spark, sf).select("id", "vec"), 1.205, 10)
+
+
+@query("v05_density_clusters")
+def _(spark, sf):
+    """Clusters of all ticket texts by their embedding."""
+    t = V.tickets(spark, sf, heavy=True).withColumn("full_content", F.concat_ws(" ", "summary", "problem"))
+    return density.density_clusters(vectors.embed_texts(t).select(F.col("ticket_id").alias("id"), "vec"), 10)
+
+
 @query("v06_suggest_from_similar", with_views("""SELECT q.ticket_id, row_number() OVER (PARTITION BY q.ticket_id ORDER BY round(s, 9) DESC, q.id) AS rank, q.id AS resolved_id, round(s, 3) AS sim, q.solution FROM (
  SELECT a.ticket_id, b.ticket_id AS id, b.solution, list_cosine_similarity(va.vec, vb.vec) AS s FROM tickets a JOIN vectors va ON va.id = a.ticket_id, tickets b JOIN vectors vb ON vb.id = b.ticket_id
  WHERE NOT a.has_solution AND b.has_solution) q QUALIFY rank <= 3""", "tickets", "vectors"))
