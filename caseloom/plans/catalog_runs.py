@@ -194,6 +194,37 @@ def _(spark, sf):
     return m.select(F.unix_millis("start").alias("start_ms"), "metric", "n", F.round("mean", 6).alias("mean"), F.round("max_z", 4).alias("max_z"))
 
 
+TRENDS = """SELECT epoch_us(w) // 1000 AS start_ms, metric, n, round(total, 2) AS total, round(max_z, 4) AS max_z, round(slope, 4) AS slope, CASE WHEN abs(slope) <= 0.002 * abs(mean) THEN 'flat' WHEN slope > 0 THEN 'increasing' ELSE 'decreasing' END AS trend FROM (
+ SELECT w, metric, count(*) AS n, avg(value) AS mean, sum(value) AS total, greatest(max(value) - avg(value), avg(value) - min(value)) / stddev_samp(value) AS max_z, regr_slope(value, epoch_us(ts) / 3600000000.0 - 473352) AS slope
+ FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts) - to_hours(6 * i) AS w FROM samples, range(0, 4) r(i)) GROUP BY 1, 2 HAVING count(*) >= 5 AND stddev_samp(value) > 0)"""
+
+
+def _trend_columns(df):
+    return df.select(F.unix_millis("start").alias("start_ms"), "metric", "n", F.round(F.col("mean") * F.col("n"), 2).alias("total"), F.round("max_z", 4).alias("max_z"), F.round("slope", 4).alias("slope"), "trend")
+
+
+@query("r07_trend_windows", with_views(TRENDS, "samples"))
+def _(spark, sf):
+    return _trend_columns(jobs.trend_windows(V.samples(spark, sf), "24 hours", "6 hours", flat=0.002))
+
+
+@query("r07_trend_windows_stream", with_views(TRENDS, "samples"))
+def _(spark, sf):
+    """The same windows from samples that arrive in order of time, in append mode: each
+    window is given once, when the watermark has passed its end. A last sample, years
+    later and of no metric, closes the windows that are still open."""
+    samples = V.samples(spark, sf).select("metric", "ts", "value")
+    path = scratch(spark, "samples-in-order")
+    third, two = samples.select(F.unix_micros("ts").alias("t")).approxQuantile("t", [0.33, 0.67], 0.01)
+    t = F.unix_micros("ts")
+    last = samples.agg(F.max("ts").alias("ts")).select(F.lit(None).cast("string").alias("metric"), (F.col("ts") + F.expr("interval 3 years")).alias("ts"), F.lit(0.0).alias("value"))
+    for part in (samples.filter(t <= third), samples.filter((t > third) & (t <= two)), samples.filter(t > two), last):
+        part.coalesce(1).write.mode("append").parquet(path)  # a file each, in this order
+    stream = spark.readStream.schema(samples.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rows = drained(spark, jobs.trend_windows(stream, "24 hours", "6 hours", "1 hour", flat=0.002), "append", "trends")
+    return _trend_columns(rows.filter("metric is not null"))
+
+
 # --- SQL surface ---------------------------------------------------------------------------------
 
 

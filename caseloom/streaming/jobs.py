@@ -92,6 +92,34 @@ def metric_windows(samples: DataFrame, window: str = "60 minutes", slide: str =
         F.col("w.start").alias("start"), "metric", "n", "mean", "sd", z.alias("max_z"))
 
 
+def trend_windows(samples: DataFrame, window: str = "60 minutes", slide: str = "5 minutes", watermark: str = "10 minutes", min_n: int = 5, flat: float = 0.05, origin: str = "2024-01-01") -> DataFrame:
+    """Level and trend of each metric per sliding window: n, mean, sd, the extreme z,
+    and the least-squares slope per hour with its direction, which is "flat" up to
+    ``flat`` of the mean. ``window`` must be a multiple of ``slide``.
+
+    Samples are summed once, to panes of one slide, as n, sums of x, y, xx, xy, yy and
+    the extremes, x in hours since ``origin`` (a time near the data, for the digits).
+    Such sums add up, so a window is the sum of its panes and no sample is copied to
+    the windows. On a stream both steps drop what the watermark has passed: state is
+    one row per metric and open pane or window; use append mode."""
+    rows = samples.withWatermark("ts", watermark) if samples.isStreaming else samples
+    y = F.col("value").cast("double")
+    x = (F.unix_micros("ts") - F.unix_micros(F.lit(origin).cast("timestamp"))) / 3.6e9
+    moments = {"n": F.count(F.lit(1)), "sx": F.sum(x), "sy": F.sum(y), "sxx": F.sum(x * x), "sxy": F.sum(x * y), "syy": F.sum(y * y), "hi": F.max(y), "lo": F.min(y)}
+    rows = rows.filter(F.col("value").isNotNull())
+    panes = rows.groupBy(F.window("ts", slide).alias("pane"), "metric").agg(*[m.alias(c) for c, m in moments.items()])
+    out = panes.groupBy(F.window("pane", window, slide).alias("w"), "metric").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "sxy", "syy")], F.max("hi").alias("hi"), F.min("lo").alias("lo"))
+    n, mean = F.col("n"), F.col("sy") / F.col("n")
+    sd = F.sqrt(F.greatest(F.col("syy") - F.col("sy") * mean, F.lit(0.0)) / (n - 1))
+    spread = n * F.col("sxx") - F.col("sx") * F.col("sx")
+    slope = F.when(spread > 0, (n * F.col("sxy") - F.col("sx") * F.col("sy")) / spread)
+    out = out.filter(n >= max(min_n, 2)).select(F.col("w.start").alias("start"), "metric", "n", mean.alias("mean"), sd.alias("sd"), slope.alias("slope"), "hi", "lo").filter("sd > 0")
+    trend = F.when(F.abs("slope") <= flat * F.abs("mean"), "flat").when(F.col("slope") > 0, "increasing").when(F.col("slope") < 0, "decreasing")
+    z = F.greatest(F.col("hi") - F.col("mean"), F.col("mean") - F.col("lo")) / F.col("sd")
+    return out.select("start", "metric", "n", "mean", "sd", z.alias("max_z"), "slope", F.coalesce(trend, F.lit("flat")).alias("trend"))
+
+
 def assemble_traces_stream(spans: DataFrame, gap: str = "5 minutes", watermark: str = "5 minutes") -> DataFrame:
     """Trace rows from spans that arrive singly: a trace closes after ``gap``
     without a new span. ``spans`` needs an event time ``ts``."""

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from caseloom.operators import access, messages, patients, readiness, tickets
 from caseloom.sources import tables
+from caseloom.streaming import jobs
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -154,3 +155,21 @@ def test_approval_precedence(spark):
     df = spark.createDataFrame([("a", "write"), ("b", "read"), ("c", "write"), ("d", "read")], "tool string, effect string")
     got = {r["tool"]: r["required"] for r in access.approval_required(df, {"exempt_tools": ["c"], "extra_tools": ["b", "c"]}).collect()}
     assert got == {"a": True, "b": True, "c": False, "d": False}
+
+
+def test_trend_windows_are_sums_of_panes(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(m, dt.datetime(2024, 1, 3) + dt.timedelta(minutes=float(t)), float(v)) for m, k in (("up", 0.9), ("down", -1.5), ("level", 0.0)) for t in rng.uniform(0, 2000, 300) for v in [50 + k * t / 60 + rng.normal(0, 0.5)]]
+    rows += [("once", dt.datetime(2024, 1, 3), 1.0), ("same", dt.datetime(2024, 1, 3), 2.0), (None, dt.datetime(2024, 1, 3), 2.0), ("level", dt.datetime(2024, 1, 3), None)] + [("same", dt.datetime(2024, 1, 3, 1), 2.0)] * 9
+    df = spark.createDataFrame(rows, "metric string, ts timestamp, value double")
+    got = jobs.trend_windows(df, "6 hours", "2 hours").collect()
+    assert {(r["metric"], r["trend"]) for r in got if r["n"] > 40} >= {("up", "flat"), ("down", "flat"), ("level", "flat")}
+    fine = jobs.trend_windows(df, "6 hours", "2 hours", flat=0.004).collect()
+    assert {r["metric"]: r["trend"] for r in fine if r["n"] > 40 and r["metric"] != "level"} == {"up": "increasing", "down": "decreasing"}
+    for r in got:
+        ts = [(t - r["start"]).total_seconds() / 3600 for m, t, v in rows if m == r["metric"] and v is not None and 0 <= (t - r["start"]).total_seconds() < 6 * 3600]
+        v = [v for m, t, v in rows if m == r["metric"] and v is not None and 0 <= (t - r["start"]).total_seconds() < 6 * 3600]
+        assert r["n"] == len(v) and abs(r["slope"] - np.polyfit(ts, v, 1)[0]) < 1e-6 and abs(r["sd"] - np.std(v, ddof=1)) < 1e-6
+    assert not [r for r in got if r["metric"] in ("once", "same")]
