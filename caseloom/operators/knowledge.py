@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import fixed
 from ..functions.columns import filled, text
@@ -13,6 +16,9 @@ from ..session import written
 from .graph import undirected
 from .ordering import first_rows
 
+#: Characters of the terms of one automaton, and of all terms that go to every task.
+SHARD_CHARS, MOST_CHARS = 1 << 20, 1 << 24
+
 
 def _grams(c: str, sizes: Sequence[int]) -> Column:
     """Distinct character grams of the given sizes."""
@@ -24,10 +30,61 @@ def _grams(c: str, sizes: Sequence[int]) -> Column:
     return F.array_distinct(F.concat(*[of_size(n) for n in sizes]))
 
 
-def substring_join(terms: DataFrame, texts: DataFrame, gram: int = 3) -> DataFrame:
+def substring_join(terms: DataFrame, texts: DataFrame, gram: int = 3, shard_chars: int = SHARD_CHARS, most_chars: int = MOST_CHARS) -> DataFrame:
     """Exact pairs (term, id) where ``term`` occurs in ``text``, without comparing
     everything with everything. ``terms(term)``, ``texts(id, text)``.
 
+    The distinct terms go into automata (Aho-Corasick) of up to ``shard_chars``
+    characters, and every text runs through each of them once, in Arrow batches where
+    it is read; no text is shuffled, and a term in a third of them costs no more than
+    its pairs. Terms of more than ``most_chars`` characters in all are not sent to
+    every task; they are found by a join on their rarest gram (``gram_join``)."""
+    words = written(terms.select("term").filter(F.length("term") > 0).distinct(), "terms")
+    size = words.agg(F.sum(F.length("term")).alias("n")).first()["n"] or 0
+    if not size:
+        return terms.select("term").join(texts.select("id"), F.lit(False))
+    if size > most_chars:
+        return gram_join(words, texts, gram)
+    shards: list[list[str]] = [[]]
+    held = 0
+    for term in sorted(r["term"] for r in words.collect()):  # at most most_chars characters
+        if held + len(term) > shard_chars and shards[-1]:
+            shards.append([])
+            held = 0
+        shards[-1].append(term)
+        held += len(term)
+    found = [_occurrences(texts.select("id", "text"), shard) for shard in shards]
+    return functools.reduce(DataFrame.unionByName, found).distinct()
+
+
+def _occurrences(texts: DataFrame, terms: list[str]) -> DataFrame:
+    """(term, id) of the terms in each text, once per text."""
+    held = texts.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for i, term in enumerate(held.value):
+            automaton.add_word(term, i)
+        automaton.make_automaton()
+        names = pa.array(held.value, pa.string())
+        for batch in batches:
+            rows, which = [], []
+            for r, t in enumerate(batch.column(1).to_pylist()):
+                if t:
+                    hits = {i for _, i in automaton.iter(t)}
+                    rows += [r] * len(hits)
+                    which += hits
+            if rows:
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(which)), batch.column(0).take(pa.array(rows))], ["term", "id"])
+
+    return texts.mapInArrow(run, StructType([StructField("term", StringType()), texts.schema["id"]]))
+
+
+def gram_join(terms: DataFrame, texts: DataFrame, gram: int = 3) -> DataFrame:
+    """The pairs of ``substring_join`` for any number of terms.
+
     Every term must contain all its character grams, so it is enough to look it
     up by its *rarest* gram: an equi-join on that gram, then ``contains``. The
     texts are unnested to grams twice, once to count and once to match. The grams

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +103,18 @@ def test_notes_round_trip(spark, tmp_path):
     assert diff.first()["action"] == "UPDATE"
     notes.write_texts(first, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 12
+
+
+def test_terms_are_found_by_automata_and_by_grams(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("ab é") for _ in range(rng.randint(1, n)))
+    terms = sorted({word(5) for _ in range(60)} | {""}) + ["zz"]
+    texts = [(i, t) for i, t in enumerate([word(40) for _ in range(200)] + ["", None, "ab" * 9000] + ["aé"] * 30)]
+    asked, given = spark.createDataFrame([(t,) for t in terms + terms[:5] + [None]], "term string"), spark.createDataFrame(texts, "id long, text string").repartition(5)
+    want = {(t, i) for t in terms if t for i, x in texts if x and t in x}
+    for found in (knowledge.substring_join(asked, given), knowledge.substring_join(asked, given, shard_chars=20), knowledge.substring_join(asked, given, most_chars=3)):
+        rows = [tuple(r) for r in found.collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
+    plan = knowledge.substring_join(asked, spark.createDataFrame(texts, "id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "text" not in plan[: plan.index("MapInArrow")]  # pairs alone are shuffled
+    assert knowledge.substring_join(asked.limit(0), given).count() == 0 == knowledge.substring_join(asked, given.limit(0)).count()
