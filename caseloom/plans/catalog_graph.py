@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import access, density, documents, graph, knowledge, vectors
+from ..operators import access, density, documents, graph, knowledge, projections, vectors
 from ..operators.ordering import first_rows
 from ..sources import tables
 from . import views as V
@@ -259,6 +259,13 @@ def _(spark, sf):
     return j.select("query_id", "rank", "id", F.round("sim", 4).alias("sim"))
 
 
+@query("v03_knn_projected")
+def _(spark, sf):
+    """The same join by buckets of random projections; its recall is measured in the tests."""
+    v = V.vectors(spark, sf)
+    return projections.knn_projected(v.select(F.col("vec_id").alias("query_id"), "vec"), v.select("id", "vec"), 5).withColumn("sim", F.round("sim", 4))
+
+
 @query("v04_hybrid_search", with_views("", "edges", "both", "vectors").rstrip() + f""", sims AS (SELECT 'p' || vec_id AS id, list_cosine_similarity(vec, {Q}) AS s FROM vectors), hits AS (SELECT id, s FROM sims ORDER BY round(s, 9) DESC, id LIMIT 10),
  e1 AS (SELECT dst AS id, max(s) * 0.5::DOUBLE AS s FROM hits JOIN both_ways ON src = id GROUP BY 1)
  SELECT id, round(max(s), 4) AS combined_score, min(h) > 0 AS in_graph_expansion FROM (SELECT id, s, 0 AS h FROM hits UNION ALL SELECT id, s, 1 FROM e1) GROUP BY id""")
