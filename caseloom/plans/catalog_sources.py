@@ -122,17 +122,27 @@ def _(spark, sf):
 
 
 @query("s09_publish_article", with_views("""SELECT lower(replace(category, ' ', '_')) AS slug, 'KB-PC-' || upper(replace(category, ' ', '_')) AS article_id,
- CASE WHEN min(doc_id) % 2 = 0 THEN 'augmented' ELSE 'created' END AS action, CASE WHEN min(doc_id) % 2 = 0 THEN true ELSE false END AS gap_filled
+ CASE WHEN min(doc_id) % 2 = 0 THEN 'augmented' ELSE 'created' END AS action, CASE WHEN min(doc_id) % 2 = 0 THEN true ELSE false END AS gap_filled,
+ count(*) || ' support tickets' AS counted, array_to_string(list_sort(list(ticket_id))[1:8], ', ') || CASE WHEN count(*) > 8 THEN '...' ELSE '' END AS sources
  FROM tickets WHERE has_solution GROUP BY category""", "tickets"))
 def _(spark, sf):
-    return published(V.tickets(spark, sf)).select("slug", "article_id", "action", F.col("text").contains("Partially addressed").alias("gap_filled"))
+    part = lambda pattern: F.regexp_extract("text", pattern, 1)
+    return published(V.tickets(spark, sf)).select("slug", "article_id", "action", F.col("text").contains("Partially addressed").alias("gap_filled"),
+                                                  part(r"\*\*Source:\*\* (\d+ support tickets)").alias("counted"), part(r"\*\*Source tickets:\*\* ([^\n]*)").alias("sources"))
+
+
+@query("s09_article_sources", with_views("SELECT 'KB-PC-' || upper(replace(category, ' ', '_')) AS article_id, ticket_id FROM tickets WHERE has_solution", "tickets"))
+def _(spark, sf):
+    return notes.article_sources(V.tickets(spark, sf))
 
 
 def published(t):
-    """Pages of all categories; each article lists every solved ticket of its category."""
+    """Pages of all categories; each article counts the solved tickets of its category and lists the first eight."""
     context = T.article_context(t)
-    sources = t.filter("has_solution").groupBy("category").agg(F.sort_array(F.collect_list("ticket_id")).alias("source_tickets"))
-    articles = context.join(sources, "category").select("category", F.col("context").alias("article_text"), "source_tickets")
+    solved = t.filter("has_solution")
+    counts = solved.groupBy("category").agg(F.count(F.lit(1)).alias("ticket_total"))
+    shown = first_rows(solved.select("category", "ticket_id"), ["category"], ["ticket_id"], 8).groupBy("category").agg(F.sort_array(F.collect_list("ticket_id")).alias("source_tickets"))
+    articles = context.join(shown, "category").join(counts, "category").select("category", F.col("context").alias("article_text"), "source_tickets", "ticket_total")
     first = t.filter("has_solution").groupBy("category").agg(F.min("doc_id").alias("m"))
     pages = first.filter("m % 2 = 0").select(T.slug_of(F.col("category")).alias("slug"),
                                             F.lit("# Old\n_These gaps will be filled automatically by the KB Mining pipeline._").alias("text"))

@@ -96,15 +96,19 @@ def export_notes(concepts: DataFrame, decisions: DataFrame, contradictions: Data
 def publish_article(pages: DataFrame, articles: DataFrame, as_of: Column, agent: str = "kb.writer", shown: int | None = None) -> DataFrame:
     """Create or extend the page of each article's category. ``pages(slug,
     text)``, ``articles(category, article_text, source_tickets array)`` with one
-    article per category and run; the first ``shown`` tickets are listed, or all. The result is written to a new version path,
-    never over the pages being read."""
+    article per category and run; the first ``shown`` tickets are listed, or all. Where
+    ``articles`` has a column ``ticket_total``, that is how many tickets there are, and the list
+    need only hold the first. The result is written to a new version path, never over the
+    pages being read."""
     L = F.lit
     art = articles.withColumn("slug", slug_of(F.col("category"))).withColumn("article_id", F.concat(L("KB-PC-"), F.upper("slug")))
     tickets = F.coalesce("source_tickets", F.array().cast("array<string>"))
-    listed = F.array_join(tickets, ", ") if shown is None else F.concat(F.array_join(F.slice(tickets, 1, shown), ", "), F.when(F.size(tickets) > shown, "...").otherwise(""))
+    total = F.coalesce("ticket_total", F.size(tickets)) if "ticket_total" in articles.columns else F.size(tickets)
+    first = F.slice(tickets, 1, shown) if shown is not None else tickets
+    listed = F.concat(F.array_join(first, ", "), F.when(total > F.size(first), "...").otherwise(""))
     section = F.concat(
         L("\n---\n\n## "), F.col("article_id"), L(" *(AI-Generated — "), F.date_format(as_of, "yyyy-MM-dd HH:mm"), L(")*\n\n> **Source:** "),
-        F.size(tickets).cast("string"), L(f" support tickets clustered automatically\n> **Agent:** {agent}\n> *Review before publishing — AI-generated content may require expert validation*\n\n"),
+        total.cast("string"), L(f" support tickets clustered automatically\n> **Agent:** {agent}\n> *Review before publishing — AI-generated content may require expert validation*\n\n"),
         F.col("article_text"), L("\n\n**Source tickets:** "), listed, L("\n\n---\n"))
     old = pages.select("slug", F.col("text").alias("_old"))
     cleaned = F.col("_old")
@@ -119,6 +123,12 @@ def publish_article(pages: DataFrame, articles: DataFrame, as_of: Column, agent:
         F.when(F.col("article_id").isNull(), F.col("_old")).when(F.col("_old").isNull(), fresh).otherwise(F.concat(cleaned, section)).alias("text"))
 
 
+def article_sources(tickets: DataFrame) -> DataFrame:
+    """article_id, ticket_id: every solved ticket beside the article of its category,
+    one row each, whatever the size of the category."""
+    return tickets.filter("has_solution").select(F.concat(F.lit("KB-PC-"), F.upper(slug_of(F.col("category")))).alias("article_id"), "ticket_id")
+
+
 def write_texts(df: DataFrame, path: str, name_col: str = "id", text_col: str = "text") -> None:
     """Text sink: one JSON line per note, partitioned by kind where present."""
     out = df.select(*[c for c in ("kind",) if c in df.columns], F.col(name_col).alias("name"), F.col(text_col).alias("text"))

@@ -43,14 +43,16 @@ def test_publish_creates_extends_and_keeps(spark):
     assert got["waiting_lists"]["article_id"] == "KB-PC-WAITING_LISTS" and got["other"]["text"] == "# O"
 
 
-def test_published_articles_list_all_solved_tickets(spark):
+def test_published_articles_count_all_solved_tickets_and_show_eight(spark):
     from caseloom.plans import catalog_sources
 
     t = spark.createDataFrame([(i, f"PC-{i:02}", "A" if i < 12 else "B", i != 3, "s", "p", "x") for i in range(14)],
                               "doc_id long, ticket_id string, category string, has_solution boolean, summary string, problem string, solution string")
     got = {r["slug"]: r["text"] for r in catalog_sources.published(t).collect()}
-    listed = ", ".join(f"PC-{i:02}" for i in range(12) if i != 3)
-    assert "11 support tickets" in got["a"] and f"**Source tickets:** {listed}\n" in got["a"]
+    all_of = [f"PC-{i:02}" for i in range(12) if i != 3]
+    assert "11 support tickets" in got["a"] and f"**Source tickets:** {', '.join(all_of[:8])}...\n" in got["a"]
+    beside = [tuple(r) for r in notes.article_sources(t).collect()]  # every one of them, as rows
+    assert sorted(i for a, i in beside if a == "KB-PC-A") == all_of
     assert "**Source tickets:** PC-12, PC-13\n" in got["b"]
 
 
