@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import tickets as T
 from ..operators.ordering import first_rows
 from ..session import shared_folder
-from ..sources import fhir, notes, otlp, tables
+from ..sources import fhir, notes, otlp, store, tables
 from . import views as V
 from .registry import query
 from .views import CTE, with_views
@@ -219,6 +220,29 @@ def _(spark, sf):
         edges.select(F.col("src").alias("a"), F.col("pred").alias("p"), F.col("dst").alias("b")))
 
 
+def recorded(spark, sf):
+    """Every line item as a recorded decision about its part."""
+    li = V.table(spark, sf, "lineitem")
+    return li.select(F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("concept"), F.concat(F.lit("D"), F.col("l_quantity").cast("long").cast("string")).alias("domain"),
+                    F.col("l_returnflag").alias("rule"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("source"), F.lit("why").alias("rationale"),
+                    F.date_format("l_shipdate", "yyyy").alias("effective_date"), F.concat_ws("/", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice")]).alias("seq"))
+
+
+@query("s17_merge_versions", """WITH upd AS (SELECT 'part_' || l_partkey AS concept_id, 'decision_part_' || l_partkey || '_' || strftime(l_shipdate, '%Y') AS id, 1 + l_orderkey % 2 AS v FROM lineitem),
+ n AS (SELECT version, 'concepts' AS name, count(DISTINCT concept_id) AS n FROM upd, (VALUES (1), (2)) x(version) WHERE v <= version GROUP BY 1
+ UNION ALL SELECT version, 'decisions', count(DISTINCT id) FROM upd, (VALUES (1), (2)) x(version) WHERE v <= version GROUP BY 1
+ UNION ALL SELECT version, 'edges', count(DISTINCT (id, concept_id)) FROM upd, (VALUES (1), (2)) x(version) WHERE v <= version GROUP BY 1)
+SELECT * FROM n""")
+def _(spark, sf):
+    """Two merges into one store, and what each version holds."""
+    upd = recorded(spark, sf).withColumn("v", F.split_part("seq", F.lit("/"), F.lit(1)).cast("long") % 2)
+    held = store.Store(spark, scratch(spark, "graph-store"))
+    for half in (0, 1):
+        store.merge_into(held, upd.filter(F.col("v") == half).drop("v"))
+    parts = [held.read(n, v).agg(F.count(F.lit(1)).alias("n")).select(F.lit(v).alias("version"), F.lit(n).alias("name"), "n") for v in (1, 2) for n in ("concepts", "decisions", "edges")]
+    return functools.reduce(lambda x, y: x.unionByName(y), parts)
+
+
 @query("s17_merge_graph", with_views("""SELECT 'concept' AS kind, coalesce(c.id, n.id) AS id, coalesce(n.domain, c.domain) AS detail FROM concepts c FULL OUTER JOIN
   (SELECT concept_id AS id, arg_max(domain, seq) AS domain FROM upd GROUP BY 1) n ON c.id = n.id
  UNION ALL SELECT 'decision', id, rule FROM decisions
@@ -230,10 +254,7 @@ def _(spark, sf):
 SELECT 'concept'""", 1))
 def _(spark, sf):
     c, d, _x = V.knowledge(spark, sf)
-    li = V.table(spark, sf, "lineitem")
-    upd = li.select(F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("concept"), F.concat(F.lit("D"), F.col("l_quantity").cast("long").cast("string")).alias("domain"),
-                    F.col("l_returnflag").alias("rule"), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("source"), F.lit("why").alias("rationale"),
-                    F.date_format("l_shipdate", "yyyy").alias("effective_date"), F.concat_ws("/", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice")]).alias("seq"))
+    upd = recorded(spark, sf)
     no_edges = spark.createDataFrame([], "src string, pred string, dst string")
     concepts, decisions, edges, conflicts = tables.merge_graph(c, d, no_edges, upd)
     row = lambda df, kind, detail, key="id": df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(detail).alias("detail"))
