@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import sqlfuncs
+from ..functions import sqlfuncs, tablefuncs
 from ..functions.columns import condition_expr, first_match_case, template_expr
-from ..operators import access, runs, traces
+from ..operators import access, documents, runs, traces
 from ..streaming import jobs
 from . import views as V
 from .catalog_analytics import as_of
@@ -250,6 +250,15 @@ def _(spark, sf):
       UNION ALL SELECT 'chunk', d.doc_id, concat(c.chunk, ':', c.score) FROM u02_documents d, LATERAL search_chunks(d.text, 'que the') c""")
 
 
+@query("u02_ranked_chunks", """WITH chunks AS (SELECT doc_id, CAST(c AS INTEGER) AS chunk, substring(text, c * 1000 + 1, 1000) AS text FROM documents, unnest(range(0, (length(text) + 999) // 1000)) u(c)),
+ s AS (SELECT *, CASE WHEN contains(lower(text), 'que') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'tion') THEN 1 ELSE 0 END AS score FROM chunks)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk DESC) AS rank, chunk, score, text AS excerpt FROM s WHERE score > 0 QUALIFY rank <= 3""")
+def _(spark, sf):
+    tablefuncs.register_ranked_chunks(spark)
+    documents.chunk_text(V.texts(spark, sf)).createOrReplaceTempView("u02_chunks")
+    return spark.sql("SELECT * FROM ranked_chunks(TABLE(u02_chunks), 'que the tion', 3)")
+
+
 @query("u05_condition_expr", """SELECT o_orderkey, (o_orderstatus = 'F' AND NOT contains(o_orderpriority, 'HIGH')) OR (o_orderpriority <> '5-LOW' AND o_orderkey % 2 <> 0) AS applies FROM orders""")
 def _(spark, sf):
     o = V.table(spark, sf, "orders").withColumn("flag", F.when(F.col("o_orderkey") % 2 == 0, "off").otherwise("1"))
