@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import access, density, documents, graph, knowledge, projections, vectors
+from ..operators import access, density, documents, graph, knowledge, patterns, projections, vectors
 from ..operators.ordering import first_rows
 from ..sources import tables
 from . import views as V
@@ -213,6 +213,17 @@ def _(spark, sf):
     return graph.discovery_expand(hits, V.edges(spark, sf)).select("query_id", "entity", "pred", "ticket_id")
 
 
+@query("g06_labelled_triangle", """WITH l AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem), op AS (SELECT DISTINCT l_orderkey, l_partkey FROM l), sp AS (SELECT DISTINCT l_suppkey, l_partkey FROM l), os AS (SELECT DISTINCT l_orderkey, l_suppkey FROM l)
+SELECT 'o' || op.l_orderkey AS o, 'p' || op.l_partkey AS p, 's' || sp.l_suppkey AS s FROM op JOIN sp ON sp.l_partkey = op.l_partkey JOIN os ON os.l_orderkey = op.l_orderkey AND os.l_suppkey = sp.l_suppkey JOIN supplier ON s_suppkey = sp.l_suppkey WHERE s_acctbal > 0""")
+def _(spark, sf):
+    """Orders with a part and a supplier of that part who serves the order, whoever sent it."""
+    li, kind = V.table(spark, sf, "lineitem"), lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    edge = lambda a, ca, pred, b, cb: li.select(kind(a, ca).alias("src"), F.lit(pred).alias("pred"), kind(b, cb).alias("dst"))
+    edges = edge("o", "l_orderkey", "AFFECTS", "p", "l_partkey").unionByName(edge("s", "l_suppkey", "SUPPLIES", "p", "l_partkey")).unionByName(edge("o", "l_orderkey", "SERVED_BY", "s", "l_suppkey"))
+    nodes = V.table(spark, sf, "supplier").select(kind("s", "s_suppkey").alias("id"), F.when(F.col("s_acctbal") > 0, "Solvent").otherwise("Other").alias("label"))
+    return patterns.match_pattern(edges, [("o", "AFFECTS", "p"), ("s", "SUPPLIES", "p"), ("o", "SERVED_BY", "s")], {"s": "Solvent"}, nodes)
+
+
 # --- vectors -----------------------------------------------------------------------------
 
 
