@@ -21,7 +21,9 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter, NULL ones too, and those whose calibrated score is too low."""
+    """Drops texts without a letter, NULL ones too, and those whose calibrated score is too low.
+
+    Where no row has a lang to learn from, no text is known and all go."""
     model = language.learn(docs, ~language.folds(F.col("doc_id")))
     found = inputs.free(docs, "found")
     return language.identify(docs, model, F.col("text"), found).filter(~F.col(found)["rejected"]).drop(found)
@@ -35,18 +37,29 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each class of near copies."""
+    """Keeps the document of least doc_id of each class of near copies.
+
+    Texts without words, NULL ones too, are one class. Of rows with one doc_id and
+    text one stays, whichever; a class without any doc_id keeps the row of the least
+    hash of its text. An empty table stays empty."""
     return near_duplicates.one_of_each(docs, docs.columns)
 
 
 def private_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data in ``text``; ``n_chars`` follows the new text."""
+    """Replaces personal data in ``text``; ``n_chars`` follows the new text.
+
+    NULL texts stay NULL, rows are neither dropped nor merged. Set
+    ``caseloom.pseudonym.key``: with the key that is public here a pseudonym can be
+    turned back."""
     out = pseudonyms.pseudonymise(docs, spark.conf.get("caseloom.pseudonym.key", "change me"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all texts into sequences of 2048 tokens."""
+    """Packs all texts into sequences of 2048 tokens.
+
+    A NULL or empty text takes one token, repeated rows are packed each, an empty
+    table gives no rows."""
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 
