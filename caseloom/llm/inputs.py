@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python step handles at once.
@@ -51,8 +51,11 @@ def spread_join(rows: DataFrame, info: DataFrame, key: str, by: str, how: str =
     which adds at most 2 * ``share`` rows. ``rows`` must give the same rows whenever
     it is read.
     """
-    total = rows.count()
-    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter(F.col(key).isNotNull() & (F.col("n") * share > max(total, share))).collect()
+    seen = Observation()
+    counts = rows.observe(seen, F.count(F.lit(1)).alias("n")).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.filter(F.col(key).isNotNull()).orderBy(F.desc("n"), key).limit(share).collect()
+    total = seen.get["n"] if largest else 0
+    hot = [r for r in largest if r["n"] * share > max(total, share)]
     if not hot:
         return rows.join(info, key, how)
     salts = F.broadcast(rows.sparkSession.createDataFrame([(r[key], -(-r["n"] * share // total)) for r in hot], f"{key} {rows.schema[key].dataType.simpleString()}, _salts long"))

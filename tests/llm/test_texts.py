@@ -231,6 +231,26 @@ def test_classes_against_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
 
 
+def test_classes_of_edited_copies_in_rounds(spark, monkeypatch):
+    """Copies of one text with so many edits that a representative misses part of them."""
+    rng = random.Random(12)
+    rows = []
+    for _ in range(3):
+        base = sentence(rng, "en", 90).split()
+        for _ in range(40):
+            new = list(base)
+            for _ in range(rng.randint(0, 3)):
+                new[rng.randrange(len(new))] = f"w{rng.random()}"
+            rows.append(" ".join(new))
+    rows = list(enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(rows)
+    monkeypatch.setattr(near_duplicates, "ROUNDS_FROM", 0)
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicates(docs).collect()} == want
+    monkeypatch.setattr(near_duplicates, "ROUNDS_FROM", 1 << 40)
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicates(docs).collect()} == want
+
+
 def test_classes_of_odd_rows(spark):
     rows = near_duplicates.near_duplicates(odd(spark)).collect()
     assert len(rows) == len(odd_rows())
