@@ -9,6 +9,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ STATISTICS = (
     "log_bytes", "upper", "digits", "marks", "exclamations", "symbols", "line_ends", "beyond_ascii", "word_bytes", "word_bytes_sd",
     "distinct_words", "top_word", "marked_words", "repeated_lines", "line_words")
 WORD_SLICE = 1 << 20
+#: Pairs of sums that come to the driver.
+SUMS = 8
 
 
 def statistics(text: str) -> list[float]:
@@ -150,10 +154,18 @@ def learn(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings
                 right += x.T @ batch.column(0).to_numpy()
                 n += batch.num_rows
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([left.tobytes()]), pa.array([right.tobytes()]), pa.array([n])], ["a", "b", "n"])
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([left.tobytes()]), pa.array([right.tobytes()]), pa.array([n])], ["slice", "a", "b", "n"])
+
+    def added(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("slice")
+        total = [np.sum([np.frombuffer(x.as_py()) for x in rows[c]], axis=0).tobytes() for c in ("a", "b")]
+        return pa.table([[x] for x in (*total, pa.compute.sum(rows["n"]).as_py())], ["a", "b", "n"])
 
     fit = rows.filter("part > 0").repartition(s.slices, "doc_id").sortWithinPartitions("doc_id", "stats").select("quality", "stats")
-    found = fit.mapInArrow(sums, "a binary, b binary, n long").collect()  # one pair of sums per slice
+    each = fit.mapInArrow(sums, "slice int, a binary, b binary, n long")
+    # added up in Spark, so the driver holds SUMS pairs however many slices there are
+    found = each.groupBy((F.col("slice") % SUMS).alias("g")).applyInArrow(added, "a binary, b binary, n long").collect()
     if found:
         left = np.sum([np.frombuffer(r["a"]).reshape(size, size) for r in found], axis=0)
         right = np.sum([np.frombuffer(r["b"]) for r in found], axis=0)
@@ -167,9 +179,11 @@ def learn(docs: DataFrame, labels: DataFrame, learn: Column, settings: Settings
                 raw = fitted.value.raw(np.array(batch.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip((raw + 0.5) / 2 * s.bins, 0, s.bins - 1).astype(np.int64)), pa.array(raw)], ["quality", "bin", "raw"])
 
-    check = rows.filter("part = 0") if rows.filter("part = 0 and quality = 0").limit(1).count() else rows
+    both = rows.filter("part = 0").select("quality").distinct().count() > 1
+    check = rows.filter("part = 0") if both else rows
     bins = check.select("quality", "stats").mapInArrow(raws, "quality double, bin long, raw double").groupBy("bin").agg(F.avg("raw").alias("x"), F.sum("quality").alias("k"), F.count(F.lit(1)).alias("n")).orderBy("bin").collect()
     model.knots, model.levels = isotonic(*(np.array([r[c] for r in bins], np.float64) for c in ("x", "k", "n")))
+    inputs.release()
     return model
 
 
@@ -195,7 +209,13 @@ def folds(doc_id: Column) -> Column:
 
 def quality(docs: DataFrame, labels: DataFrame, settings: Settings | None = None, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted (1 from ``threshold`` on) for every row,
-    learned from labelled rows that aren't held out."""
+    learned from labelled rows that aren't held out.
+
+    A NULL text is scored as an empty one; an id labelled twice is learned with its
+    greater label; a row without doc_id counts as held out. Equal texts score
+    equally, repeated rows each. Without labels all score one half; an empty table
+    gives no rows.
+    """
     model = learn(docs, labels, ~folds(F.col("doc_id")), settings)
     rows = score(inputs.id_text(docs), model, F.col("text"), "score")
     return rows.select("doc_id", folds(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
