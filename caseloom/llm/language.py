@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import first_rows
 from . import inputs
 
 ORDERS = (2, 3, 4)
@@ -26,14 +27,15 @@ SLICE_CHARS = 1 << 20
 class Settings:
     """Bounds of the training sample and of the model.
 
-    The sample takes about ``per_language`` rows of each of the ``languages`` most
-    frequent values, at most ``most_rows`` in all, by a hash of doc_id, from rows of
-    up to ``most_chars`` characters; so the driver holds at most most_rows *
-    most_chars characters. Its last fifth calibrates.
+    Every value of lang is learned. The sample takes up to ``per_language`` rows of each,
+    fewer if there are so many values that this passes ``most_rows``, but always
+    ``least_rows`` where there are as many, by a hash of doc_id; of a text of more than
+    ``most_chars`` characters it takes a stretch of that length at a hashed place. Its last
+    fifth calibrates.
     """
 
     per_language: int = 1000
-    languages: int = 64
+    least_rows: int = 40
     most_rows: int = 6000
     most_chars: int = 8000
     buckets_log2: int = 16
@@ -41,6 +43,7 @@ class Settings:
     epochs: int = 6
     rate: float = 0.5
     accepted_error: float = 0.01
+    floor: float = 0.9
     seed: int = 7
 
 
@@ -115,14 +118,20 @@ def softmax(z: np.ndarray) -> np.ndarray:
 def sample(docs: DataFrame, learn: Column, s: Settings, doc_id: str, text: str, lang: str) -> list[tuple[str, str]]:
     """Bounded (text, language) rows for training, in an order that a hash of doc_id fixes."""
     rows = docs.filter(learn & F.col(lang).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.languages).collect()
+    rows = rows.filter(F.length("text") > 0)
+    counts = [(r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()]  # the model has one vector each
     if not counts:
         return []
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, s.per_language / r["count"]))])
+    each = max(s.least_rows, min(s.per_language, s.most_rows // len(counts)))
     rank = F.xxhash64(F.lit(s.seed), "doc_id")
-    drawn = rows.filter((F.length("text") > 0) & (F.length("text") <= s.most_chars)).withColumn("_rank", rank)
-    drawn = drawn.filter(F.pmod("_rank", F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
-    found = drawn.orderBy("_rank", "doc_id", "text", "lang").limit(s.most_rows).select("text", "lang").collect()
+    place = F.pmod(F.xxhash64(F.lit(s.seed + 1), "doc_id"), F.greatest(F.length("text") - s.most_chars, F.lit(0)) + 1)
+    # by a share first that leaves somewhat more than needed, so that few texts travel
+    share = (2 * each / F.col("_n") * (1 << 30)).cast("long")
+    sizes = F.broadcast(docs.sparkSession.createDataFrame(counts, "lang string, _n long"))  # as many rows as the model has
+    drawn = rows.join(sizes, "lang").filter((F.col("_n") <= 4 * each) | (F.pmod(rank, F.lit(1 << 30)) < share))
+    drawn = drawn.select("doc_id", "lang", rank.alias("_rank"), F.substring(F.col("text"), (place + 1).cast("int"), F.lit(s.most_chars)).alias("text"))
+    drawn = first_rows(drawn, ["lang"], ["_rank", "doc_id", "text"], each, "_nth")
+    found = drawn.orderBy("_rank", "doc_id", "text", "lang").select("text", "lang").collect()
     return list(dict.fromkeys((r["text"], r["lang"]) for r in found))
 
 
@@ -171,14 +180,18 @@ def train(rows: list[tuple[str, str]], s: Settings) -> Model:
     falling, errors, n = top[order], np.cumsum(wrong[order]), np.arange(1, len(y) + 1)
     expected = s.accepted_error * n
     good = np.flatnonzero((errors <= expected + 2 * np.sqrt(expected) + 1) & np.append(falling[1:] < falling[:-1], True))
-    threshold = float(np.nextafter(falling[0], 2)) if not len(good) else 0.0 if good[-1] == len(y) - 1 else float(falling[good[-1]])
+    threshold = float(np.nextafter(falling[0], 2)) if not len(good) else float(falling[good[-1]])
+    if len(good) and good[-1] == len(y) - 1:  # no wrong answers to keep out: what is clearly less sure than any right one still goes
+        threshold = s.floor * float(top[~wrong].min(initial=1.0))
     return Model(names, [np.ascontiguousarray(scores[:, i]) for i in range(len(names))], bias.astype(np.float64), temperature, threshold, s.buckets_log2)
 
 
 def learn(docs: DataFrame, learn: Column, settings: Settings | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """Train on a bounded sample of the rows where ``learn`` holds and lang is not NULL."""
     s = settings or Settings()
-    return train(sample(docs, learn, s, doc_id, text, lang), s)
+    model = train(sample(docs, learn, s, doc_id, text, lang), s)
+    inputs.release()  # the driver keeps the weights alone
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text: Column, into: str) -> DataFrame:
@@ -207,7 +220,13 @@ def folds(doc_id: Column) -> Column:
 
 def language_id(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row, learned from
-    rows that aren't held out."""
+    rows that aren't held out.
+
+    A text that is NULL or has no letter is ``und`` with score 0; a NULL lang is not
+    learned from; without rows to learn from all texts are ``und``. Of equally likely
+    values the first in order is taken. Repeated rows are answered each, a row without
+    doc_id counts as held out, and an empty table gives no rows.
+    """
     model = learn(docs, ~folds(F.col("doc_id")), settings)
     found = identify(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), model, F.col("text"), "_found")
     return found.select("doc_id", folds(F.col("doc_id")).alias("held_out"), "_found.lang_pred", "_found.score", "_found.rejected")

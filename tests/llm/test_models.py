@@ -2,12 +2,13 @@
 
 import collections
 import math
+import random
 import re
 import zlib
 
 import numpy as np
 import pytest
-from corpus import corpus, empty, odd, odd_rows
+from corpus import corpus, empty, odd, odd_rows, sentence
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -26,6 +27,29 @@ def test_languages_are_learned_and_held_out_rows_predicted(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_every_value_is_learned(spark):
+    rng = random.Random(11)
+    rows = []
+    for n in range(70):  # more values than any limit, one of them with long texts alone
+        syllables = ["".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiouyäöå") for _ in range(2)) for _ in range(6)]
+        for _ in range(12):
+            rows.append((len(rows), " ".join(rng.choice(syllables) for _ in range(6000 if n == 3 else 30)), f"l{n:02d}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in language.language_id(docs, language.Settings(epochs=25)).collect()}
+    right = [found[i]["lang_pred"] == lang for i, _, lang in rows if lang]
+    assert sum(right) > 0.97 * len(right) and {r["lang_pred"] for r in found.values()} >= {f"l{n:02d}" for n in range(70)}
+    assert len(language.sample(docs, F.lit(True), language.Settings(least_rows=5, most_rows=70, most_chars=50), "doc_id", "text", "lang")) == 350
+
+
+def test_unsure_texts_are_rejected_and_clean_ones_stay():
+    rng = random.Random(4)
+    rows = [(sentence(rng, lang, rng.randint(20, 60)), lang) for lang in ("en", "fr") * 300]
+    model = language.train(rows[:500], language.Settings())
+    assert 0 < model.threshold < 1
+    assert sum(model.predict(t)[1] < model.threshold for t, _ in rows[500:]) <= 1
+    assert model.predict("ξψω λκδθ φχς ΩΨΞ " * 5)[1] < model.threshold
+
+
 def test_language_of_odd_texts(spark):
     rows = language.language_id(odd(spark)).collect()
     assert len(rows) == len(odd_rows())
@@ -152,3 +176,13 @@ def test_native_plans_hold_no_python(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_ridge_weights_are_those_of_a_direct_solve(spark):
+    docs, labels = corpus(spark)
+    s = quality_model.Settings(slices=5, features=40)
+    model = quality_model.learn(docs, labels, F.lit(True), s)
+    rows = quality_model.labelled(docs, labels, F.lit(True), s).filter(F.pmod(F.xxhash64(F.lit(s.seed + 1), "doc_id"), F.lit(4)) > 0).collect()
+    x, y = model.features(np.array([r["stats"] for r in rows])), np.array([r["quality"] for r in rows])
+    want = np.linalg.solve(x.T @ x / len(x) + s.ridge * np.eye(x.shape[1]), x.T @ y / len(x))
+    assert len(rows) > 50 and np.allclose(model.weights, want, atol=1e-6)
