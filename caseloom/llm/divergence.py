@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -38,8 +38,10 @@ _PARTIAL = pa.schema([("lang", pa.string()), ("block", pa.int32()), ("bucket", p
 BLOCK = "lang string, block int, sources array<string>, totals array<long>, terms array<string>, term array<int>, source array<int>, n array<long>"
 _BLOCK = pa.schema([("lang", pa.string()), ("block", pa.int32()), ("sources", pa.list_(pa.string())), ("totals", pa.list_(pa.int64())), ("terms", pa.list_(pa.string())),
                     ("term", pa.list_(pa.int32())), ("source", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
-FOUND = "lang string, source string, part string, item string, value long"
-_FOUND = pa.schema([("lang", pa.string()), ("source", pa.string()), ("part", pa.string()), ("item", pa.string()), ("value", pa.int64())])
+FOUND = "lang string, source string, sums array<long>, terms array<string>, excess array<long>"
+_FOUND = pa.schema([("lang", pa.string()), ("source", pa.string()), ("sums", pa.list_(pa.int64())), ("terms", pa.list_(pa.string())), ("excess", pa.list_(pa.int64()))])
+RANKED = "lang string, source string, part string, item string, value long, rank int"
+_RANKED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("part", pa.string()), ("item", pa.string()), ("value", pa.int64()), ("rank", pa.int32())])
 
 
 @dataclass(frozen=True)
@@ -202,7 +204,8 @@ def best_terms(term: np.ndarray, source: np.ndarray, n: np.ndarray, n_terms: int
 
 
 def block_results(blocks: DataFrame, profiles: DataFrame, s: Settings) -> DataFrame:
-    """Sums of pairs and candidate terms of each block."""
+    """A row per block and source: its sums over the sources of the language, in the
+    order of the profile, and its candidate terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,19 +219,45 @@ def block_results(blocks: DataFrame, profiles: DataFrame, s: Settings) -> DataFr
                 entry = flat("term").astype(np.int64), source, flat("n"), len(value("terms"))
                 totals, v = flat("all_totals").astype(np.int64), value("v").as_py()
                 sums = pair_sums(*entry, totals, v, s.scale)
-                a, b = np.nonzero(sums)
-                for lo in range(0, len(a), CELLS // 16):
-                    part = slice(lo, lo + CELLS // 16)
-                    yield inputs.record(_FOUND, [[lang] * len(a[part]), [names[x] for x in a[part]], ["pair"] * len(a[part]), [names[x] for x in b[part]], sums[a[part], b[part]]])
                 src, term, excesses = best_terms(*entry, totals, v, s.scale, s.top)
                 words = value("terms").values.take(pa.array(term))
-                yield inputs.record(_FOUND, [[lang] * len(src), [names[x] for x in src], ["term"] * len(src), words, excesses])
+                bounds = np.searchsorted(src, np.arange(len(names) + 1))
+                step = max(1, CELLS // len(names))
+                for lo in range(0, len(names), step):
+                    part = range(lo, min(lo + step, len(names)))
+                    cut = [slice(bounds[x], bounds[x + 1]) for x in part]
+                    yield inputs.record(_FOUND, [[lang] * len(part), [names[x] for x in part], list(sums[part.start : part.stop]), [words[c].to_pylist() for c in cut], [excesses[c] for c in cut]])
 
     # one copy of a language's profile per block: the key is never hot
     given = blocks.select("lang", "block").join(profiles, "lang").withColumnsRenamed({"sources": "all_sources", "totals": "all_totals"})
     return blocks.join(given, ["lang", "block"]).mapInArrow(run, FOUND)
 
 
+def ranked(found: DataFrame, profiles: DataFrame, top: int) -> DataFrame:
+    """The rows of the audit, a group per source of a language: a row per block, added up
+    number by number, so no pair of sources is a row before it is one of the result."""
+
+    def merge(rows: pa.Table) -> pa.Table:
+        lang, source = rows["lang"][0].as_py(), rows["source"][0].as_py()
+        names = next(x for x in rows["names"] if x.is_valid).as_py()
+        sums = np.zeros(len(names), np.int64)
+        for x in rows["sums"]:
+            if x.is_valid:
+                sums += x.values.to_numpy()
+        value = lambda c: [x for part in rows[c].to_pylist() if part for x in part]
+        pairs = [(n, x) for n, x in zip(names, sums.tolist(), strict=True) if n != source]
+        out: list[tuple] = []
+        for part, items, most in (("pair", pairs, len(pairs)), ("term", list(zip(value("terms"), value("excess"), strict=True)), top)):
+            items.sort(key=lambda x: (-x[1], x[0].encode("utf-8", "surrogatepass")))
+            out += [(lang, source, part, item, n, rank) for rank, (item, n) in enumerate(items[:most], 1)]
+        return pa.Table.from_batches([inputs.record(_RANKED, zip(*out, strict=True))] if out else [], _RANKED)
+
+    given = profiles.select("lang", F.explode("sources").alias("source"), "sources")
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    given = given.select("lang", "source", none("sums", "array<long>"), none("terms", "array<string>"), none("excess", "array<long>"), F.col("sources").alias("names"))
+    return found.withColumn("names", F.lit(None).cast("array<string>")).unionByName(given).groupBy("lang", "source").applyInArrow(merge, RANKED)
+
+
 def audit(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     """lang, source, part, item, value, rank.
 
@@ -260,11 +289,4 @@ def audit(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
     profiles = profiles.join(terms, "lang", "left").select("lang", F.col("x.source").alias("sources"), F.col("x.total").alias("totals"), F.coalesce("v", F.lit(0).cast("long")).alias("v"))
     profiles = written(profiles, "term-profiles")
 
-    found = written(block_results(held, profiles, s), "term-results")
-    pairs = profiles.select("lang", F.explode("sources").alias("source"), "sources").select("lang", "source", F.explode("sources").alias("item")).filter("source <> item")
-    pairs = pairs.select("lang", "source", "item", F.lit(0).cast("long").alias("value"))
-    pairs = pairs.union(found.filter("part = 'pair' and source <> item").select("lang", "source", "item", "value")).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
-    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    pairs = pairs.withColumn("rank", F.row_number().over(order)).select("lang", "source", F.lit("pair").alias("part"), "item", "value", "rank")
-    best = found.filter("part = 'term'").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= s.top)
-    return pairs.union(best.select(*pairs.columns))
+    return ranked(written(block_results(held, profiles, s), "term-results"), profiles, s.top)

@@ -101,6 +101,15 @@ def test_sums_in_small_tables_are_the_same(monkeypatch):
     assert (divergence.pair_sums(*args) == whole).all() and whole.any()
 
 
+def test_blocks_hand_on_a_row_per_source_not_per_pair(spark, monkeypatch):
+    docs = spark.createDataFrame([(t, "en", f"s{i % 12}") for i, t in enumerate(["one two three", "two three four", "four five one"] * 12)], "text string, lang string, source string")
+    found, written = [], divergence.written
+    monkeypatch.setattr(divergence, "written", lambda df, name: (found.append((name, df.count())), written(df, name))[1])
+    assert divergence.audit(docs, Settings(blocks=5)).filter("part = 'pair'").count() == 12 * 11
+    rows = dict(found)
+    assert 0 < rows["term-results"] <= rows["term-blocks"] * 12
+
+
 def test_divergence_of_odd_rows(spark):
     rows = [(r[2], r[3], r[1]) for r in odd_rows()]
     assert audited(odd(spark), least_docs=1, top=4) == brute_audit(rows, 1, 4)
