@@ -13,7 +13,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -192,7 +191,7 @@ def entropy_ranks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["level", "n"])
 
-    rows = inputs.id_text(docs, doc_id, text).mapInArrow(run, "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()
+    rows = inputs.id_text(docs, doc_id, text).mapInArrow(inputs.released(run), "level long, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(LEVELS, np.int64)
     for r in rows:
         counts[r["level"]] = r["n"]
@@ -214,7 +213,7 @@ def fingerprint(docs: DataFrame, rank: np.ndarray | None = None, doc_id: str = "
             for first, texts in inputs.steps(batch):
                 yield inputs.record(schema, [batch.column(0).slice(first, len(texts)), [to_text(*digest(t.encode("utf-8", "surrogatepass"), held.value)) for t in texts]])
 
-    return inputs.id_text(docs, doc_id, text).mapInArrow(run, "doc_id long, fingerprint string")
+    return inputs.id_text(docs, doc_id, text).mapInArrow(inputs.released(run), "doc_id long, fingerprint string")
 
 
 EDITS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -233,9 +232,9 @@ def neighbours(docs: DataFrame, slices: int) -> DataFrame:
     marks = keyed.agg(F.percentile_approx("key", [i / slices for i in range(1, slices)] or [0.5], 10 * slices)).first()[0] or []
     bounds = np.unique(np.array(marks, np.int64))
 
-    @F.pandas_udf("int")
-    def slice_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, key.to_numpy(), side="right").astype(np.int32))
+    @F.arrow_udf("int")
+    def slice_of(key: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(bounds, key.to_numpy(), side="right").astype(np.int32))
 
     dealt = keyed.withColumn("slice", slice_of("key"))
     firsts = {r["slice"]: r["key"] for r in keyed.select("key").withColumn("slice", slice_of("key")).groupBy("slice").agg(F.min("key").alias("key")).collect()}
@@ -243,12 +242,11 @@ def neighbours(docs: DataFrame, slices: int) -> DataFrame:
     before = {s: there[i - 1] for i, s in enumerate(there)}
     starts, hosts = np.array([firsts[s] for s in there], np.int64), np.array([before[s] for s in there], np.int32)
 
-    @F.pandas_udf("int")
-    def host_of(key: pd.Series) -> pd.Series:
+    @F.arrow_udf("int")
+    def host_of(key: pa.Array) -> pa.Array:
         """The slice that has this key as a guest, or NULL."""
         at = np.minimum(np.searchsorted(starts, key.to_numpy()), len(starts) - 1)
-        hit = starts[at] == key.to_numpy()
-        return pd.Series(np.where(hit, hosts[at], -1)).where(pd.Series(hit)).astype("Int32")
+        return pa.array(hosts[at], pa.int32(), mask=starts[at] != key.to_numpy())
 
     copies = F.array(F.struct("slice", F.lit(False).alias("guest")), F.when(F.col("host").isNotNull(), F.struct(F.col("host").alias("slice"), F.lit(True).alias("guest"))))
     rows = dealt.withColumn("host", host_of("key") if there else F.lit(None).cast("int"))
@@ -295,4 +293,4 @@ def edits(docs: DataFrame, slices: int | None = None) -> DataFrame:
                     yield inputs.record(_EDITS, zip(*out, strict=True))
 
     dealt = neighbours(docs, slices).repartition("slice").sortWithinPartitions("slice", "guest", "key", "text")
-    return dealt.select("slice", "doc_id", "text", "guest").mapInArrow(run, EDITS)
+    return dealt.select("slice", "doc_id", "text", "guest").mapInArrow(inputs.released(run), EDITS)

@@ -184,6 +184,14 @@ def test_edits_against_brute_force(spark, slices):
     assert len(prints) == 1
 
 
+def test_workers_of_edits_stay_small(spark, monkeypatch):
+    """Memory goes back after every task, and rows are dealt without pandas in the workers."""
+    freed, released = [], digests.inputs.released
+    monkeypatch.setattr(digests.inputs, "released", lambda run: (freed.append(run), released(run))[1])
+    assert digests.edits(odd(spark), 3).count() and len(freed) == 2
+    assert not hasattr(digests, "pd")
+
+
 def test_edits_of_few_rows(spark):
     assert digests.edits(empty(spark), 4).count() == 0
     one = spark.createDataFrame([(5, "abcd")], "doc_id long, text string")
