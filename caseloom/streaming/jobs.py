@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.patients import readiness_rule
 from ..operators.runs import RUN_ENDS
@@ -136,25 +134,21 @@ def expire_sessions_stream(calls: DataFrame, ttl: str = "24 hours", watermark: s
             .agg(F.max("ts").alias("updated")).select("session_id", "updated"))
 
 
-RUN_STATE = "seen array<struct<pos:long,type:string,tool:string,principal:string>>"
-RUN_ROW = "run_id string, status string, awaiting string, decided_by string, illegal long"
+def replayed(log: Column) -> Column:
+    """status, awaiting, decided_by, illegal after the (pos, type, tool, principal) of a run, as a struct."""
+    none = F.lit(None).cast("string")
+    state = lambda status, awaiting, by, illegal: F.struct(status.alias("status"), awaiting.alias("awaiting"), by.alias("decided_by"), illegal.alias("illegal"))
+    ends = F.create_map(*[F.lit(v) for kv in RUN_ENDS.items() for v in kv])
 
+    def step(s: Column, e: Column) -> Column:
+        live = ~s["status"].isin(*RUN_ENDS.values())
+        waiting = s["status"] == "awaiting_approval"
+        decided = F.when(waiting, state(F.lit("running"), none, e["principal"], s["illegal"])).otherwise(state(s["status"], s["awaiting"], s["decided_by"], s["illegal"] + 1))
+        return (F.when(e["type"] == "approval_decided", decided)
+                .when(live & (e["type"] == "approval_requested"), state(F.lit("awaiting_approval"), e["tool"], s["decided_by"], s["illegal"]))
+                .when(live & e["type"].isin(*RUN_ENDS), state(F.element_at(ends, e["type"]), none, s["decided_by"], s["illegal"])).otherwise(s))
 
-def replay(log: list[tuple]) -> tuple:
-    """status, awaiting, decided_by, illegal after the (pos, type, tool, principal) of a run."""
-    status, awaiting, by, illegal = "running", None, None, 0
-    for _pos, kind, tool, who in sorted(log):
-        ended = status in RUN_ENDS.values()
-        if kind == "approval_decided":
-            if status == "awaiting_approval":
-                status, awaiting, by = "running", None, who
-            else:
-                illegal += 1
-        elif not ended and kind == "approval_requested":
-            status, awaiting = "awaiting_approval", tool
-        elif not ended and kind in RUN_ENDS:
-            status, awaiting = RUN_ENDS[kind], None
-    return status, awaiting, by, illegal
+    return F.aggregate(F.array_sort(log), state(F.lit("running"), none, none, F.lit(0).cast("long")), step)
 
 
 def run_state_stream(events: DataFrame) -> DataFrame:
@@ -163,17 +157,9 @@ def run_state_stream(events: DataFrame) -> DataFrame:
     A run's state is its requests, decisions and ends so far: a late event with a
     lower ``pos`` takes its place among them, so the result is that of the batch
     form whatever the order of arrival. Plain steps only make the run known; they
-    are read batch by batch and not stored. Waiting runs have no time-out."""
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        log = [tuple(r) for r in state.get[0]] if state.exists else []
-        for rows in batches:
-            gates = rows[rows["type"].isin(["approval_requested", "approval_decided", *RUN_ENDS])]
-            log += [(int(p), t, a, w) for p, t, a, w in zip(gates["pos"], gates["type"], gates["tool"], gates["principal"])]
-        log.sort()
-        state.update((log,))
-        status, awaiting, by, illegal = replay(log)
-        yield pd.DataFrame({"run_id": [key[0]], "status": [status], "awaiting": [awaiting], "decided_by": [by], "illegal": [illegal]})
-
-    rows = events.select("run_id", "pos", "type", "tool", "principal")
-    return rows.groupBy("run_id").applyInPandasWithState(advance, RUN_ROW, RUN_STATE, "update", GroupStateTimeout.NoTimeout)
+    are read batch by batch and not stored. Waiting runs have no time-out. State is an
+    aggregate of Spark's, so a run costs a row and not a call of Python."""
+    gate = F.col("type").isin("approval_requested", "approval_decided", *RUN_ENDS)
+    event = F.struct(F.col("pos").cast("long").alias("pos"), "type", "tool", "principal")
+    log = events.groupBy("run_id").agg(F.collect_list(F.when(gate, event)).alias("log"))
+    return log.select("run_id", replayed(F.col("log")).alias("s")).select("run_id", "s.*")

@@ -1,4 +1,5 @@
 import datetime as dt
+import itertools
 import random
 
 import pytest
@@ -50,6 +51,27 @@ def test_run_state_stream_equals_batch(spark, tmp_path):
     assert {k: v[1] for k, v in seen.items()} == WANT and max(v[0] for v in seen.values()) >= 3
 
 
+def test_replay_follows_the_rules_and_runs_without_python(spark, tmp_path):
+    """Every sequence of up to four gates, by the fold and by hand."""
+    kinds = {"q": "approval_requested", "d": "approval_decided", "s": "run_succeeded", "f": "run_failed"}
+    rows, want = [], {}
+    for run in ("".join(x) for n in range(5) for x in itertools.product(kinds, repeat=n)):
+        status, tool, by, illegal = "running", None, None, 0
+        for i, k in enumerate(run):
+            if k == "d":
+                if status == "awaiting_approval":
+                    status, tool, by = "running", None, f"p{i}"
+                else:
+                    illegal += 1
+            elif status in ("running", "awaiting_approval"):
+                status, tool = {"q": ("awaiting_approval", f"t{i}"), "s": ("succeeded", None), "f": ("failed", None)}[k]
+        want[f"r{run}"] = (status, tool, by, illegal)
+        rows += [(f"r{run}", -1, "step", "t", "p")] + [(f"r{run}", i, kinds[k], f"t{i}", f"p{i}") for i, k in enumerate(run)]
+    random.Random(2).shuffle(rows)
+    state = jobs.run_state_stream(spark.createDataFrame(rows, "run_id string, pos long, type string, tool string, principal string"))
+    assert pick(state) == want and "Python" not in state._jdf.queryExecution().toString() and "Pandas" not in state._jdf.queryExecution().toString()
+
+
 def test_visible_runs(spark):
     who = spark.createDataFrame([("boss", ["approver"]), ("ann", ["caller"]), ("bob", ["caller"]), ("eve", ["guest"])], "principal string, roles array<string>")
     r = spark.createDataFrame([("r1", "ann"), ("r2", "boss"), ("r3", "eve")], "run_id string, requester string")
