@@ -83,11 +83,13 @@ def drained(spark, stream, mode, name, write=None):
     return spark.read.option("basePath", out).parquet(f"{out}/epoch=*") if write.__name__ == "<lambda>" else None
 
 
-def arriving(spark, df, name, files=1):
-    """The rows as a stream of so many files, one per batch."""
+def arriving(spark, df, name, batches=1):
+    """The rows as a stream of so many batches, dealt over them evenly. A batch is as
+    many files as the session has shuffle partitions, so no task writes or reads it whole."""
     path = scratch(spark, name)
-    df.repartition(files).write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    df.repartition(batches * int(spark.conf.get("spark.sql.shuffle.partitions"))).write.parquet(path)
+    files = len(spark.read.schema(df.schema).parquet(path).inputFiles())
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(path)
 
 
 @query("r04_run_state_stream", STATES + " SELECT run_id, status, awaiting, decided_by, illegal FROM states")

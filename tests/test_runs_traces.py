@@ -72,6 +72,17 @@ def test_replay_follows_the_rules_and_runs_without_python(spark, tmp_path):
     assert pick(state) == want and "Python" not in state._jdf.queryExecution().toString() and "Pandas" not in state._jdf.queryExecution().toString()
 
 
+def test_a_batch_of_a_stream_is_many_files(spark, tmp_path, monkeypatch):
+    from caseloom.plans import catalog_runs
+
+    for n in (1, 3):
+        monkeypatch.setattr(catalog_runs, "scratch", lambda spark, name: str(tmp_path / f"{n}-{name}"))  # noqa: B023
+        got = catalog_runs.drained(spark, catalog_runs.arriving(spark, spark.range(4000), "arrivals", n), "append", "arrived")
+        per = {r["epoch"]: r["count"] for r in got.groupBy("epoch").count().collect()}
+        assert len(per) == n and sum(per.values()) == 4000 and min(per.values()) > 4000 // n // 2
+        assert len(list((tmp_path / f"{n}-arrivals").glob("*.parquet"))) == 4 * n
+
+
 def test_visible_runs(spark):
     who = spark.createDataFrame([("boss", ["approver"]), ("ann", ["caller"]), ("bob", ["caller"]), ("eve", ["guest"])], "principal string, roles array<string>")
     r = spark.createDataFrame([("r1", "ann"), ("r2", "boss"), ("r3", "eve")], "run_id string, requester string")
