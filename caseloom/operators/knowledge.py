@@ -113,8 +113,9 @@ def concept_matches(terms: DataFrame, concepts: DataFrame) -> DataFrame:
 def knowledge_context(terms: DataFrame, concepts: DataFrame, decisions: DataFrame, limit: int | None = None) -> DataFrame:
     """Governing decisions of every concept a term names; a term that names none
     gives one row with ``found`` false. With a ``limit`` the first rows per term,
-    and how many more there are; each concept's decisions are cut before the join."""
-    hits = concept_matches(terms, concepts).withColumnRenamed("id", "concept_id")
+    and how many more there are; each concept's decisions are cut before the join.
+    The rows found are not shuffled by term."""
+    hits = written(concept_matches(terms, concepts).withColumnRenamed("id", "concept_id"), "matches")  # read twice
     facts = decisions.select("concept_id", F.col("id").alias("decision_id"), "rule", "source", "rationale", "effective_date")
     asked = terms.select(F.lower("term").alias("term")).distinct()
     if limit is None:
@@ -125,20 +126,26 @@ def knowledge_context(terms: DataFrame, concepts: DataFrame, decisions: DataFram
         rows = hits.join(first_rows(facts, ["concept_id"], ["decision_id"], limit).drop("rank"), "concept_id", "left")
         rows = first_rows(rows, ["term"], ["concept_id", F.asc_nulls_first("decision_id")], limit).drop("rank")
         rows = rows.join(all_of, "term").withColumn("n_more", F.greatest(F.col("_n") - limit, F.lit(0))).drop("_n")
-    return asked.join(rows, "term", "left").withColumn("found", F.col("concept_id").isNotNull())
+    # rows carry asked terms alone, so they are not moved to meet them; only terms without a hit are added
+    missed = asked.join(hits.select("term").distinct(), "term", "left_anti")
+    rows = rows.select("term", *[c for c in rows.columns if c != "term"])
+    return rows.unionByName(missed, allowMissingColumns=True).withColumn("found", F.col("concept_id").isNotNull())
 
 
 def contradiction_gate(terms: DataFrame, concepts: DataFrame, contradictions: DataFrame, limit: int = 20) -> DataFrame:
     """Is a term blocked by unresolved contradictions? Counts all of them, lists
-    the first ``limit`` and says how many more there are. Counts and first rows are
-    taken per concept, below the join with the terms that name it."""
+    the first ``limit`` and says how many more there are. Counts are taken per concept,
+    below the join with the terms that name it. The first rows of a term lie in the
+    ``limit`` concepts whose own first rows come first, so only those are opened."""
     open_ = contradictions.filter(F.col("status") == "UNRESOLVED").select(
         "concept_id", F.col("id").alias("ct_id"), "statement_a", "source_a", "statement_b", "source_b", "owner")
     matches = written(concept_matches(terms, concepts).withColumnRenamed("id", "concept_id"), "matches")  # read twice
-    per = open_.groupBy("concept_id").agg(F.count(F.lit(1)).alias("_n"))
-    counts = matches.join(per, "concept_id").groupBy("term").agg(F.sum("_n").alias("unresolved_count"))
-    few = first_rows(open_, ["concept_id"], ["ct_id"], limit).drop("rank")
-    shown = first_rows(matches.join(few, "concept_id"), ["term"], ["ct_id"], limit).groupBy("term").agg(
+    per = open_.groupBy("concept_id").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("ct_id")).alias("_first"))
+    named = written(matches.join(per, "concept_id"), "open-concepts")  # read twice
+    counts = named.groupBy("term").agg(F.sum("_n").alias("unresolved_count"))
+    near = written(first_rows(named.select("term", "concept_id", "_first"), ["term"], ["_first", "concept_id"], limit).select("term", "concept_id"), "first-concepts")
+    few = first_rows(open_.join(near.select("concept_id").distinct(), "concept_id", "left_semi"), ["concept_id"], ["ct_id"], limit).drop("rank")
+    shown = first_rows(near.join(few, "concept_id"), ["term"], ["ct_id"], limit).groupBy("term").agg(
         F.sort_array(F.collect_list(F.struct("ct_id", "statement_a", "source_a", "statement_b", "source_b", "owner"))).alias("detail"))
     asked = terms.select(F.lower("term").alias("term")).distinct()
     out = asked.join(counts, "term", "left").join(shown, "term", "left")
@@ -173,14 +180,16 @@ def related_evidence(terms: DataFrame, nodes: DataFrame, edges: DataFrame, limit
     hits = written(found.join(probes, ["probe", "kind"]).select("term", "id").distinct(), "hits")
     links = undirected(edges).select(F.col("src").alias("id"), F.col("pred").alias("relationship"), F.col("dst").alias("related")).distinct()
     if limit is None:
-        top = hits.join(links, "id").withColumn("n_more", F.lit(0).cast("long"))
+        # a link gets its name before it meets the terms, which make several rows of it
+        called = links.join(hits.select("id").distinct(), "id", "left_semi").join(nodes.select(F.col("id").alias("related"), "name"), "related", "left")
+        named = hits.join(called, "id").withColumn("n_more", F.lit(0).cast("long")).withColumnRenamed("id", "concept")
     else:
         degree = links.groupBy("id").agg(F.count(F.lit(1)).alias("_d"))
         all_of = hits.join(degree, "id").groupBy("term").agg(F.sum("_d").alias("_n"))
         few = first_rows(links, ["id"], ["relationship", "related"], limit).drop("rank")
         top = first_rows(hits.join(few, "id"), ["term"], ["id", "relationship", "related"], limit).drop("rank").join(all_of, "term")
         top = top.withColumn("n_more", F.greatest(F.col("_n") - limit, F.lit(0)))
-    named = top.withColumnRenamed("id", "concept").join(nodes.select(F.col("id").alias("related"), "name"), "related", "left")
+        named = top.withColumnRenamed("id", "concept").join(nodes.select(F.col("id").alias("related"), "name"), "related", "left")
     return named.select("term", "concept", "relationship", "related", F.when(filled("name"), F.col("name")).otherwise(F.col("related")).alias("name"), "n_more")
 
 

@@ -31,3 +31,35 @@ def test_decisions_are_made_distinct_as_numbers(spark, capsys):
     for rows in (decisions, contradictions):
         groups = [x for x in plan_of(rows, capsys).splitlines() if "HashAggregate" in x]
         assert groups and all("l_orderkey" in x.split("functions=")[0] and "concept_id" not in x for x in groups)
+
+
+def concepts_and_lines(spark):
+    concepts = spark.createDataFrame([(f"part_{i}", f"bolt {i % 3}", [f"b#{i}"]) for i in range(60)], "id string, name string, aliases array<string>")
+    lines = spark.createDataFrame([(f"x{(i * 37) % 900:04d}", f"part_{i % 60}", "UNRESOLVED", "a", "s", "b", "t", "o", "r", "c", "d") for i in range(900)],
+                                  "id string, concept_id string, status string, statement_a string, source_a string, statement_b string, source_b string, owner string, rule string, rationale string, effective_date string")
+    return concepts, lines.selectExpr("*", "source_a AS source")
+
+
+def test_context_adds_terms_without_a_hit(spark, monkeypatch):
+    seen = written_by(monkeypatch, knowledge)
+    concepts, lines = concepts_and_lines(spark)
+    terms = spark.createDataFrame([("bolt 1",), ("nowhere",)], "term string")
+    rows = knowledge.knowledge_context(terms, concepts, lines).collect()
+    assert len(seen["matches"]) == 1  # the rows found are not joined with the terms
+    assert sum(r["term"] == "bolt 1" for r in rows) == 300 and [r["decision_id"] for r in rows if not r["found"]] == [None]
+
+
+def test_gate_opens_only_the_first_concepts(spark, monkeypatch):
+    seen = written_by(monkeypatch, knowledge)
+    concepts, lines = concepts_and_lines(spark)
+    gate = knowledge.contradiction_gate(spark.createDataFrame([("bolt",)], "term string"), concepts, lines, limit=7).first()
+    assert seen["first-concepts"][0].count() == 7
+    assert gate["unresolved_count"] == 900 and [d["ct_id"] for d in gate["detail"]] == sorted(r["id"] for r in lines.collect())[:7]
+
+
+def test_links_are_named_before_they_meet_terms(spark, capsys):
+    nodes = spark.range(3_000_000).selectExpr("concat('n', id) AS id", "concat('name ', id % 5) AS name")
+    edges = spark.range(3_000_000).selectExpr("concat('n', id) AS src", "'E' AS pred", "concat('m', id) AS dst")
+    terms = spark.createDataFrame([("name 1",), ("name",)], "term string")
+    joins = [x for x in plan_of(knowledge.related_evidence(terms, nodes, edges), capsys).splitlines() if "Join" in x]
+    assert "related" not in joins[0] and any("related" in x for x in joins[1:])
