@@ -17,7 +17,8 @@ def match_pattern(edges: DataFrame, pattern: Sequence[tuple[str, str, str]], lab
     label that ``nodes(id, label)`` must give a variable. Two variables may be bound to one
     node; repeated edges count once; a pattern must hang together.
 
-    The order follows counts. The triple with the fewest edges comes first, then the
+    The order follows counts. The triple comes first from which the fewest rows are made in
+    all, by the edges that nodes have on the average, then the
     variable that most triples tie to those bound. If several do, each row takes the
     one under which its node has the fewest edges, and the others only check what that
     finds: a triangle is looked for from its thinner sides, and the pairs of neighbours
@@ -28,6 +29,7 @@ def match_pattern(edges: DataFrame, pattern: Sequence[tuple[str, str, str]], lab
         raise ValueError("labels need nodes")
     of_label = {label: nodes.filter(F.col("label") == label).select("id").distinct() for label in set(labels.values())}
     sides: list[tuple[str, str, DataFrame, int]] = []
+    spread: list[dict[str, float]] = []  # edges of a node at each end, on the average
     for a, pred, b in pattern:
         pairs = edges.filter(F.col("pred") == pred).select(F.col("src").alias("x"), F.col("dst").alias("y")).distinct()
         if a == b:
@@ -36,9 +38,11 @@ def match_pattern(edges: DataFrame, pattern: Sequence[tuple[str, str, str]], lab
             if var in labels:
                 pairs = pairs.join(of_label[labels[var]].withColumnRenamed("id", side), side, "left_semi")
         pairs = written(pairs.select("x", "y"), "pattern-edges")
-        sides.append((a, b, pairs, pairs.count()))
+        n = pairs.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("x").alias("x"), F.approx_count_distinct("y").alias("y")).head()
+        sides.append((a, b, pairs, n["n"]))
+        spread.append({a: n["n"] / max(1, n["x"]), b: n["n"] / max(1, n["y"])})
 
-    start = min(range(len(sides)), key=lambda i: (sides[i][3], i))
+    start = min(range(len(sides)), key=lambda i: (_rows_made(sides, spread, i), sides[i][3], i))
     a, b, pairs, _ = sides.pop(start)
     rows = pairs.select(F.col("x").alias(a)) if a == b else pairs.select(F.col("x").alias(a), F.col("y").alias(b))
     bound = {a, b}
@@ -49,19 +53,42 @@ def match_pattern(edges: DataFrame, pattern: Sequence[tuple[str, str, str]], lab
             sides.remove(s)
         if not sides:
             break
-        ties: dict[str, list] = {}
-        for s in sides:
-            if (s[0] in bound) != (s[1] in bound):
-                ties.setdefault(s[1] if s[0] in bound else s[0], []).append(s)
+        ties = _ties(sides, bound)
         if not ties:
             raise ValueError("the pattern falls apart")
-        new = min(ties, key=lambda v: (-len(ties[v]), min(s[3] for s in ties[v]), v))
+        new = _next(ties)
         rows = _bound(written(rows, "bindings") if len(ties[new]) > 1 else rows, new, ties[new])
         bound.add(new)
         sides = [s for s in sides if s not in ties[new]]
     return rows.select(*dict.fromkeys(v for a, _, b in pattern for v in (a, b)))
 
 
+def _ties(sides: list, bound: set) -> dict[str, list]:
+    """Variables that are one triple away from those bound, with these triples."""
+    ties: dict[str, list] = {}
+    for s in sides:
+        if (s[0] in bound) != (s[1] in bound):
+            ties.setdefault(s[1] if s[0] in bound else s[0], []).append(s)
+    return ties
+
+
+def _next(ties: dict[str, list]) -> str:
+    return min(ties, key=lambda v: (-len(ties[v]), min(s[3] for s in ties[v]), v))
+
+
+def _rows_made(sides: list, spread: list, start: int) -> float:
+    """Rows of all steps from this triple on, if nodes have their average of edges."""
+    degree = {id(s): d for s, d in zip(sides, spread, strict=True)}
+    made = rows = float(sides[start][3])
+    bound, rest = {*sides[start][:2]}, [s for i, s in enumerate(sides) if i != start]
+    while ties := _ties(rest := [s for s in rest if not {s[0], s[1]} <= bound], bound):
+        new = _next(ties)
+        rows *= min(degree[id(s)][s[0] if s[1] == new else s[1]] for s in ties[new])
+        made += rows
+        bound.add(new)
+    return made
+
+
 def _checked(rows: DataFrame, side: tuple, left: str, right: str) -> DataFrame:
     """Rows whose two variables are joined by an edge of this triple."""
     pairs = side[2].select(F.col("x").alias(left)) if left == right else side[2].select(F.col("x").alias(left), F.col("y").alias(right))

@@ -63,3 +63,17 @@ def test_links_are_named_before_they_meet_terms(spark, capsys):
     terms = spark.createDataFrame([("name 1",), ("name",)], "term string")
     joins = [x for x in plan_of(knowledge.related_evidence(terms, nodes, edges), capsys).splitlines() if "Join" in x]
     assert "related" not in joins[0] and any("related" in x for x in joins[1:])
+
+
+def test_pattern_starts_where_fewest_rows_are_made(spark, monkeypatch):
+    seen = written_by(monkeypatch, patterns)
+    # the fewest edges are those of two hubs, from which every row leads to many
+    edges = [(f"o{i}", "OF", f"p{i % 2}") for i in range(200)] + [(f"s{i % 2}", "MAKES", f"p{i % 2}") for i in range(100)] + [(f"o{i}", "BY", f"s{i % 2}") for i in range(200)]
+    df = spark.createDataFrame(edges, "src string, pred string, dst string")
+    rows = patterns.match_pattern(df, [("o", "OF", "p"), ("s", "MAKES", "p"), ("o", "BY", "s")]).collect()
+    assert len(rows) == 200
+    sides = [("a", "b", None, 100), ("a", "c", None, 110), ("b", "c", None, 110)]
+    # from the first triple a row leads to 50 others, from the second to one
+    spread = [{"a": 50.0, "b": 50.0}, {"a": 50.0, "c": 1.0}, {"b": 50.0, "c": 1.0}]
+    assert patterns._rows_made(sides, spread, 0) > patterns._rows_made(sides, spread, 1)
+    assert seen["pattern-edges"]
