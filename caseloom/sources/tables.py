@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import cut, filled, hex_id, text
+from ..session import written
 
 RAW_TICKET = ("ticket_id string, Classification string, Hospital string, Summary string, Problem string, "
               "Solution string, Status string, has_solution string")
@@ -119,19 +120,24 @@ def merge_graph(concepts: DataFrame, decisions: DataFrame, edges: DataFrame, upd
     a known one only its domain. A decision is created once; a second one with
     the same id is left out and reported. Edges are unique.
     ``updates(concept, domain, rule, source, rationale, effective_date, seq)``.
-    Returns (concepts, decisions, edges, conflicts)."""
-    cid = F.lower(F.replace("concept", F.lit(" "), F.lit("_")))
-    u = updates.withColumn("concept_id", cid).withColumn("id", F.concat(F.lit("decision_"), cid, F.lit("_"), F.col("effective_date")))
-    newest = u.groupBy(F.col("concept_id").alias("id")).agg(F.min_by("concept", "seq").alias("_name"), F.max_by("domain", "seq").alias("_domain"))
+    Returns (concepts, decisions, edges, conflicts). The updates are grouped once, by
+    concept and date; all but the conflicts comes from the groups, which are written."""
+    def named(rows: DataFrame) -> DataFrame:
+        cid = F.lower(F.replace("concept", F.lit(" "), F.lit("_")))
+        return rows.withColumn("concept_id", cid).withColumn("id", F.concat(F.lit("decision_"), cid, F.lit("_"), F.col("effective_date")))
+
+    fields = ["concept_id", "rule", "source", "rationale", "effective_date"]
+    groups = named(written(updates.groupBy("concept", "effective_date").agg(
+        F.min_by(F.struct(*fields[1:4]), "seq").alias("_r"), F.min("seq").alias("seq"), F.max_by("domain", "seq").alias("_domain"), F.max("seq").alias("_last")), "updates"))
+    newest = groups.groupBy(F.col("concept_id").alias("id")).agg(F.min_by("concept", "seq").alias("_name"), F.max_by("_domain", "_last").alias("_domain"))
     merged = concepts.join(newest, "id", "full_outer").select(
         "id", F.coalesce("name", "_name").alias("name"), F.coalesce("_domain", "domain").alias("domain"),
         F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
-    fields = ["concept_id", "rule", "source", "rationale", "effective_date"]
-    first = u.groupBy("id").agg(F.min_by(F.struct(*fields), "seq").alias("_r"), F.min("seq").alias("seq")).select("id", "_r.*", "seq")
+    first = groups.groupBy("id").agg(F.min_by(F.struct("concept_id", *[F.col(f"_r.{c}").alias(c) for c in fields[1:4]], "effective_date"), "seq").alias("_r"), F.min("seq").alias("seq")).select("id", "_r.*", "seq")
     created = first.join(decisions.select("id"), "id", "left_anti")
     all_decisions = decisions.select("id", *fields).unionByName(created.select("id", *fields))
-    conflicts = u.join(created.select("id", "seq"), ["id", "seq"], "left_anti").select("id", "concept_id", "rule", "source", "seq")
-    governs = u.select(F.col("id").alias("src"), F.lit("GOVERNS").alias("pred"), F.col("concept_id").alias("dst"))
+    conflicts = named(updates).join(created.select("id", "seq"), ["id", "seq"], "left_anti").select("id", "concept_id", "rule", "source", "seq")
+    governs = groups.select(F.col("id").alias("src"), F.lit("GOVERNS").alias("pred"), F.col("concept_id").alias("dst"))
     return merged, all_decisions, edges.select("src", "pred", "dst").unionByName(governs).distinct(), conflicts
 
 

@@ -77,3 +77,16 @@ def test_pattern_starts_where_fewest_rows_are_made(spark, monkeypatch):
     spread = [{"a": 50.0, "b": 50.0}, {"a": 50.0, "c": 1.0}, {"b": 50.0, "c": 1.0}]
     assert patterns._rows_made(sides, spread, 0) > patterns._rows_made(sides, spread, 1)
     assert seen["pattern-edges"]
+
+
+def test_updates_are_grouped_once(spark, monkeypatch):
+    seen = written_by(monkeypatch, tables)
+    rows = [(f"Part {i % 5}", f"D{i}", f"rule {i}", "S", "why", f"{2000 + i % 2}", f"{i:03d}") for i in range(40)]
+    updates = spark.createDataFrame(rows, "concept string, domain string, rule string, source string, rationale string, effective_date string, seq string")
+    empty = lambda s: spark.createDataFrame([], s)
+    concepts, decisions, edges, conflicts = tables.merge_graph(
+        empty("id string, name string, domain string, aliases array<string>"), empty("id string, concept_id string, rule string, source string, rationale string, effective_date string"),
+        empty("src string, pred string, dst string"), updates)
+    assert [df.count() for df in (concepts, decisions, edges, conflicts)] == [5, 10, 10, 30]
+    assert {r["id"]: r["domain"] for r in concepts.collect()}["part_4"] == "D39" and {r["id"]: r["rule"] for r in decisions.collect()}["decision_part_1_2000"] == "rule 6"
+    assert [df.count() for df in seen["updates"]] == [10]
