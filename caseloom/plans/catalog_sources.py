@@ -63,16 +63,12 @@ def _(spark, sf):
  UNION ALL SELECT 'DocumentReference', 1, 'doc-' || patient_id, patient_id, notes, 'current' FROM patients""", "patients"))
 def _(spark, sf):
     """All typed tables, from one scan of the bundles."""
-    t = fhir.flatten_bundles(V.bundles(spark, sf), "bundle")
-    none = F.lit(None).cast("string")
-    row = lambda kind, patient, text, detail: t[kind].select(F.lit(kind).alias("kind"), F.col("pos").cast("long").alias("pos"), "id", patient.alias("patient"), text.alias("text"), detail.alias("detail"))
-    parts = [row("Condition", fhir.subject_id(), F.col("code.text"), F.col("code.coding")[0]["system"]), row("Encounter", fhir.subject_id(), none, F.col("period.start")),
-             row("Patient", none, F.col("gender"), F.col("birthDate")), row("DocumentReference", fhir.subject_id(), F.col("description"), F.col("status")),
-             row("Observation", fhir.subject_id(), F.col("code.text"), none)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    kind = F.col("resource_type")
+    id_ = F.coalesce(*[F.col(f"{k}.id") for k in fhir.RESOURCES])
+    patient = F.coalesce(*[fhir.subject_id(f"{k}.") for k in fhir.RESOURCES if k != "Patient"])
+    text = F.coalesce("Condition.code.text", "Patient.gender", "DocumentReference.description", "Observation.code.text")
+    detail = F.coalesce(F.get("Condition.code.coding", F.lit(0))["system"], "Encounter.period.start", "Patient.birthDate", "DocumentReference.status")
+    return fhir.typed_entries(V.bundles(spark, sf), "bundle").select(kind.alias("kind"), F.col("pos").cast("long").alias("pos"), id_.alias("id"), patient.alias("patient"), text.alias("text"), detail.alias("detail"))
 
 
 @query("s05_transaction_bundles", """SELECT 'p' || c_custkey AS patient_id, 'transaction' AS type, 'PUT' AS method, 'Patient/p' || c_custkey AS url, true AS ok FROM customer
@@ -81,9 +77,9 @@ def _(spark, sf):
  UNION ALL SELECT 'p' || o_custkey, 'transaction', 'PUT', 'Encounter/enc-' || o_orderkey, true FROM orders""")
 def _(spark, sf):
     b = fhir.to_transaction_bundles(V.bundles(spark, sf), "bundle", "patient_id")
-    at = lambda p: F.get_json_object("bundle_json", p)
-    both = F.explode_outer(F.array(*[F.struct(at(f"$.entry[{i}].request.method").alias("method"), at(f"$.entry[{i}].request.url").alias("url")) for i in (0, 1)]))
-    return b.select("patient_id", at("$.type").alias("type"), both.alias("r"), "ok").select("patient_id", "type", "r.*", "ok")
+    made = b.select("patient_id", "ok", F.from_json("bundle_json", "struct<type:string,entry:array<struct<request:struct<method:string,url:string>>>>").alias("b"))
+    both = F.explode_outer(F.array(*[F.get("b.entry", F.lit(i))["request"] for i in (0, 1)]))
+    return made.select("patient_id", F.col("b.type").alias("type"), both.alias("r"), "ok").select("patient_id", "type", "r.*", "ok")
 
 
 def wiki_files(spark, sf):

@@ -90,3 +90,13 @@ def test_updates_are_grouped_once(spark, monkeypatch):
     assert [df.count() for df in (concepts, decisions, edges, conflicts)] == [5, 10, 10, 30]
     assert {r["id"]: r["domain"] for r in concepts.collect()}["part_4"] == "D39" and {r["id"]: r["rule"] for r in decisions.collect()}["decision_part_1_2000"] == "rule 6"
     assert [df.count() for df in seen["updates"]] == [10]
+
+
+@pytest.mark.parametrize("name", ["s04_flatten_bundles", "s20_patient_nodes"])
+def test_bundles_are_unpacked_once(spark, capsys, name):
+    plan = plan_of(catalog.QUERIES[name](spark, SF), capsys)
+    assert sum("Generate posexplode" in x for x in plan.split("== Physical Plan ==")[-1].splitlines()) == 1
+
+
+def test_transactions_read_each_resource_once(spark, capsys):
+    assert "get_json_object" not in plan_of(catalog.QUERIES["s05_transaction_bundles"](spark, SF), capsys)
