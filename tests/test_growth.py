@@ -1,8 +1,11 @@
 """What a query moves or does again, seen in its plan and in what it writes."""
 
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from caseloom.operators import knowledge, patterns
+from caseloom.operators import cells, knowledge, patterns
 from caseloom.plans import catalog, views
 from caseloom.sources import tables
 
@@ -100,3 +103,19 @@ def test_bundles_are_unpacked_once(spark, capsys, name):
 
 def test_transactions_read_each_resource_once(spark, capsys):
     assert "get_json_object" not in plan_of(catalog.QUERIES["s05_transaction_bundles"](spark, SF), capsys)
+
+
+def test_rows_meet_in_few_groups(spark):
+    rng = np.random.default_rng(5)
+    vecs = rng.normal(size=(6000, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, vec array<double>")
+    met = cells.Cells(rows, block=64)
+    groups = met.meet(rows.withColumnRenamed("id", "query_id"), "query_id", cells.visits_for_nearest(met, 3),
+                      lambda q, c: pd.DataFrame({"q": [len(q)], "c": [len(c)]}), "q long, c long").collect()
+    assert sum(r["q"] for r in groups) <= 6000 * 2 * cells.MEETINGS and sum(r["c"] for r in groups) <= 6000 * 2 * cells.MEETINGS
+    assert max(max(r["q"], r["c"]) for r in groups) < 3 * 6000 // cells.MEETINGS
+    near = {r["query_id"]: r["id"] for r in cells.nearest_rows(met, rows.withColumnRenamed("id", "query_id"), 2, lambda q, c: -cells.euclid(q, c), "bigint", "bigint")
+            .filter("query_id <> id").groupBy("query_id").agg(F.max_by("id", "sim").alias("id")).collect()}
+    d = ((vecs[:50, None] - vecs[None]) ** 2).sum(2)
+    d[np.arange(50), np.arange(50)] = np.inf
+    assert [near[i] for i in range(50)] == d.argmin(1).tolist()
