@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .cells import matrix, unit
+from .cells import matrix, nothing, unit
 from .ordering import first_rows
 
 TIE_DIGITS = 9
@@ -110,7 +110,7 @@ def knn_projected(queries: DataFrame, corpus: DataFrame, k: int, projections: Pr
 
     def best(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
         if qs.empty or cs.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "sim": []})
+            return nothing("query_id", "id", "sim")
         cs = cs.sort_values("id", kind="stable")
         q, c = unit(np.stack(qs["vec"].to_numpy())), unit(np.stack(cs["vec"].to_numpy()))
         names, ids, kk = qs["query_id"].to_numpy(), cs["id"].to_numpy(), min(k, len(cs))

@@ -39,3 +39,10 @@ def test_hot_buckets_are_split_and_odd_rows_kept(spark):
     none = spark.createDataFrame([(1, None), (2, [1.0, 0.0, 0.0])], "query_id long, vec array<double>")
     assert {(r["query_id"], r["id"] is None) for r in knn_projected(none, same, 1).collect()} == {(1, True), (2, False)}
     assert knn_projected(none, same.limit(0), 1).count() == 1 and visited_pairs(none, same.limit(0)) == 0
+
+
+def test_buckets_without_queries_and_text_ids(spark):
+    corpus = rows(spark, 300, seed=3).selectExpr("concat('p', id) as id", "vec")
+    asking = corpus.filter("id in ('p0', 'p7')").selectExpr("id as query_id", "vec")
+    found = knn_projected(asking, corpus, 1, Projections(bucket=16)).collect()
+    assert {(r["query_id"], r["id"]) for r in found} == {("p0", "p0"), ("p7", "p7")}
