@@ -4,9 +4,10 @@ import os
 import time
 from urllib.parse import urlparse
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from caseloom.operators import graph
+from caseloom.operators import density, graph
 from caseloom.session import written
 
 
@@ -42,3 +43,19 @@ def test_ranking_leaves_one_table_of_ranks(spark, monkeypatch):
     assert [name for name in ("links", "dealt-links", "pushed", "ranks") for p in seen[name] if os.path.exists(p)] == ["ranks"]
     total = {r["seed_set"]: r["n"] for r in rank.groupBy("seed_set").agg(F.sum("score").alias("n")).collect()}
     assert set(total) == {"s", "t"} and all(abs(v - 1) < 1e-9 for v in total.values())
+
+
+def test_tables_that_grow_are_not_sent_by_the_driver(spark, monkeypatch):
+    plans, keep = {}, density.written
+
+    def note(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(density, "written", note)
+    x = np.random.default_rng(3).normal(size=(120, 2))
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<double>")
+    assert density.density_cut(rows, 0.4, 5, 3).count() == 120
+    assert {"neighbours", "edges", "crossing", "components", "followed"} <= set(plans)
+    # solved: pieces of more edges than one task takes are told apart, a row for each
+    assert [name for name, plan in plans.items() if "BroadcastHashJoin" in plan and name != "solved"] == []
