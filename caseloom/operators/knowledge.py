@@ -140,10 +140,10 @@ def contradiction_gate(terms: DataFrame, concepts: DataFrame, contradictions: Da
     open_ = contradictions.filter(F.col("status") == "UNRESOLVED").select(
         "concept_id", F.col("id").alias("ct_id"), "statement_a", "source_a", "statement_b", "source_b", "owner")
     matches = written(concept_matches(terms, concepts).withColumnRenamed("id", "concept_id"), "matches")  # read twice
-    per = open_.groupBy("concept_id").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("ct_id")).alias("_first"))
-    named = written(matches.join(per, "concept_id"), "open-concepts")  # read twice
-    counts = named.groupBy("term").agg(F.sum("_n").alias("unresolved_count"))
-    near = written(first_rows(named.select("term", "concept_id", "_first"), ["term"], ["_first", "concept_id"], limit).select("term", "concept_id"), "first-concepts")
+    per = open_.groupBy("concept_id").agg(F.count(F.lit(1)).alias("_n"))
+    counts = matches.join(per, "concept_id").groupBy("term").agg(F.sum("_n").alias("unresolved_count"))
+    first = matches.join(open_.groupBy("concept_id").agg(F.min(F.struct("ct_id")).alias("_first")), "concept_id")
+    near = written(first_rows(first, ["term"], ["_first", "concept_id"], limit).select("term", "concept_id"), "first-concepts")
     few = first_rows(open_.join(near.select("concept_id").distinct(), "concept_id", "left_semi"), ["concept_id"], ["ct_id"], limit).drop("rank")
     shown = first_rows(near.join(few, "concept_id"), ["term"], ["ct_id"], limit).groupBy("term").agg(
         F.sort_array(F.collect_list(F.struct("ct_id", "statement_a", "source_a", "statement_b", "source_b", "owner"))).alias("detail"))
